@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
@@ -27,12 +27,17 @@ def all_of(predicates: Iterable[Column]) -> Column:
     return result
 
 
+def first_match(tests: Iterable[tuple[Column, Column]], default: Column) -> Column:
+    """CASE with one branch per test, in the given order."""
+    chain = None
+    for predicate, value in tests:
+        chain = F.when(predicate, value) if chain is None else chain.when(predicate, value)
+    return default if chain is None else chain.otherwise(default)
+
+
 def label_map(value: Column, labels: Mapping[str, str], default: Column) -> Column:
     """Label for each listed value, ``default`` for all others."""
-    result = default
-    for key, label in labels.items():
-        result = F.when(value == key, F.lit(label)).otherwise(result)
-    return result
+    return first_match([(value == k, F.lit(label)) for k, label in labels.items()], default)
 
 
 def account_group(account: Column) -> Column:
@@ -87,42 +92,49 @@ def customer_type_filter(kind: str | None, sales_person: Column, customer: Colum
 
 def sales_channel(sales_person: Column, customer: Column) -> Column:
     """One exclusive channel name per customer; NULL where no test holds."""
-    result = F.lit(None).cast("string")
-    for kind in reversed(fixed.CUSTOMER_TYPES):
-        result = F.when(
-            customer_type_filter(kind, sales_person, customer), F.lit(kind)
-        ).otherwise(result)
-    return result
+    tests = [
+        (customer_type_filter(kind, sales_person, customer), F.lit(kind))
+        for kind in fixed.CUSTOMER_TYPES
+    ]
+    return first_match(tests, F.lit(None).cast("string"))
 
 
 def bank_currency(code: Column, name: Column, fallback: Column) -> Column:
     """Currency read from marks in the bank code or name, else ``fallback``."""
     upper_code = F.upper(F.coalesce(code, F.lit("")))
     lower_name = F.lower(F.coalesce(name, F.lit("")))
-    result = fallback
-    for currency, code_marks, name_marks in reversed(fixed.BANK_CURRENCY_MARKS):
-        found = any_of(
-            [upper_code.contains(mark) for mark in code_marks]
-            + [lower_name.contains(mark) for mark in name_marks]
-        )
-        result = F.when(found, F.lit(currency)).otherwise(result)
-    return result
-
-
-def dept_group(
-    department: Column,
+    tests = []
+    for currency, code_marks, name_marks in fixed.BANK_CURRENCY_MARKS:
+        found = [upper_code.contains(mark) for mark in code_marks]
+        found += [lower_name.contains(mark) for mark in name_marks]
+        tests.append((any_of(found), F.lit(currency)))
+    return first_match(tests, fallback)
+
+
+def with_dept_group(
+    df: DataFrame,
+    department: str,
+    name: str,
     names: Mapping[str, Sequence[str]] = fixed.DEPARTMENT_NAMES,
     words: Sequence[tuple[str, Sequence[str]]] = fixed.DEPARTMENT_WORDS,
     default: str = fixed.DEFAULT_DEPARTMENT_GROUP,
-) -> Column:
-    """Executive group of a department: exact name first, then ordered words, then default."""
-    name = clean_text(department)
-    tests = [(group, name.isin(*members)) for group, members in names.items()]
-    tests += [(group, any_of(name.contains(w) for w in ws)) for group, ws in words]
-    result = F.lit(default)
-    for group, test in reversed(tests):
-        result = F.when(test, F.lit(group)).otherwise(result)
-    return result
+) -> DataFrame:
+    """Add the executive group: exact name first, then ordered words, then default.
+
+    The name is cleaned in its own projection, so it is cleaned once per row and not
+    once per test.
+    """
+    clean = F.col("_clean_name")
+    tests = [(clean.isin(*members), F.lit(group)) for group, members in names.items()]
+    tests += [
+        (any_of(clean.contains(w) for w in group_words), F.lit(group))
+        for group, group_words in words
+    ]
+    return (
+        df.withColumn("_clean_name", clean_text(F.col(department)))
+        .withColumn(name, first_match(tests, F.lit(default)))
+        .drop("_clean_name")
+    )
 
 
 def target_badge(ratio: Column) -> Column:
@@ -155,10 +167,8 @@ def score_pct(target: Column, achieved: Column) -> Column:
 
 
 def score_band(percent: Column) -> Column:
-    result = F.when(percent > 0, F.lit("red")).otherwise(F.lit("gray"))
-    for bound, band in reversed(fixed.SCORE_BANDS):
-        result = F.when(percent >= bound, F.lit(band)).otherwise(result)
-    return result
+    tests = [(percent >= bound, F.lit(band)) for bound, band in fixed.SCORE_BANDS]
+    return first_match([*tests, (percent > 0, F.lit("red"))], F.lit("gray"))
 
 
 def leave_band(balance: Column) -> Column:

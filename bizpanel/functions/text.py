@@ -109,8 +109,10 @@ def clean_text(value: Column) -> Column:
     return F.regexp_replace(kept, r"(?U)\s+", " ")
 
 
-def trimmed(value: Column) -> Column:
-    return F.trim(value)
+def number_text(value: Column) -> Column:
+    """Plain number text without trailing zeros."""
+    digits = value.cast("decimal(38,5)").cast("string")
+    return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
 
 
 def photo_url(base_url: str, image_id: Column) -> Column:

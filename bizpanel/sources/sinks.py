@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizpanel.functions.numbers import or_zero
-from bizpanel.functions.text import date_text
+from bizpanel.functions.text import date_text, number_text
 
 FORMATS = ("csv", "parquet")
 
@@ -17,7 +17,7 @@ def _text(column: str):
 
 def _with_currency(amount: str, currency: str):
     """Amount and currency in one text cell."""
-    return F.concat_ws(" ", or_zero(F.col(amount)).cast("string"), _text(currency))
+    return F.concat(number_text(or_zero(F.col(amount))), F.lit(" "), _text(currency))
 
 
 def stock_export(stock: DataFrame) -> DataFrame:

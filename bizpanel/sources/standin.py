@@ -151,7 +151,7 @@ def sales_header(read: Read) -> DataFrame:
         text(F.col("o_custkey")).alias("customer_number"),
         F.col("o_orderpriority").alias("sales_person_number"),
         money("o_totalprice").alias("total_taxable_amount"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("1.5")).otherwise(F.lit("1")),
+        F.when(F.col("o_orderstatus") == "P", F.lit("2")).otherwise(F.lit("1")),
         money("o_totalprice") + 10,
     )
 
@@ -216,7 +216,7 @@ def purchase_header(read: Read) -> DataFrame:
         F.when(status == "F", "NL").when(status == "O", "IM").alias("vendor_type"),
         money("o_totalprice").alias("total_lines_amount"),
         F.when(F.col("o_orderkey") % 3 == 0, 100).otherwise(0).alias("total_discount"),
-        F.when(status == "O", F.lit("30.5")).otherwise(F.lit("1")),
+        F.when(status == "O", F.lit("31")).otherwise(F.lit("1")),
         F.when(status == "O", "USD").otherwise("EGP").alias("invoice_currency"),
     )
 
@@ -461,6 +461,30 @@ def safety_stock(read: Read) -> DataFrame:
     )
 
 
+def request_documents(read: Read) -> DataFrame:
+    """JSON report requests made of the events; every tenth document is cut off."""
+    event = F.col("event_id")
+    kind = event % 4
+    first, second = event % 12 + 1, event % 7 + 1
+    months = (
+        F.when(event % 5 == 0, F.lit(None).cast("string"))
+        .when(kind < 2, "")
+        .when(kind == 2, text(first))
+        .otherwise(F.concat_ws(",", text(first), text(second), text(first)))
+    )
+    request = F.struct(
+        F.when(kind == 0, "yearly").when(kind == 1, "quarterly").otherwise("monthly").alias("Period"),
+        months.alias("Months"),
+        (event % 5).alias("Quarter"),
+        (event % 7 + 1995).alias("Year"),
+    )
+    whole = F.to_json(request)
+    cut_off = F.substring(whole, 1, 20)
+    return read("events").select(
+        event, F.when(event % 10 == 9, cut_off).otherwise(whole).alias("document"), "props"
+    )
+
+
 MAPPINGS: dict[str, Callable[[Read], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -509,6 +533,6 @@ def standin_tables(spark: SparkSession, folder: str) -> Tables:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    return Tables(
-        spark, {name: (lambda n=name, f=f: typed(f(read), n)) for name, f in MAPPINGS.items()}
-    )
+    loaders = {name: (lambda n=name, f=f: typed(f(read), n)) for name, f in MAPPINGS.items()}
+    loaders["request_documents"] = lambda: request_documents(read)
+    return Tables(spark, loaders)
