@@ -107,8 +107,7 @@ def on_category_spine(
         [(i, c) for i, c in enumerate(categories)], f"position int, {key} string"
     )
     values = [c for c in grouped.columns if c != key]
-    known = grouped.filter(F.col(key).isin(*categories))
-    return spine.join(F.broadcast(known), key, "left").select(
+    return spine.join(grouped, key, "left").select(
         "position", key, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in values]
     )
 
