@@ -6,7 +6,7 @@ from importlib import import_module
 
 from bizpanel.checks.registry import CHECKS, Check
 
-MODULES = ("sources", "relational", "scalars")
+MODULES = ("sources", "relational", "scalars", "reports")
 
 
 def all_checks() -> dict[str, Check]:

@@ -9,7 +9,7 @@ from bizpanel.checks.settings import AS_OF, SECOND_QUARTER, YEAR
 from bizpanel.functions import classify, fixed_values as fixed, numbers, text
 from bizpanel.operators import hierarchy
 from bizpanel.operators.period import ytd, ytd_prior
-from bizpanel.plans import cash, expenses, hr, ledger, loyalty, purchasing, sales
+from bizpanel.plans import cash, expenses, hr, ledger, loyalty, sales
 from bizpanel.sources import requests
 
 N = F.count(F.lit(1))
@@ -428,8 +428,8 @@ def _(t):
          FROM employee) GROUP BY 1""",
 )
 def _(t):
-    grouped = classify.with_dept_group(t.employee, "department_name", "dept_group")
-    return grouped.groupBy("dept_group").agg(N.alias("n"))
+    group = classify.dept_group(F.col("department_name")).alias("dept_group")
+    return t.employee.groupBy(group).agg(N.alias("n"))
 
 
 BANK_CURRENCY = """CASE WHEN contains(upper(bank), 'EG') OR contains(lower(coalesce(bank_account_name, '')), 'egp') THEN 'EGP'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
@@ -111,30 +111,26 @@ def bank_currency(code: Column, name: Column, fallback: Column) -> Column:
     return first_match(tests, fallback)
 
 
-def with_dept_group(
-    df: DataFrame,
-    department: str,
-    name: str,
+def dept_group(
+    department: Column,
     names: Mapping[str, Sequence[str]] = fixed.DEPARTMENT_NAMES,
     words: Sequence[tuple[str, Sequence[str]]] = fixed.DEPARTMENT_WORDS,
     default: str = fixed.DEFAULT_DEPARTMENT_GROUP,
-) -> DataFrame:
-    """Add the executive group: exact name first, then ordered words, then default.
+) -> Column:
+    """Executive group of a department: exact name first, then ordered words, then default.
 
-    The name is cleaned in its own projection, so it is cleaned once per row and not
-    once per test.
+    The cleaned name is bound by a one-element ``transform``. Written inline, it would
+    be cleaned again in each of the tests, also where a filter on the group is pushed down.
     """
-    clean = F.col("_clean_name")
-    tests = [(clean.isin(*members), F.lit(group)) for group, members in names.items()]
-    tests += [
-        (any_of(clean.contains(w) for w in group_words), F.lit(group))
-        for group, group_words in words
-    ]
-    return (
-        df.withColumn("_clean_name", clean_text(F.col(department)))
-        .withColumn(name, first_match(tests, F.lit(default)))
-        .drop("_clean_name")
-    )
+    def group_of(clean: Column) -> Column:
+        tests = [(clean.isin(*members), F.lit(group)) for group, members in names.items()]
+        tests += [
+            (any_of(clean.contains(w) for w in group_words), F.lit(group))
+            for group, group_words in words
+        ]
+        return first_match(tests, F.lit(default))
+
+    return F.element_at(F.transform(F.array(clean_text(department)), group_of), 1)
 
 
 def target_badge(ratio: Column) -> Column:

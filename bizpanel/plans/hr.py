@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.classify import (
+    dept_group,
     leave_band,
     score_band,
     score_pct,
     staff_group_label,
-    with_dept_group,
 )
 from bizpanel.functions.numbers import (
     average_or,
@@ -305,7 +305,7 @@ def filter_employees(
 
 
 def with_group(employees: DataFrame) -> DataFrame:
-    return with_dept_group(employees, "department_name", "dept_group")
+    return employees.withColumn("dept_group", dept_group(F.col("department_name")))
 
 
 def dept_group_cards(employees: DataFrame) -> DataFrame:
