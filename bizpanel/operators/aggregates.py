@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,12 +81,19 @@ def share_of_parent(
 ) -> DataFrame:
     """Value in percent of its parent's total; NULL when either is 0.
 
-    Meant for report rows: the groups hold aggregated rows, not raw facts.
+    Totals are grouped and joined back, NULL parents included, so that a parent with
+    very many children is not one window in one task.
     """
-    total = F.sum(value).over(Window.partitionBy(*parent)).cast("double")
-    part = F.col(value).cast("double")
+    keys = {f"_parent_{p}": p for p in parent}
+    totals = df.groupBy(*[F.col(p).alias(k) for k, p in keys.items()]).agg(
+        F.sum(value).alias("_total")
+    )
+    same = reduce(
+        lambda a, b: a & b, (F.col(p).eqNullSafe(F.col(k)) for k, p in keys.items())
+    )
+    part, total = F.col(value).cast("double"), F.col("_total").cast("double")
     share = F.when((part != 0) & (total != 0), F.round(part / total * 100.0, digits))
-    return df.withColumn(name, share)
+    return df.join(totals, same, "left").withColumn(name, share).drop("_total", *keys)
 
 
 def count_share(df: DataFrame, column: str, amount: str | None = None) -> DataFrame:

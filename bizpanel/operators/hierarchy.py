@@ -54,19 +54,17 @@ def org_tree(employees: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     plan stays one join deep however tall the tree is. Nodes on a cycle are reached
     from no root and are left out. ``employee_id`` must be unique.
     """
-    nodes = employees.select(
-        "employee_id",
-        F.nullif(F.col("manager_id"), F.lit(0)).alias("parent_id"),
-        _sort_key().alias("sort_key"),
+    nodes = cut(
+        employees.select(
+            "employee_id",
+            F.nullif(F.col("manager_id"), F.lit(0)).alias("parent_id"),
+            _sort_key().alias("sort_key"),
+        )
     )
+    self_managed = F.coalesce(F.col("parent_id") == F.col("employee_id"), F.lit(False))
+    edges = nodes.filter(F.col("parent_id").isNotNull() & ~self_managed)
     known = nodes.select(F.col("employee_id").alias("parent_id"))
-    edges = nodes.join(known, "parent_id", "left_semi").filter(
-        F.col("parent_id") != F.col("employee_id")
-    )
-    self_managed = F.col("parent_id") == F.col("employee_id")
-    roots = nodes.filter(~F.coalesce(self_managed, F.lit(False))).join(
-        known, "parent_id", "left_anti"
-    )
+    roots = nodes.filter(~self_managed).join(known, "parent_id", "left_anti")
     level = cut(
         roots.select(
             F.col("employee_id").alias("root_id"),

@@ -17,9 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def left_dim(fact: DataFrame, dim: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Left outer join of a fact with a dimension on equally named keys."""
-    return fact.join(dim, on, "left")
+def left_dim(
+    fact: DataFrame, dim: DataFrame, on: Sequence[str] | str, salts: int = 1
+) -> DataFrame:
+    """Left outer join of a fact with a dimension on equally named keys.
+
+    ``salts`` splits every key of the fact over that many groups and repeats the
+    dimension as often, for facts that cannot be summed first and a dimension too
+    large to broadcast.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    if salts <= 1:
+        return fact.join(dim, keys, "left")
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = fact.withColumn("_salt", spread)
+    return salted.join(dim.withColumn("_salt", copies), [*keys, "_salt"], "left").drop("_salt")
 
 
 def header_lines(header: DataFrame, line: DataFrame) -> DataFrame:
@@ -54,11 +67,17 @@ def exists_flag(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame
 
 
 def lookup(
-    df: DataFrame, key: str, master: DataFrame, master_key: str, value: str, name: str
+    df: DataFrame,
+    key: str,
+    master: DataFrame,
+    master_key: str,
+    value: str,
+    name: str,
+    salts: int = 1,
 ) -> DataFrame:
     """Attach ``value`` of the master row whose unique key equals ``key``."""
     values = master.select(F.col(master_key).alias(key), F.col(value).alias(name))
-    return df.join(values, key, "left")
+    return left_dim(df, values, key, salts)
 
 
 def with_scalar_sum(

@@ -15,7 +15,7 @@ import datetime as dt
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHLY, QUARTERLY, YEARLY = "monthly", "quarterly", "yearly"
@@ -42,6 +42,22 @@ def in_years(date: Column, first: int, last: int) -> Column:
     return (date >= F.lit(dt.date(first, 1, 1))) & (date < F.lit(dt.date(last + 1, 1, 1)))
 
 
+def prune_years(
+    df: DataFrame, partition: str, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """Limit a table to partitions of some years, where it is partitioned by year.
+
+    Spark does not derive a partition test from a date test; without the partition
+    column the date test alone decides, and prunes row groups only.
+    """
+    if partition not in df.columns:
+        return df
+    year = F.col(partition)
+    if first is not None:
+        df = df.filter(year >= first)
+    return df if last is None else df.filter(year <= last)
+
+
 def a_year_before(day: dt.date) -> dt.date:
     """Same day one year earlier; 29 February becomes 28 February."""
     last = calendar.monthrange(day.year - 1, day.month)[1]

@@ -14,7 +14,7 @@ from bizpanel.functions.classify import (
 )
 from bizpanel.functions.numbers import or_zero, sum_where
 from bizpanel.operators.filters import non_empty, prefix
-from bizpanel.operators.joins import full_merge, left_dim
+from bizpanel.operators.joins import left_dim
 from bizpanel.operators.period import Period
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
@@ -55,38 +55,57 @@ def cash_base(
     )
 
 
-def _group_side(base: DataFrame, window: str, names: dict[str, str]) -> DataFrame:
-    """Sums per group and currency of the rows that have lines in a window."""
+def _cash_groups(base: DataFrame, keys: list[str | Column], measures: list[str]) -> DataFrame:
+    """Second-level sums of the base over the cash accounts."""
     return (
-        base.filter(ledger.is_cash_account() & (F.col(f"{window}_rows") > 0))
-        .groupBy(account_group(F.col("account")).alias("account_group"), "line_currency")
-        .agg(*[F.sum(source).alias(name) for source, name in names.items()])
+        base.filter(ledger.is_cash_account())
+        .groupBy(*keys)
+        .agg(*[F.sum(m).alias(m) for m in measures])
     )
 
 
 def cash_summary(base: DataFrame) -> DataFrame:
     """Year opening and period closing per account group and currency.
 
-    A NULL currency never matches itself, so its opening and closing are two rows.
+    Opening and closing come from one grouping. They are two sides that match on the
+    currency, and a NULL currency matches nothing, so it gets a row for each side.
     """
-    closing = _group_side(
-        base, "closing", {"closing_balance": "balance", "closing_book": "balance_book"}
+    group = account_group(F.col("account")).alias("account_group")
+    amounts = ["closing_balance", "closing_book", "year_opening_balance", "year_opening_book"]
+    grouped = _cash_groups(
+        base, [group, "line_currency"], ["closing_rows", "year_opening_rows", *amounts]
     )
-    opening = _group_side(
-        base,
-        "year_opening",
-        {"year_opening_balance": "opening_balance", "year_opening_book": "opening_balance_book"},
+
+    def side(closing: bool, opening: bool) -> Column:
+        shown = [closing, closing, opening, opening]
+        names = ["balance", "balance_book", "opening_balance", "opening_balance_book"]
+        return F.struct(
+            *[
+                or_zero(F.when(F.lit(keep), F.col(a))).alias(name)
+                for a, keep, name in zip(amounts, shown, names)
+            ]
+        )
+
+    has_closing, has_opening = F.col("closing_rows") > 0, F.col("year_opening_rows") > 0
+    apart = F.array(
+        F.when(has_closing, side(True, False)), F.when(has_opening, side(False, True))
+    )
+    together = F.array(F.when(has_closing | has_opening, side(True, True)))
+    sides = F.when(F.col("line_currency").isNull(), apart).otherwise(together)
+    return (
+        grouped.withColumn("side", F.explode(sides))
+        .filter(F.col("side").isNotNull())
+        .select(
+            "account_group",
+            account_group_name(F.col("account_group")).alias("group_name"),
+            "line_currency",
+            "side.balance",
+            "side.opening_balance",
+            "side.balance_book",
+            "side.opening_balance_book",
+        )
+        .orderBy(F.col("account_group").asc_nulls_first(), F.col("line_currency").asc_nulls_first())
     )
-    merged = full_merge(closing, opening, ["account_group", "line_currency"])
-    return merged.select(
-        "account_group",
-        account_group_name(F.col("account_group")).alias("group_name"),
-        "line_currency",
-        or_zero(F.col("balance")).alias("balance"),
-        or_zero(F.col("opening_balance")).alias("opening_balance"),
-        or_zero(F.col("balance_book")).alias("balance_book"),
-        or_zero(F.col("opening_balance_book")).alias("opening_balance_book"),
-    ).orderBy(F.col("account_group").asc_nulls_first(), F.col("line_currency").asc_nulls_first())
 
 
 def cash_accounts(
@@ -97,31 +116,22 @@ def cash_accounts(
     Only accounts that move in the period are listed. ``strict_parity`` joins the
     opening on the account alone, which repeats a line once per opening currency.
     """
-    keys = ["account", "line_currency"]
-    cash = base.filter(ledger.is_cash_account())
-    movement = (
-        ledger.with_account_name(
-            cash.filter(F.col("period_rows") > 0)
-            .groupBy(*keys)
-            .agg(
-                F.sum("total_debit").alias("total_debit"),
-                F.sum("total_credit").alias("total_credit"),
-                F.sum("period_balance").alias("movement"),
-            ),
-            accounts,
-        )
-        .groupBy("account", "account_description", "line_currency")
-        .agg(*[F.sum(c).alias(c) for c in ("total_debit", "total_credit", "movement")])
-    )
-    opening = (
-        cash.filter(F.col("opening_rows") > 0)
-        .groupBy(*keys)
-        .agg(F.sum("opening_balance").alias("opening_balance"))
+    moves = ["total_debit", "total_credit", "period_balance"]
+    grouped = _cash_groups(
+        base,
+        ["account", "line_currency"],
+        ["period_rows", "opening_rows", "opening_balance", *moves],
     )
+    moving = grouped.filter(F.col("period_rows") > 0)
     if strict_parity:
-        joined = left_dim(movement, opening.drop("line_currency"), "account")
+        opening = grouped.filter(F.col("opening_rows") > 0).select("account", "opening_balance")
+        moving = left_dim(moving.drop("opening_balance"), opening, "account")
     else:
-        joined = left_dim(movement, opening, keys)
+        known = F.col("line_currency").isNotNull()
+        moving = moving.withColumn("opening_balance", F.when(known, F.col("opening_balance")))
+    joined = ledger.with_account_name(moving, accounts).withColumnRenamed(
+        "period_balance", "movement"
+    )
     group = account_group(F.col("account"))
     opened = or_zero(F.col("opening_balance"))
     return joined.select(

@@ -9,7 +9,7 @@ from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.classify import expense_badge, payment_badge, target_badge
 from bizpanel.functions.numbers import or_zero, pct_of, ratio_pct, sum_where
 from bizpanel.operators.joins import one_row
-from bizpanel.operators.period import Period
+from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
 from bizpanel.plans.expenses import expense_accounts, expense_base
 from bizpanel.plans.purchasing import in_period, net_amount
@@ -62,8 +62,9 @@ def control_month(tables: Tables, year: int, month: int) -> DataFrame:
 def control_period(tables: Tables, period: Period) -> dict[str, DataFrame]:
     """The control report: ``kpis`` (balances at period end), ``expenses`` and ``cash``."""
     until_end = period.until_end(F.col("journal_date"))
+    journal = prune_years(tables.journal_line, "journal_year", last=period.year)
     return {
-        "kpis": control_kpis(tables, period, until_end),
+        "kpis": control_kpis(tables.replace(journal_line=journal), period, until_end),
         "expenses": expense_accounts(
             expense_base(tables.journal_line, period), tables.accounts_master
         ),

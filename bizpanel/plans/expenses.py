@@ -10,7 +10,7 @@ from bizpanel.functions.classify import expense_badge
 from bizpanel.functions.numbers import or_zero, pct_of
 from bizpanel.operators.aggregates import rollup_parent, share_of_parent
 from bizpanel.operators.joins import attach_scalar, with_parent
-from bizpanel.operators.period import Period
+from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
 
@@ -26,8 +26,9 @@ DETAIL_KEYS = (
 
 def expense_base(journal: DataFrame, period: Period) -> DataFrame:
     """Expense amount per account and segment, summed before any dimension is joined."""
+    of_year = prune_years(journal, "journal_year", period.year, period.year)
     return (
-        journal.filter(ledger.expense_rows(period))
+        of_year.filter(ledger.expense_rows(period))
         .groupBy("account", "segment9")
         .agg(F.sum(ledger.book_balance()).alias("total_amount"))
     )

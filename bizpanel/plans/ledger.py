@@ -10,7 +10,7 @@ from bizpanel.functions.classify import account_group, account_group_name
 from bizpanel.functions.numbers import native_amount, or_zero
 from bizpanel.operators.filters import doc_type, in_list, not_in_list, positive, prefix
 from bizpanel.operators.joins import left_dim
-from bizpanel.operators.period import Period
+from bizpanel.operators.period import Period, prune_years
 
 AMOUNTS = ("debit_book", "credit_book", "debit_txn", "credit_txn")
 
@@ -90,7 +90,8 @@ def group_balances(journal: DataFrame, period: Period) -> DataFrame:
     """Year opening, period-end balance and their difference per cash account group."""
     date = F.col("journal_date")
     groups = (
-        journal.filter(is_cash_account() & period.until_end(date))
+        prune_years(journal, "journal_year", last=period.year)
+        .filter(is_cash_account() & period.until_end(date))
         .groupBy(account_group(F.col("account")).alias("account_group"))
         .agg(
             or_zero(F.sum(F.when(period.before_year(date), book_balance()))).alias(

@@ -22,7 +22,7 @@ from bizpanel.functions.numbers import (
 )
 from bizpanel.operators.aggregates import metrics, top_k
 from bizpanel.operators.joins import left_dim, one_row, semi
-from bizpanel.operators.period import Period, in_years, ytd, ytd_prior
+from bizpanel.operators.period import Period, in_years, prune_years, ytd, ytd_prior
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
 
@@ -91,8 +91,9 @@ def line_measures(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     Lines are summed per invoice before they meet their headers: an invoice with very
     many lines reaches the join as one row, and the join reuses the shuffle.
     """
-    lines = tables.sales_line.filter(
-        in_years(F.col("invoice_date"), period.year - 1, period.year)
+    first, last = period.year - 1, period.year
+    lines = prune_years(tables.sales_line, "line_year", first, last).filter(
+        in_years(F.col("invoice_date"), first, last)
     )
     items = tables.item_master.select("item_id", "volume")
     windows = date_windows(F.col("invoice_date"), period, as_of)

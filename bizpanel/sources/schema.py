@@ -81,15 +81,15 @@ def columns(table: str) -> list[tuple[str, str]]:
     return _COLUMN.findall(SCHEMAS[table])
 
 
-# Year column by which a large fact is laid out, so that a year test prunes files.
-YEAR_COLUMNS = {
-    "journal_line": "year(journal_date)",
-    "sales_header": "invoice_year",
-    "sales_line": "year(invoice_date)",
-    "customer_monthly_summary": "summary_year",
-    "purchase_header": "invoice_year",
-    "purchase_line": "inv_year",
-    "charging": "charging_year",
-    "activation": "activation_year",
-    "redemption": "redemption_year",
+# Partition column of each large fact, and how it is made where the fact has no such column.
+YEAR_PARTITIONS = {
+    "journal_line": ("journal_year", "year(journal_date)"),
+    "sales_header": ("invoice_year", None),
+    "sales_line": ("line_year", "year(invoice_date)"),
+    "customer_monthly_summary": ("summary_year", None),
+    "purchase_header": ("invoice_year", None),
+    "purchase_line": ("inv_year", None),
+    "charging": ("charging_year", None),
+    "activation": ("activation_year", None),
+    "redemption": ("redemption_year", None),
 }

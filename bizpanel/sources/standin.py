@@ -1,26 +1,25 @@
 """The business tables mapped onto the TPC-H-like test tables.
 
 Each table is a projection of a test table, so its size grows with the test data.
-The same mapping is stated in SQL in ``bizpanel.checks.mapping``.
+The expressions follow the column order of ``bizpanel.sources.schema``. The same
+mapping is stated in DuckDB's SQL in ``bizpanel.checks.mapping``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from bizpanel.sources.schema import columns
 from bizpanel.sources.tables import Tables
 
 Read = Callable[[str], DataFrame]
 
-# Accounts by part number modulo 16, documents by line number, departments by customer.
+# Accounts by part number modulo 16, departments by customer number modulo 12.
 ACCOUNTS = (
     "1241 1242 2321 2322 4211 4212 4221 4231 1261 1262 1271 1272 1278 1270 1279 5111"
 ).split()
-DOCUMENTS = ("GR", "BT", "NR", "GP", "NP")
 DEPARTMENTS = (
     "ادارة المبيعات",
     " ادارة  الانتاج ",
@@ -35,504 +34,373 @@ DEPARTMENTS = (
     "ادارة الخدمات",
     "MACHINERY",
 )
-BANK_MARKS = ("EG", "SD", "EU", "XX")
-BANK_WORDS = ("dollar", "egp", "euro", "main")
-COMPONENTS = 2
 
 
-def money(column: str) -> Column:
-    return F.col(column).cast("decimal(18,2)")
+def pick(values: Sequence[str], index: str) -> str:
+    """SQL for the value at a 0-based index."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), CAST({index} AS INT) + 1)"
 
 
-def text(column: Column) -> Column:
-    return column.cast("string")
+def day(column: str) -> str:
+    return f"CAST({column} AS DATE)"
 
 
-def day(column: str) -> Column:
-    return F.col(column).cast("date")
+def money(column: str) -> str:
+    return f"CAST({column} AS DECIMAL(18,2))"
 
 
-def pick(values: Sequence[str], index: Column) -> Column:
-    """The value at a 0-based index; NULL beyond the list."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def plus_days(first: str, days: str) -> str:
+    return f"date_add(DATE'{first}', CAST({days} AS INT))"
 
 
-def _div(column: str, by: int) -> Column:
-    return F.floor(F.col(column) / F.lit(by))
+DEBIT = "CAST(l_quantity AS INT) % 2 = 1"
+BOOK = money("l_extendedprice")
+TXN = f"{money('l_quantity')} * 10"
+DOCUMENT = """CASE l_linenumber WHEN 1 THEN 'GR' WHEN 2 THEN 'BT' WHEN 3 THEN 'NR'
+    WHEN 4 THEN 'GP' WHEN 5 THEN 'NP' ELSE 'JV' END"""
+BANK_MARKS = ("EG", "SD", "EU", "XX")
+BANK_WORDS = ("dollar", "egp", "euro")
+ITEM_TYPE = """CASE p_type WHEN 'ECONOMY' THEN 'R' WHEN 'SMALL' THEN 'P' WHEN 'LARGE' THEN 'B'
+    WHEN 'MEDIUM' THEN 'S' WHEN 'PROMO' THEN 'X' END"""
 
 
-def _plus_days(first: str, days: Column) -> Column:
-    return F.date_add(F.lit(first).cast("date"), days.cast("int"))
+def bank_code(key: str) -> str:
+    return f"concat('BK', {key} % 12, {pick(BANK_MARKS, f'{key} % 12 % 4')})"
 
 
-def journal_line(read: Read) -> DataFrame:
-    supplier, debit = F.col("l_suppkey"), F.col("l_quantity").cast("int") % 2 == 1
-    book, txn = money("l_extendedprice"), money("l_quantity") * 10
-    currency = F.when(F.col("l_linestatus") == "F", "EGP").otherwise(
-        F.when(F.col("l_returnflag") == "A", "USD").when(F.col("l_returnflag") == "N", "EUR")
+def _segments(read: Read) -> DataFrame:
+    nation = read("nation").selectExpr(
+        "concat('N', n_nationkey) AS v", "n_name AS d", "concat('R', n_regionkey) AS p"
     )
-    bank = supplier % 12
-    return read("lineitem").select(
-        pick(ACCOUNTS, F.col("l_partkey") % 16).alias("account"),
-        F.concat(
-            F.coalesce(pick(DOCUMENTS, F.col("l_linenumber") - 1), F.lit("JV")),
-            text(F.col("l_orderkey")),
-        ).alias("journal_no"),
-        day("l_shipdate").alias("journal_date"),
-        F.when(debit, book).otherwise(0).alias("debit_book"),
-        F.when(debit, 0).otherwise(book).alias("credit_book"),
-        F.when(debit, txn).otherwise(0).alias("debit_txn"),
-        F.when(debit, 0).otherwise(txn).alias("credit_txn"),
-        currency.alias("line_currency"),
-        F.when(bank == 0, "")
-        .otherwise(F.concat(F.lit("BK"), text(bank), pick(BANK_MARKS, bank % 4)))
-        .alias("bank"),
-        text(supplier).alias("vendor"),
-        F.concat(F.lit("N"), text(supplier % 27)).alias("segment9"),
+    region = read("region").selectExpr("concat('R', r_regionkey)", "r_name", "CAST(NULL AS STRING)")
+    return nation.union(region).selectExpr("explode(array(9, 8)) AS id", "v", "d", "p")
+
+
+def _months(read: Read) -> DataFrame:
+    """Monthly order amounts; weight and volume stand in as key sums and counts."""
+    rows = read("orders").selectExpr(
+        "o_custkey",
+        "year(o_orderdate) AS y",
+        "month(o_orderdate) AS m",
+        f"{money('o_totalprice')} AS amount",
+        "o_orderkey % 100 AS weight",
+        "1 AS volume",
     )
-
-
-def accounts_master(read: Read) -> DataFrame:
-    account = pick(ACCOUNTS, F.col("p_partkey") % 16)
-    return (
-        read("part")
-        .select(account.alias("account_number"))
-        .distinct()
-        .filter(F.col("account_number") != "4231")
-        .select("account_number", F.concat(F.lit("Account "), "account_number"))
+    return rows.groupBy("o_custkey", "y", "m").sum("amount", "weight", "volume").toDF(
+        "o_custkey", "y", "m", "amount", "weight", "volume"
     )
 
 
-def bank_accounts_master(read: Read) -> DataFrame:
-    bank = F.col("s_suppkey") % 12
-    return (
-        read("supplier")
-        .select(bank.alias("k"))
+# Table: rows to project, and one SQL expression per declared column.
+MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
+    "journal_line": (
+        lambda read: read("lineitem"),
+        (
+            pick(ACCOUNTS, "l_partkey % 16"),
+            f"concat({DOCUMENT}, l_orderkey)",
+            day("l_shipdate"),
+            f"CASE WHEN {DEBIT} THEN {BOOK} ELSE 0 END",
+            f"CASE WHEN {DEBIT} THEN 0 ELSE {BOOK} END",
+            f"CASE WHEN {DEBIT} THEN {TXN} ELSE 0 END",
+            f"CASE WHEN {DEBIT} THEN 0 ELSE {TXN} END",
+            """CASE WHEN l_linestatus = 'F' THEN 'EGP' WHEN l_returnflag = 'A' THEN 'USD'
+                WHEN l_returnflag = 'N' THEN 'EUR' END""",
+            f"CASE WHEN l_suppkey % 12 = 0 THEN '' ELSE {bank_code('l_suppkey')} END",
+            "l_suppkey",
+            "concat('N', l_suppkey % 27)",
+        ),
+    ),
+    "accounts_master": (
+        lambda read: read("part")
+        .selectExpr(f"{pick(ACCOUNTS, 'p_partkey % 16')} AS account")
         .distinct()
-        .filter(F.col("k").between(1, 10))
-        .select(
-            F.concat(F.lit("BK"), text(F.col("k")), pick(BANK_MARKS, F.col("k") % 4)),
-            F.concat(F.lit("Bank "), text(F.col("k")), F.lit(" "), pick(BANK_WORDS, F.col("k") % 3)),
-        )
-    )
-
-
-def segments_master(read: Read) -> DataFrame:
-    nation = read("nation").select(
-        F.concat(F.lit("N"), text(F.col("n_nationkey"))).alias("segment_value"),
-        F.col("n_name").alias("value_description"),
-        F.concat(F.lit("R"), text(F.col("n_regionkey"))).alias("parent_value"),
-    )
-    region = read("region").select(
-        F.concat(F.lit("R"), text(F.col("r_regionkey"))).alias("segment_value"),
-        F.col("r_name").alias("value_description"),
-        F.lit(None).cast("string").alias("parent_value"),
-    )
-    both = nation.unionByName(region)
-    ids = F.explode(F.array(F.lit(9), F.lit(8))).alias("segment_id")
-    return both.select(
-        ids,
-        "segment_value",
-        "value_description",
-        "parent_value",
-    ).withColumn(
-        "value_description",
-        F.when(F.col("segment_id") == 8, F.concat(F.lit("Old "), "value_description")).otherwise(
-            F.col("value_description")
+        .where("account <> '4231'"),
+        ("account", "concat('Account ', account)"),
+    ),
+    "bank_accounts_master": (
+        lambda read: read("supplier")
+        .selectExpr("s_suppkey % 12 AS k")
+        .distinct()
+        .where("k BETWEEN 1 AND 10"),
+        (bank_code("k"), f"concat('Bank ', k, ' ', {pick(BANK_WORDS, 'k % 3')})"),
+    ),
+    "segments_master": (
+        _segments,
+        ("id", "v", "CASE WHEN id = 8 THEN concat('Old ', d) ELSE d END", "p"),
+    ),
+    "sales_header": (
+        lambda read: read("orders"),
+        (
+            "o_orderkey",
+            f"year(date_add({day('o_orderdate')}, 5))",
+            day("o_orderdate"),
+            "o_custkey",
+            "o_orderpriority",
+            money("o_totalprice"),
+            "CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END",
+            f"{money('o_totalprice')} + 10",
         ),
-    )
-
-
-def sales_header(read: Read) -> DataFrame:
-    return read("orders").select(
-        F.col("o_orderkey").alias("internal_id"),
-        F.year(F.date_add(day("o_orderdate"), 5)).alias("invoice_year"),
-        day("o_orderdate").alias("invoice_date"),
-        text(F.col("o_custkey")).alias("customer_number"),
-        F.col("o_orderpriority").alias("sales_person_number"),
-        money("o_totalprice").alias("total_taxable_amount"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("2")).otherwise(F.lit("1")),
-        money("o_totalprice") + 10,
-    )
-
-
-def sales_line(read: Read) -> DataFrame:
-    return read("lineitem").select(
-        F.col("l_orderkey").alias("int_id"),
-        F.col("l_partkey").alias("item_id"),
-        day("l_shipdate").alias("invoice_date"),
-        F.when(F.col("l_linenumber") != 7, money("l_quantity")).alias("line_weight"),
-        money("l_quantity").alias("invoiced_quantity"),
-    )
-
-
-def customer_master(read: Read) -> DataFrame:
-    segment = F.col("c_mktsegment")
-    person = (
-        F.when(segment == "BUILDING", "1B")
-        .when(segment == "AUTOMOBILE", "2A")
-        .when(segment == "MACHINERY", "3M")
-        .when(segment == "HOUSEHOLD", "4H")
-    )
-    return read("customer").select(text(F.col("c_custkey")), person)
-
-
-def customer_monthly_summary(read: Read) -> DataFrame:
-    """Months of header amounts; weight and volume stand in as counts and sizes."""
-    return (
-        read("orders")
-        .groupBy(
-            text(F.col("o_custkey")).alias("customer_no"),
-            F.year("o_orderdate").alias("summary_year"),
-            F.month("o_orderdate").alias("summary_month"),
-        )
-        .agg(
-            F.sum(money("o_totalprice")).alias("total_amount"),
-            F.sum(F.col("o_orderkey") % 100).alias("total_weight"),
-            F.count(F.lit(1)).alias("total_volume"),
-        )
-        .select(
-            "customer_no",
-            F.when(
-                F.col("customer_no").cast("bigint") % 9 != 0,
-                F.concat(F.lit("Customer "), "customer_no"),
-            ).alias("customer_name"),
-            "summary_year",
-            "summary_month",
-            "total_amount",
-            "total_weight",
-            "total_volume",
-        )
-    )
-
-
-def purchase_header(read: Read) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return read("orders").select(
-        F.col("o_orderkey").alias("internal_id"),
-        F.year("o_orderdate").alias("invoice_year"),
-        day("o_orderdate").alias("invoice_date"),
-        text(_div("o_custkey", 15)).alias("vendor_number"),
-        F.when(status == "F", "NL").when(status == "O", "IM").alias("vendor_type"),
-        money("o_totalprice").alias("total_lines_amount"),
-        F.when(F.col("o_orderkey") % 3 == 0, 100).otherwise(0).alias("total_discount"),
-        F.when(status == "O", F.lit("31")).otherwise(F.lit("1")),
-        F.when(status == "O", "USD").otherwise("EGP").alias("invoice_currency"),
-    )
-
-
-def item_code(key: str) -> Column:
-    return F.concat(F.lit("I"), text(F.col(key)))
-
-
-def purchase_line(read: Read) -> DataFrame:
-    flag, part = F.col("l_returnflag"), F.col("l_partkey")
-    code = F.when(part % 17 == 0, "").when(part % 19 != 0, item_code("l_partkey"))
-    kind = F.when(flag == "A", "R").when(flag == "N", "P").otherwise("F")
-    return read("lineitem").select(
-        F.col("l_orderkey").alias("int_id"),
-        F.year("l_shipdate").alias("inv_year"),
-        code.alias("item_code"),
-        kind.alias("item_type"),
-        money("l_extendedprice").alias("price"),
-        money("l_extendedprice").alias("line_amount"),
-        money("l_quantity").alias("line_discount"),
-    )
-
-
-def vendor_master(read: Read) -> DataFrame:
-    key = F.col("s_suppkey")
-    name = F.when(key % 10 != 7, F.concat(F.lit("Vendor "), text(_div("s_suppkey", 2))))
-    return read("supplier").filter(key % 13 != 0).select(text(key), name)
-
-
-def item_balance(read: Read) -> DataFrame:
-    returned = F.col("l_returnflag") == "R"
-    quantity = money("l_quantity")
-    return read("lineitem").select(
-        F.col("l_partkey").alias("item_id"),
-        item_code("l_partkey").alias("item_code"),
-        F.when(returned, -quantity).otherwise(quantity).alias("item_balance"),
-    )
-
-
-def _item_type() -> Column:
-    kinds = {"ECONOMY": "R", "SMALL": "P", "LARGE": "B", "MEDIUM": "S", "PROMO": "X"}
-    result = F.lit(None).cast("string")
-    for name, code in kinds.items():
-        result = F.when(F.col("p_type") == name, code).otherwise(result)
-    return result
-
-
-def item_master(read: Read) -> DataFrame:
-    return read("part").select(
-        F.col("p_partkey").alias("item_id"),
-        _item_type().alias("item_type"),
-        F.when(F.col("p_size") != 7, F.col("p_name")).alias("item_extra_description"),
-        F.when(F.col("p_partkey") % 11 != 0, F.col("p_size")).alias("volume"),
-    )
-
-
-def charging(read: Read) -> DataFrame:
-    return read("orders").select(
-        F.col("o_custkey").alias("client_id"),
-        F.year("o_orderdate"),
-        F.month("o_orderdate"),
-        F.col("o_orderpriority"),
-        F.col("o_orderkey") % 5 + 1,
-        money("o_totalprice"),
-    )
-
-
-def activation(read: Read) -> DataFrame:
-    flag = F.col("l_returnflag")
-    kind = F.when(flag == "A", "1-URGENT").when(flag == "N", "2-HIGH").otherwise("9-NEW")
-    return read("lineitem").select(
-        F.year("l_shipdate"), F.month("l_shipdate"), kind, F.lit(1), money("l_extendedprice")
-    )
-
-
-def redemption(read: Read) -> DataFrame:
-    key = F.col("o_orderkey")
-    source = F.when(key % 3 == 0, "NOVA").when(key % 3 == 1, "CCALL").otherwise("SHOP")
-    return (
-        read("orders")
-        .filter(F.col("o_orderstatus") == "F")
-        .select(
-            F.col("o_custkey"),
-            F.year("o_orderdate"),
-            F.month("o_orderdate"),
-            F.concat(F.lit("Gift "), text(key % 40)),
+    ),
+    "sales_line": (
+        lambda read: read("lineitem"),
+        (
+            "l_orderkey",
+            "l_partkey",
+            day("l_shipdate"),
+            f"CASE WHEN l_linenumber <> 7 THEN {money('l_quantity')} END",
+            money("l_quantity"),
+        ),
+    ),
+    "customer_master": (
+        lambda read: read("customer"),
+        (
+            "c_custkey",
+            """CASE c_mktsegment WHEN 'BUILDING' THEN '1B' WHEN 'AUTOMOBILE' THEN '2A'
+                WHEN 'MACHINERY' THEN '3M' WHEN 'HOUSEHOLD' THEN '4H' END""",
+        ),
+    ),
+    "customer_monthly_summary": (
+        _months,
+        (
+            "o_custkey",
+            "CASE WHEN o_custkey % 9 <> 0 THEN concat('Customer ', o_custkey) END",
+            "y",
+            "m",
+            "amount",
+            "weight",
+            "volume",
+        ),
+    ),
+    "purchase_header": (
+        lambda read: read("orders"),
+        (
+            "o_orderkey",
+            "year(o_orderdate)",
+            day("o_orderdate"),
+            "o_custkey div 15",
+            "CASE o_orderstatus WHEN 'F' THEN 'NL' WHEN 'O' THEN 'IM' END",
             money("o_totalprice"),
-            key % 500,
-            source,
-        )
-    )
-
-
-def client_master(read: Read) -> DataFrame:
-    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-    painter = F.when(segment == "BUILDING", 1).when(segment != "FURNITURE", 0)
-    copies = F.when(key % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return (
-        read("customer")
-        .filter(key % 31 != 0)
-        .withColumn("copy", F.explode(copies))
-        .select(
-            key,
-            F.when(key % 9 != 0, F.col("c_name")),
-            _plus_days("1998-01-01", key % 1200),
-            painter,
-            F.col("c_nationkey"),
-        )
-    )
-
-
-def governorate(read: Read) -> DataFrame:
-    return read("nation").filter(F.col("n_nationkey") % 6 != 5).select("n_nationkey", "n_name")
-
-
-def employee(read: Read) -> DataFrame:
-    key = F.col("c_custkey")
-    manager = _div("c_custkey", 10)
-    gone = key % 8 == 0
-    state = F.when(gone, "Resigned").when(key % 3 == 0, "Working ").otherwise("Working")
-    staff = pick(("W", "W", "N ", "N", "X"), key % 5)
-    notes = F.when(gone, F.concat(F.lit("Note "), text(key)))
-    return read("customer").select(
-        key,
-        F.col("c_name"),
-        F.when(key % 29 != 0, F.concat(F.lit("Branch "), text(F.col("c_nationkey")))),
-        F.when(key % 43 != 0, pick(DEPARTMENTS, key % 12)),
-        F.concat(F.lit("Division "), text(key % 7)),
-        F.concat(F.lit("Job "), text(key % 23)),
-        manager,
-        _plus_days("1995-01-01", key * 7 % 2500),
-        F.concat(F.lit("Street "), text(key % 100)),
-        _plus_days("1995-02-01", key * 7 % 2500),
-        _plus_days("2001-02-01", key % 365),
-        state,
-        F.when(gone, _plus_days("2000-01-01", key % 400)),
-        notes,
-        staff,
-        F.col("c_mktsegment"),
-        F.when(key % 10 == 0, 1).otherwise(0),
-        manager,
-        F.when(key % 20 != 3, key),
-        _plus_days("1960-01-01", key * 11 % 12000),
-        F.concat(F.lit("02-"), text(key)),
-        F.concat(F.lit("01-"), text(key)),
-    )
-
-
-def employee_master(read: Read) -> DataFrame:
-    key = F.col("c_custkey")
-    return read("customer").filter(key % 37 != 0).select(key, F.upper("c_name"))
-
-
-def employee_salary(read: Read) -> DataFrame:
-    """Component 1 is the account balance; every third customer has a second one."""
-    key = F.col("c_custkey")
-    parts = F.when(key % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    component = F.col("salary_id")
-    amount = F.when(component == 1, money("c_acctbal")).otherwise(500)
-    return (
-        read("customer")
-        .filter(key % 41 != 0)
-        .withColumn("salary_id", F.explode(parts))
-        .select(key, component, amount)
-    )
-
-
-def salary_master(read: Read) -> DataFrame:
-    return read("region").select("r_regionkey", "r_name")
-
-
-def termination(read: Read) -> DataFrame:
-    key = F.col("c_custkey")
-    return (
-        read("customer")
-        .filter(key % 8 == 0)
-        .select(
-            key,
-            _plus_days("2000-01-01", key % 400),
-            F.concat(F.lit("Left "), text(key)),
-            F.when(key % 16 == 0, 10).otherwise(20),
-        )
-    )
-
-
-def kpi_evaluation(read: Read) -> DataFrame:
-    key = F.col("o_orderkey")
-    return read("orders").select(
-        F.col("o_custkey"),
-        F.year("o_orderdate"),
-        F.quarter("o_orderdate"),
-        key % 7,
-        key % 3 * 100,
-        key % 250,
-        _div("o_custkey", 10),
-        F.when(F.col("o_orderstatus") == "F", 30).otherwise(10),
-    )
-
-
-def kpi_master(read: Read) -> DataFrame:
-    return read("region").select("r_regionkey", F.concat(F.lit("KPI "), "r_name"))
-
-
-def leave_history(read: Read) -> DataFrame:
-    return read("orders").select("o_custkey", F.col("o_orderkey") % 5, day("o_orderdate"))
-
-
-def leave_master(read: Read) -> DataFrame:
-    key = F.col("r_regionkey")
-    return read("region").select(
-        key,
-        F.col("r_name"),
-        F.when(key == 4, 1).otherwise(2),
-        F.when(key == 0, 1).when(key != 1, 0),
-    )
-
-
-def leave_balance(read: Read) -> DataFrame:
-    key = F.col("c_custkey")
-    return read("customer").select(
-        key, key % 5, F.lit(2000), F.lit(21), key % 25, key % 3, key % 2
-    )
+            "CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END",
+            "CASE WHEN o_orderstatus = 'O' THEN 31 ELSE 1 END",
+            "CASE WHEN o_orderstatus = 'O' THEN 'USD' ELSE 'EGP' END",
+        ),
+    ),
+    "purchase_line": (
+        lambda read: read("lineitem"),
+        (
+            "l_orderkey",
+            "year(l_shipdate)",
+            """CASE WHEN l_partkey % 17 = 0 THEN ''
+                WHEN l_partkey % 19 <> 0 THEN concat('I', l_partkey) END""",
+            "CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'N' THEN 'P' ELSE 'F' END",
+            BOOK,
+            BOOK,
+            money("l_quantity"),
+        ),
+    ),
+    "vendor_master": (
+        lambda read: read("supplier").where("s_suppkey % 13 <> 0"),
+        ("s_suppkey", "CASE WHEN s_suppkey % 10 <> 7 THEN concat('Vendor ', s_suppkey div 2) END"),
+    ),
+    "item_balance": (
+        lambda read: read("lineitem"),
+        (
+            "l_partkey",
+            "concat('I', l_partkey)",
+            "CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END",
+        ),
+    ),
+    "item_master": (
+        lambda read: read("part"),
+        (
+            "p_partkey",
+            ITEM_TYPE,
+            "CASE WHEN p_size <> 7 THEN p_name END",
+            "CASE WHEN p_partkey % 11 <> 0 THEN p_size END",
+        ),
+    ),
+    "charging": (
+        lambda read: read("orders"),
+        (
+            "o_custkey",
+            "year(o_orderdate)",
+            "month(o_orderdate)",
+            "o_orderpriority",
+            "o_orderkey % 5 + 1",
+            money("o_totalprice"),
+        ),
+    ),
+    "activation": (
+        lambda read: read("lineitem"),
+        (
+            "year(l_shipdate)",
+            "month(l_shipdate)",
+            "CASE l_returnflag WHEN 'A' THEN '1-URGENT' WHEN 'N' THEN '2-HIGH' ELSE '9-NEW' END",
+            "1",
+            BOOK,
+        ),
+    ),
+    "redemption": (
+        lambda read: read("orders").where("o_orderstatus = 'F'"),
+        (
+            "o_custkey",
+            "year(o_orderdate)",
+            "month(o_orderdate)",
+            "concat('Gift ', o_orderkey % 40)",
+            money("o_totalprice"),
+            "o_orderkey % 500",
+            "CASE o_orderkey % 3 WHEN 0 THEN 'NOVA' WHEN 1 THEN 'CCALL' ELSE 'SHOP' END",
+        ),
+    ),
+    "client_master": (
+        lambda read: read("customer")
+        .where("c_custkey % 31 <> 0")
+        .selectExpr("*", "explode(sequence(1, IF(c_custkey % 50 = 0, 2, 1))) AS copy"),
+        (
+            "c_custkey",
+            "CASE WHEN c_custkey % 9 <> 0 THEN c_name END",
+            plus_days("1998-01-01", "c_custkey % 1200"),
+            "CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN NULL ELSE 0 END",
+            "c_nationkey",
+        ),
+    ),
+    "governorate": (
+        lambda read: read("nation").where("n_nationkey % 6 <> 5"),
+        ("n_nationkey", "n_name"),
+    ),
+    "employee": (
+        lambda read: read("customer"),
+        (
+            "c_custkey",
+            "c_name",
+            "CASE WHEN c_custkey % 29 <> 0 THEN concat('Branch ', c_nationkey) END",
+            f"CASE WHEN c_custkey % 43 <> 0 THEN {pick(DEPARTMENTS, 'c_custkey % 12')} END",
+            "concat('Division ', c_custkey % 7)",
+            "concat('Job ', c_custkey % 23)",
+            "c_custkey div 10",
+            plus_days("1995-01-01", "c_custkey * 7 % 2500"),
+            "concat('Street ', c_custkey % 100)",
+            plus_days("1995-02-01", "c_custkey * 7 % 2500"),
+            plus_days("2001-02-01", "c_custkey % 365"),
+            """CASE WHEN c_custkey % 8 = 0 THEN 'Resigned' WHEN c_custkey % 3 = 0 THEN 'Working '
+                ELSE 'Working' END""",
+            f"CASE WHEN c_custkey % 8 = 0 THEN {plus_days('2000-01-01', 'c_custkey % 400')} END",
+            "CASE WHEN c_custkey % 8 = 0 THEN concat('Note ', c_custkey) END",
+            pick(("W", "W", "N ", "N", "X"), "c_custkey % 5"),
+            "c_mktsegment",
+            "CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END",
+            "c_custkey div 10",
+            "CASE WHEN c_custkey % 20 <> 3 THEN c_custkey END",
+            plus_days("1960-01-01", "c_custkey * 11 % 12000"),
+            "concat('02-', c_custkey)",
+            "concat('01-', c_custkey)",
+        ),
+    ),
+    "employee_master": (
+        lambda read: read("customer").where("c_custkey % 37 <> 0"),
+        ("c_custkey", "upper(c_name)"),
+    ),
+    # Component 1 is the account balance; every third customer has a second one.
+    "employee_salary": (
+        lambda read: read("customer")
+        .where("c_custkey % 41 <> 0")
+        .selectExpr("*", "explode(sequence(1, IF(c_custkey % 3 = 0, 2, 1))) AS component"),
+        ("c_custkey", "component", f"IF(component = 1, {money('c_acctbal')}, 500)"),
+    ),
+    "salary_master": (lambda read: read("region"), ("r_regionkey", "r_name")),
+    "termination": (
+        lambda read: read("customer").where("c_custkey % 8 = 0"),
+        (
+            "c_custkey",
+            plus_days("2000-01-01", "c_custkey % 400"),
+            "concat('Left ', c_custkey)",
+            "CASE WHEN c_custkey % 16 = 0 THEN 10 ELSE 20 END",
+        ),
+    ),
+    "kpi_evaluation": (
+        lambda read: read("orders"),
+        (
+            "o_custkey",
+            "year(o_orderdate)",
+            "quarter(o_orderdate)",
+            "o_orderkey % 7",
+            "o_orderkey % 3 * 100",
+            "o_orderkey % 250",
+            "o_custkey div 10",
+            "CASE WHEN o_orderstatus = 'F' THEN 30 ELSE 10 END",
+        ),
+    ),
+    "kpi_master": (lambda read: read("region"), ("r_regionkey", "concat('KPI ', r_name)")),
+    "leave_history": (
+        lambda read: read("orders"),
+        ("o_custkey", "o_orderkey % 5", day("o_orderdate")),
+    ),
+    "leave_master": (
+        lambda read: read("region"),
+        (
+            "r_regionkey",
+            "r_name",
+            "CASE WHEN r_regionkey = 4 THEN 1 ELSE 2 END",
+            "CASE r_regionkey WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END",
+        ),
+    ),
+    "leave_balance": (
+        lambda read: read("customer"),
+        ("c_custkey", "c_custkey % 5", "2000", "21", "c_custkey % 25", "c_custkey % 3", "c_custkey % 2"),
+    ),
+    "safety_stock": (
+        lambda read: read("part"),
+        (
+            "p_partkey",
+            "p_partkey",
+            "concat('I', p_partkey)",
+            "p_name",
+            f"IF(p_partkey % 2 = 0, lower({ITEM_TYPE}), {ITEM_TYPE})",
+            "p_size",
+            "CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat('W', p_partkey % 7) END",
+            "CASE WHEN p_partkey % 17 <> 0 THEN concat('P', p_partkey % 11) END",
+            "concat('user', p_partkey % 4)",
+            "TIMESTAMP_NTZ'2000-01-01 08:30:00'",
+            "CASE WHEN p_partkey % 3 = 0 THEN concat('user', p_partkey % 5) END",
+            """CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP_NTZ'2000-01-01 08:30:00'
+                + make_dt_interval(CAST(p_partkey % 300 AS INT), CAST(p_partkey % 24 AS INT)) END""",
+        ),
+    ),
+}
 
 
-def safety_stock(read: Read) -> DataFrame:
-    key = F.col("p_partkey")
-    made = F.lit("2000-01-01 08:30:00").cast("timestamp_ntz")
-    changed = made + F.make_dt_interval(key.cast("int") % 300, key.cast("int") % 24)
-    return read("part").select(
-        key,
-        key,
-        item_code("p_partkey"),
-        F.col("p_name"),
-        F.when(key % 2 == 0, F.lower(_item_type())).otherwise(_item_type()),
-        F.col("p_size"),
-        F.when(key % 13 == 0, "").otherwise(F.concat(F.lit("W"), text(key % 7))),
-        F.when(key % 17 != 0, F.concat(F.lit("P"), text(key % 11))),
-        F.concat(F.lit("user"), text(key % 4)),
-        made,
-        F.when(key % 3 == 0, F.concat(F.lit("user"), text(key % 5))),
-        F.when(key % 3 == 0, changed),
+def mapped(name: str, read: Read) -> DataFrame:
+    """One business table with its declared column names and types."""
+    rows, expressions = MAPPINGS[name]
+    return rows(read).selectExpr(
+        *[
+            f"CAST({e} AS {kind}) AS {column}"
+            for e, (column, kind) in zip(expressions, columns(name), strict=True)
+        ]
     )
 
 
 def request_documents(read: Read) -> DataFrame:
     """JSON report requests made of the events; every tenth document is cut off."""
-    event = F.col("event_id")
-    kind = event % 4
-    first, second = event % 12 + 1, event % 7 + 1
-    months = (
-        F.when(event % 5 == 0, F.lit(None).cast("string"))
-        .when(kind < 2, "")
-        .when(kind == 2, text(first))
-        .otherwise(F.concat_ws(",", text(first), text(second), text(first)))
-    )
-    request = F.struct(
-        F.when(kind == 0, "yearly").when(kind == 1, "quarterly").otherwise("monthly").alias("Period"),
-        months.alias("Months"),
-        (event % 5).alias("Quarter"),
-        (event % 7 + 1995).alias("Year"),
-    )
-    whole = F.to_json(request)
-    cut_off = F.substring(whole, 1, 20)
-    return read("events").select(
-        event, F.when(event % 10 == 9, cut_off).otherwise(whole).alias("document"), "props"
+    months = """CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 4 < 2 THEN ''
+        WHEN event_id % 4 = 2 THEN CAST(event_id % 12 + 1 AS STRING)
+        ELSE concat(event_id % 12 + 1, ',', event_id % 7 + 1, ',', event_id % 12 + 1) END"""
+    period = "element_at(array('yearly', 'quarterly', 'monthly', 'monthly'), CAST(event_id % 4 AS INT) + 1)"
+    document = f"""to_json(named_struct('Period', {period}, 'Months', {months},
+        'Quarter', event_id % 5, 'Year', event_id % 7 + 1995))"""
+    return read("events").selectExpr(
+        "event_id",
+        f"IF(event_id % 10 = 9, left({document}, 20), {document}) AS document",
+        "props",
     )
 
 
-MAPPINGS: dict[str, Callable[[Read], DataFrame]] = {
-    f.__name__: f
-    for f in (
-        journal_line,
-        accounts_master,
-        bank_accounts_master,
-        segments_master,
-        sales_header,
-        sales_line,
-        customer_master,
-        customer_monthly_summary,
-        purchase_header,
-        purchase_line,
-        vendor_master,
-        item_balance,
-        item_master,
-        charging,
-        activation,
-        redemption,
-        client_master,
-        governorate,
-        employee,
-        employee_master,
-        employee_salary,
-        salary_master,
-        termination,
-        kpi_evaluation,
-        kpi_master,
-        leave_history,
-        leave_master,
-        leave_balance,
-        safety_stock,
-    )
-}
-
-
-def typed(df: DataFrame, name: str) -> DataFrame:
-    """Columns renamed and cast to the declared schema of a table, by position."""
-    declared = columns(name)
-    named = df.toDF(*[column for column, _ in declared])
-    return named.select(*[F.col(c).cast(kind).alias(c) for c, kind in declared])
-
-
 def standin_tables(spark: SparkSession, folder: str) -> Tables:
     """The business tables over a folder of test tables."""
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    loaders = {name: (lambda n=name, f=f: typed(f(read), n)) for name, f in MAPPINGS.items()}
+    loaders = {name: (lambda n=name: mapped(n, read)) for name in MAPPINGS}
     loaders["request_documents"] = lambda: request_documents(read)
     return Tables(spark, loaders)

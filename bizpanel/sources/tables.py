@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizpanel.sources.schema import SCHEMAS
+from bizpanel.sources.schema import SCHEMAS, YEAR_PARTITIONS
 
 Loader = Callable[[], DataFrame]
 
@@ -65,23 +65,35 @@ class Tables:
 
 
 def write_fact(
-    df: DataFrame, path: str, year: str, files_per_year: int = 8, spread_by: str | None = None
+    df: DataFrame, path: str, year: str, made_from: str | None = None, files_per_year: int = 8
 ) -> None:
     """Write a fact partitioned by year, replacing only the years it holds.
 
-    Each year is written by ``files_per_year`` tasks, so a year that holds most rows
-    is not one task. ``year`` is a column name or expression. The task is picked by a
-    hash of ``spread_by`` (all columns by default), which gives the same files when a
-    lost task is run again.
+    ``made_from`` is the expression of the partition column where the fact lacks it.
+    Each year is written by ``files_per_year`` tasks, so a year that holds most rows is
+    not one task. Rows are placed by a hash of their values, which gives the same files
+    when a lost task is run again.
     """
-    spread = F.xxhash64(spread_by) if spread_by else F.xxhash64(*df.columns)
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
+    dated = df.withColumn(year, F.expr(made_from)) if made_from else df
     (
-        df.withColumn("layout_year", F.expr(year))
-        .withColumn("_task", F.pmod(spread, F.lit(files_per_year)))
-        .repartition("layout_year", "_task")
-        .drop("_task")
+        dated.repartition(year, spread)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("layout_year")
+        .partitionBy(year)
         .parquet(path)
     )
+
+
+def write_table(df: DataFrame, root: str, name: str, files_per_year: int = 8) -> None:
+    """Write a business table where ``Tables.from_parquet`` finds it, facts by year."""
+    path = f"{root}/{name}"
+    if name in YEAR_PARTITIONS:
+        write_fact(df, path, *YEAR_PARTITIONS[name], files_per_year)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Save a table bucketed by its invoice id, so that header and line join without a shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
