@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.numbers import (
@@ -288,15 +289,22 @@ def client_activity(tables: Tables, period: Period) -> DataFrame:
 def clients(tables: Tables, period: Period, k: int = fixed.LEADERBOARD_SIZE) -> DataFrame:
     """Clients by charged points.
 
-    The leaders are found before the master is joined, so only the master rows of the
-    few leaders are kept. A client with several master rows takes several places.
+    The leaders are found before the master is joined, and the master is read against
+    these few rows. They meet by a union of leaders with and without a master row, both
+    made of the same columns, so that Spark computes the leaders once. A client with
+    several master rows takes several places.
     """
     order = [F.col("total_charged_points").desc(), F.col("client_id").asc_nulls_first()]
     leaders = top_k(client_activity(tables, period), k, order)
     names = tables.client_master.select(F.col("glcid").alias("client_id"), "name")
-    their_names = names.join(F.broadcast(leaders.select("client_id")), "client_id", "left_semi")
+    found = names.join(F.broadcast(leaders), "client_id").withColumn("in_master", F.lit(1))
+    bare = leaders.withColumns(
+        {"name": F.lit(None).cast("string"), "in_master": F.lit(0)}
+    )
+    known = F.max("in_master").over(Window.partitionBy("client_id"))
+    rows = found.unionByName(bare).withColumn("known", known)
     fallback = F.concat(F.lit("Client #"), F.col("client_id").cast("string"))
-    named = left_dim(leaders, their_names, "client_id").select(
+    named = rows.filter(F.col("in_master") == F.col("known")).select(
         "client_id",
         F.coalesce(F.col("name"), fallback).alias("client_name"),
         *[c for c in leaders.columns if c != "client_id"],

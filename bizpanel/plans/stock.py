@@ -9,7 +9,7 @@ from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.numbers import count_if, or_default, or_zero, sum_if
 from bizpanel.operators.aggregates import latest, sort_by
 from bizpanel.operators.filters import having, item_bucket, non_empty, not_in_list, search
-from bizpanel.operators.joins import left_dim
+from bizpanel.operators.joins import header_lines, left_dim
 from bizpanel.sources.tables import Tables
 
 STOCK_SEARCH_COLUMNS = ("item_code", "item_extra_description")
@@ -27,14 +27,11 @@ def last_price(header: DataFrame, line: DataFrame) -> DataFrame:
     """Price, currency, date and rate of each item's latest invoice.
 
     Latest by invoice date, then invoice id; of several lines of one item on that
-    invoice the highest price counts. Lines are first reduced to one per invoice and
-    item, and the latest invoice is taken by a combining aggregate, so neither a large
-    invoice nor a much-bought item ends up whole in one task.
+    invoice the highest price counts. The latest invoice is taken by a combining
+    aggregate, so a much-bought item never ends up whole in one task.
     """
-    prices = (
-        line.filter(non_empty(F.col("item_code")))
-        .groupBy(F.col("int_id").alias("internal_id"), "item_code")
-        .agg(F.max("price").alias("last_price"))
+    prices = line.filter(non_empty(F.col("item_code"))).select(
+        "int_id", "item_code", F.col("price").alias("last_price")
     )
     dated = header.select(
         "internal_id",
@@ -43,7 +40,7 @@ def last_price(header: DataFrame, line: DataFrame) -> DataFrame:
         F.col("invoice_exchange_rate").alias("last_exchange_rate"),
     )
     return latest(
-        prices.join(dated, "internal_id"),
+        header_lines(dated, prices),
         ["item_code"],
         ["last_invoice_date", "internal_id", "last_price"],
         ["last_price", "last_currency", "last_invoice_date", "last_exchange_rate"],
