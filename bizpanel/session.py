@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 
-def build_session(cores: int | str = "*", app: str = "bizpanel") -> SparkSession:
+def build_session(
+    cores: int | str = "*", app: str = "bizpanel", settings: Mapping[str, str] | None = None
+) -> SparkSession:
     """Local session with adaptive execution, UTC and few shuffle partitions."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -17,5 +21,7 @@ def build_session(cores: int | str = "*", app: str = "bizpanel") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
