@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,11 @@ def check(
     return register
 
 
+def count() -> Column:
+    """COUNT(*)."""
+    return F.count(F.lit(1))
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles with two decimals, dates as text, so that engines agree."""
     columns = []

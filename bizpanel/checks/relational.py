@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizpanel.checks.registry import check
+from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, SECOND_QUARTER, YEAR
 from bizpanel.functions import classify, fixed_values as fixed, numbers
 from bizpanel.operators import aggregates as agg
@@ -12,8 +12,6 @@ from bizpanel.operators import filters, hierarchy, joins
 from bizpanel.operators.period import in_year
 from bizpanel.plans import cash, expenses, hr, ledger, loyalty, purchasing, sales, stock
 
-N = F.count(F.lit(1))
-
 
 # --- filters ---------------------------------------------------------------
 
@@ -25,13 +23,13 @@ N = F.count(F.lit(1))
 )
 def _(t):
     return t.purchase_header.filter(F.col("invoice_year") == YEAR).agg(
-        N.alias("n"), F.sum("total_lines_amount").alias("amount")
+        count().alias("n"), F.sum("total_lines_amount").alias("amount")
     )
 
 
 def _ledger_rows(t, predicate):
     return t.journal_line.filter(predicate).agg(
-        N.alias("n"), F.sum("debit_book").alias("debit"), F.sum("credit_book").alias("credit")
+        count().alias("n"), F.sum("debit_book").alias("debit"), F.sum("credit_book").alias("credit")
     )
 
 
@@ -72,7 +70,7 @@ def _(t):
 def _(t):
     keep = filters.not_prefix(F.col("customer_sales_person"), "1", "2", "3")
     rows = t.customer_master.filter(keep & filters.not_prefix(F.col("customer_no"), "6"))
-    return rows.groupBy("customer_sales_person").agg(N.alias("n"))
+    return rows.groupBy("customer_sales_person").agg(count().alias("n"))
 
 
 @check(
@@ -95,7 +93,7 @@ def _(t):
 )
 def _(t):
     rows = t.purchase_line.filter(filters.non_empty(F.col("item_code")))
-    return rows.groupBy("item_code").agg(N.alias("n"))
+    return rows.groupBy("item_code").agg(count().alias("n"))
 
 
 @check(
@@ -129,7 +127,7 @@ def _(t):
 def _(t):
     chosen = SECOND_QUARTER.month_number_filter(F.col("redemption_month"))
     rows = t.redemption.filter((F.col("redemption_year") == YEAR) & chosen)
-    return rows.groupBy("gift_name").agg(N.alias("n"))
+    return rows.groupBy("gift_name").agg(count().alias("n"))
 
 
 def _kind_rows(t, kind):
@@ -178,7 +176,7 @@ def _(t):
     keep = hr.is_working(F.col("state_description")) & filters.trim_in(
         F.col("group_code"), fixed.STAFF_GROUPS
     )
-    return t.employee.filter(keep).groupBy("group_code").agg(N.alias("n"))
+    return t.employee.filter(keep).groupBy("group_code").agg(count().alias("n"))
 
 
 @check(
@@ -274,7 +272,7 @@ def _(t):
 def _(t):
     joined = joins.header_lines(t.purchase_header, t.purchase_line)
     return joined.groupBy("invoice_currency").agg(
-        N.alias("n"), F.sum(F.col("price") * F.col("invoice_exchange_rate")).alias("amount")
+        count().alias("n"), F.sum(F.col("price") * F.col("invoice_exchange_rate")).alias("amount")
     )
 
 
@@ -341,7 +339,7 @@ def _(t):
        LEFT JOIN segments_master s2 ON s2.segment_value = s1.parent_value AND s2.segment_id = 9 GROUP BY 1, 2, 3""",
 )
 def _(t):
-    counted = t.journal_line.groupBy("segment9").agg(N.alias("n"))
+    counted = t.journal_line.groupBy("segment9").agg(count().alias("n"))
     return joins.with_parent(counted, t.segments_master, fixed.EXPENSE_SEGMENT_ID).drop(
         "parent_value"
     )
@@ -371,7 +369,7 @@ def _(t):
     joined = (
         t.client_master.filter(in_year(F.col("created_date"), YEAR))
         .groupBy(F.month("created_date").alias("month"))
-        .agg(N.alias("joined"))
+        .agg(count().alias("joined"))
     )
     from bizpanel.operators.period import Period
 
@@ -388,7 +386,7 @@ def _(t):
 def _(t):
     redeemers = t.redemption.filter(F.col("source") == fixed.VOUCHER_SOURCE).select("client_id")
     return joins.semi(t.charging, redeemers, "client_id").agg(
-        N.alias("n"), F.sum("total_points").alias("points")
+        count().alias("n"), F.sum("total_points").alias("points")
     )
 
 
@@ -560,7 +558,7 @@ def _(t):
 )
 def _(t):
     rows = hr.confirmed_terminations(t.termination)
-    return rows.groupBy(F.year("termination_date").alias("year")).agg(N.alias("n"))
+    return rows.groupBy(F.year("termination_date").alias("year")).agg(count().alias("n"))
 
 
 @check(
@@ -858,7 +856,7 @@ def _(t):
        ORDER BY clients DESC, governorate_id LIMIT 10""",
 )
 def _(t):
-    counted = t.client_master.groupBy("governorate_id").agg(N.alias("clients"))
+    counted = t.client_master.groupBy("governorate_id").agg(count().alias("clients"))
     return agg.preview(
         counted, fixed.PREVIEW_SIZE, [F.col("clients").desc(), F.col("governorate_id").asc()]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizpanel.checks.registry import check
+from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, SECOND_QUARTER, YEAR
 from bizpanel.functions import classify, fixed_values as fixed, numbers, text
 from bizpanel.operators import hierarchy
@@ -12,8 +12,6 @@ from bizpanel.operators.period import ytd, ytd_prior
 from bizpanel.plans import cash, expenses, hr, ledger, loyalty, sales
 from bizpanel.sources import requests
 
-N = F.count(F.lit(1))
-
 
 @check(
     "c1_null_default",
@@ -51,7 +49,7 @@ def _(t):
 def _(t):
     group = classify.account_group_name(classify.account_group(F.col("account")))
     state = classify.cash_state(F.col("debit_book"), F.col("credit_book"))
-    return t.journal_line.groupBy(group.alias("group_name"), state.alias("state")).agg(N.alias("n"))
+    return t.journal_line.groupBy(group.alias("group_name"), state.alias("state")).agg(count().alias("n"))
 
 
 @check(
@@ -64,7 +62,7 @@ def _(t):
         classify.account_group(F.col("account")).alias("account_group"),
         F.lpad(F.month("journal_date").cast("string"), 2, "0").alias("month"),
         F.substring("journal_no", 1, 2).alias("kind"),
-    ).agg(N.alias("n"))
+    ).agg(count().alias("n"))
 
 
 @check(
@@ -73,7 +71,7 @@ def _(t):
 )
 def _(t):
     state = F.lower(F.trim("state_description")).alias("state")
-    return t.employee.groupBy(state).agg(N.alias("n"))
+    return t.employee.groupBy(state).agg(count().alias("n"))
 
 
 @check(
@@ -82,7 +80,7 @@ def _(t):
 )
 def _(t):
     bank = F.replace(F.col("bank"), F.lit("BK"), F.lit("Bank ")).alias("bank")
-    return t.journal_line.groupBy(bank).agg(N.alias("n"))
+    return t.journal_line.groupBy(bank).agg(count().alias("n"))
 
 
 @check(
@@ -91,7 +89,7 @@ def _(t):
 )
 def _(t):
     client = F.concat(F.lit("Client #"), F.col("client_id").cast("string")).alias("client")
-    return t.charging.groupBy(client).agg(N.alias("n"))
+    return t.charging.groupBy(client).agg(count().alias("n"))
 
 
 @check(
@@ -104,7 +102,7 @@ def _(t):
     date = F.col("journal_date")
     return t.journal_line.groupBy(
         F.year(date).alias("year"), F.month(date).alias("month"), F.day(date).alias("day")
-    ).agg(N.alias("n"))
+    ).agg(count().alias("n"))
 
 
 @check(
@@ -119,7 +117,7 @@ def _(t):
         date,
         F.last_day(date).alias("month_end"),
         F.add_months(date, -12).alias("year_before"),
-    ).agg(N.alias("n"))
+    ).agg(count().alias("n"))
 
 
 @check(
@@ -156,7 +154,7 @@ def _(t):
 )
 def _(t):
     parts = t.employee.select(F.explode(F.split("full_name", "#")).alias("part"))
-    return parts.groupBy(F.trim("part").alias("part")).agg(N.alias("n"))
+    return parts.groupBy(F.trim("part").alias("part")).agg(count().alias("n"))
 
 
 @check(
@@ -177,7 +175,7 @@ def _(t):
 def _(t):
     date = F.to_date("last_maint_date")
     rows = t.safety_stock.filter(date <= F.lit(AS_OF))
-    return rows.groupBy(date.alias("day")).agg(N.alias("n"))
+    return rows.groupBy(date.alias("day")).agg(count().alias("n"))
 
 
 @check(
@@ -310,7 +308,7 @@ def _(t):
 )
 def _(t):
     name = text.clean_text(F.col("department_name")).alias("department")
-    return t.employee.groupBy(name).agg(N.alias("n"))
+    return t.employee.groupBy(name).agg(count().alias("n"))
 
 
 @check(
@@ -347,7 +345,7 @@ def _(t):
     rows = t.kpi_evaluation.join(balances, "employee_id")
     return rows.groupBy(
         classify.score_band(percent).alias("score"), classify.leave_band(F.col("b")).alias("leave")
-    ).agg(N.alias("n"))
+    ).agg(count().alias("n"))
 
 
 @check(
@@ -389,7 +387,7 @@ def _(t):
 )
 def _(t):
     channel = classify.sales_channel(F.col("customer_sales_person"), F.col("customer_no"))
-    return t.customer_master.groupBy(channel.alias("channel")).agg(N.alias("n"))
+    return t.customer_master.groupBy(channel.alias("channel")).agg(count().alias("n"))
 
 
 @check(
@@ -413,7 +411,7 @@ def _(t):
          count(*) AS n FROM journal_line GROUP BY 1, 2""",
 )
 def _(t):
-    counted = t.journal_line.groupBy("account").agg(N.alias("n"))
+    counted = t.journal_line.groupBy("account").agg(count().alias("n"))
     name = classify.account_group_name(classify.account_group(F.col("account")))
     return counted.select("account", name.alias("group_name"), "n")
 
@@ -429,7 +427,7 @@ def _(t):
 )
 def _(t):
     group = classify.dept_group(F.col("department_name")).alias("dept_group")
-    return t.employee.groupBy(group).agg(N.alias("n"))
+    return t.employee.groupBy(group).agg(count().alias("n"))
 
 
 BANK_CURRENCY = """CASE WHEN contains(upper(bank), 'EG') OR contains(lower(coalesce(bank_account_name, '')), 'egp') THEN 'EGP'
@@ -460,7 +458,7 @@ def _(t):
 )
 def _(t):
     label = classify.staff_group_label(F.col("group_code")).alias("label")
-    return t.employee.groupBy(label).agg(N.alias("n"))
+    return t.employee.groupBy(label).agg(count().alias("n"))
 
 
 @check(

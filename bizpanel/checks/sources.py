@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizpanel.checks.registry import check
+from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, GAP, SECOND_QUARTER, WHOLE_YEAR, YEAR
 from bizpanel.operators import period as pd
 from bizpanel.operators.joins import left_dim, months_df, on_month_spine
@@ -13,8 +13,6 @@ from bizpanel.plans import cash, ledger, loyalty, sales, stock
 from bizpanel.sources import profile, requests, sinks
 from bizpanel.sources.tables import Tables
 
-N = F.count(F.lit(1))
-
 
 @check(
     "s1_ledger_scan",
@@ -25,7 +23,7 @@ N = F.count(F.lit(1))
 )
 def _(t):
     return t.journal_line.groupBy("account").agg(
-        N.alias("n"),
+        count().alias("n"),
         F.sum("debit_book").alias("debit"),
         F.sum("credit_book").alias("credit"),
         F.min("journal_date").alias("first_day"),
@@ -45,10 +43,10 @@ def _(t):
 )
 def _(t):
     header = t.sales_header.groupBy("invoice_year").agg(
-        N.alias("n"), F.sum(sales.taxable_amount()).alias("amount")
+        count().alias("n"), F.sum(sales.taxable_amount()).alias("amount")
     )
     line = t.sales_line.groupBy(F.year("invoice_date").alias("invoice_year")).agg(
-        N.alias("lines"), F.sum("line_weight").alias("weight")
+        count().alias("lines"), F.sum("line_weight").alias("weight")
     )
     return header.join(line, "invoice_year")
 
@@ -63,10 +61,10 @@ def _(t):
 )
 def _(t):
     header = t.purchase_header.groupBy(F.col("invoice_year").alias("year")).agg(
-        N.alias("n"), F.sum(F.col("total_lines_amount") - F.col("total_discount")).alias("amount")
+        count().alias("n"), F.sum(F.col("total_lines_amount") - F.col("total_discount")).alias("amount")
     )
     line = t.purchase_line.groupBy(F.col("inv_year").alias("year")).agg(
-        N.alias("n"), F.sum(F.col("line_amount") - F.col("line_discount")).alias("amount")
+        count().alias("n"), F.sum(F.col("line_amount") - F.col("line_discount")).alias("amount")
     )
     return header.select(F.lit("header").alias("part"), "*").unionByName(
         line.select(F.lit("line").alias("part"), "*")
@@ -108,7 +106,7 @@ def _(t):
 )
 def _(t):
     return t.item_balance.groupBy("item_code").agg(
-        N.alias("n"), F.sum("item_balance").alias("balance")
+        count().alias("n"), F.sum("item_balance").alias("balance")
     )
 
 
@@ -124,7 +122,7 @@ def _(t):
 def _(t):
     def part(fact, df, year, value):
         return df.groupBy(F.lit(fact).alias("fact"), year.alias("year")).agg(
-            N.alias("n"), F.sum(value).alias("points")
+            count().alias("n"), F.sum(value).alias("points")
         )
 
     return (
@@ -165,7 +163,7 @@ def _(t):
     t.journal_line.createOrReplaceTempView("ledger_of_another_database")
     named = Tables.from_catalog(t.spark, {"journal_line": "ledger_of_another_database"})
     return named.journal_line.groupBy("line_currency").agg(
-        N.alias("n"), F.sum(ledger.book_balance()).alias("balance")
+        count().alias("n"), F.sum(ledger.book_balance()).alias("balance")
     )
 
 
@@ -193,7 +191,7 @@ def _(t):
 def _(t):
     return t.request_documents.groupBy(
         requests.json_int(F.col("props"), "$.k").alias("k")
-    ).agg(N.alias("n"))
+    ).agg(count().alias("n"))
 
 
 @check(
@@ -204,7 +202,7 @@ def _(t):
 )
 def _(t):
     of_year = t.sales_header.filter(pd.in_year(F.col("invoice_date"), YEAR))
-    monthly = of_year.groupBy(F.month("invoice_date").alias("month")).agg(N.alias("invoices"))
+    monthly = of_year.groupBy(F.month("invoice_date").alias("month")).agg(count().alias("invoices"))
     return on_month_spine(t.spark, monthly)
 
 
@@ -322,7 +320,7 @@ def _(t):
 
 def _amount(t, predicate):
     return t.sales_header.filter(predicate).agg(
-        N.alias("n"), F.sum(sales.taxable_amount()).alias("amount")
+        count().alias("n"), F.sum(sales.taxable_amount()).alias("amount")
     )
 
 
@@ -340,7 +338,7 @@ def _amount_sql(where: str) -> str:
 def _(t):
     period = pd.Period.from_quarters(YEAR, [4, 1, 4])
     rows = t.sales_header.filter(period.date_filter(F.col("invoice_date")))
-    return rows.groupBy(F.month("invoice_date").alias("month")).agg(N.alias("n"))
+    return rows.groupBy(F.month("invoice_date").alias("month")).agg(count().alias("n"))
 
 
 @check(
@@ -458,7 +456,7 @@ def _(t):
 def _(t):
     rows = t.sales_header.filter(pd.in_year(F.col("invoice_date"), YEAR))
     return rows.groupBy(pd.quarter_of(F.month("invoice_date")).alias("quarter")).agg(
-        N.alias("n"), F.sum(sales.taxable_amount()).alias("amount")
+        count().alias("n"), F.sum(sales.taxable_amount()).alias("amount")
     )
 
 
@@ -469,4 +467,4 @@ def _(t):
 )
 def _(t):
     label = pd.month_label(F.year("invoice_date"), F.month("invoice_date"))
-    return t.sales_header.groupBy(label.alias("label")).agg(N.alias("n"))
+    return t.sales_header.groupBy(label.alias("label")).agg(count().alias("n"))

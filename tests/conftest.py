@@ -24,7 +24,11 @@ def spark(tmp_path_factory) -> SparkSession:
     session = build_session(
         8,
         "bizpanel-tests",
-        {"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": str(warehouse)},
+        {
+            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.warehouse.dir": str(warehouse),
+            "spark.sql.maxMetadataStringLength": "2000",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
