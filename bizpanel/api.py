@@ -11,21 +11,21 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period
 from bizpanel.operators.policy import Policy
 from bizpanel.plans import cash, control, expenses, hr, loyalty, purchasing, sales, stock
 from bizpanel.sources.tables import Tables
 
 Request = Mapping[str, object]
-Lists = dict[str, DataFrame]
-Report = Callable[[Tables, Request, dt.date], Lists]
+Report = Callable[[Tables, Request, dt.date], Mapping[str, DataFrame]]
 
 
 def _month(request: Request) -> tuple[int, int]:
     return int(request["Year"]), int(request["Month"])
 
 
-def _single(df: DataFrame, name: str = "kpis") -> Lists:
+def _single(df: DataFrame, name: str = "kpis") -> dict[str, DataFrame]:
     return {name: df}
 
 

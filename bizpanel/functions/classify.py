@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,18 +14,14 @@ from bizpanel.functions.text import clean_text
 
 def any_of(predicates: Iterable[Column]) -> Column:
     """OR of the predicates; false for an empty list."""
-    result = F.lit(False)
-    for predicate in predicates:
-        result = result | predicate
-    return result
+    tests = list(predicates)
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def all_of(predicates: Iterable[Column]) -> Column:
     """AND of the predicates; true for an empty list."""
-    result = F.lit(True)
-    for predicate in predicates:
-        result = result & predicate
-    return result
+    tests = list(predicates)
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
 def first_match(tests: Iterable[tuple[Column, Column]], default: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizpanel.operators.lists import Lists
+
 DENY, MASK, EMPTY, ALLOW = "deny", "mask", "empty", "allow"
 
 
@@ -74,16 +76,15 @@ class Policy:
             ]
         )
 
-    def apply(
-        self, lists: Mapping[str, DataFrame], report: str, role: str
-    ) -> dict[str, DataFrame]:
+    def apply(self, lists: Mapping[str, DataFrame], report: str, role: str) -> Lists:
         """Check the report, mask its columns and empty its restricted lists."""
         self.check(report, role)
         emptied = self._targets(report, role, EMPTY)
-        return {
-            name: empty_like(df) if name in emptied else self.mask(df, report, role)
-            for name, df in lists.items()
-        }
+
+        def seen(name: str) -> DataFrame:
+            return empty_like(lists[name]) if name in emptied else self.mask(lists[name], report, role)
+
+        return Lists({name: (lambda n=name: seen(n)) for name in lists})
 
 
 def empty_like(df: DataFrame) -> DataFrame:

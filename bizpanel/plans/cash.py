@@ -12,9 +12,10 @@ from bizpanel.functions.classify import (
     bank_currency,
     cash_state,
 )
-from bizpanel.functions.numbers import or_zero, sum_where
+from bizpanel.functions.numbers import count_if, or_zero, sum_where
 from bizpanel.operators.filters import non_empty, prefix
 from bizpanel.operators.joins import left_dim
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
@@ -22,46 +23,45 @@ from bizpanel.sources.tables import Tables
 LISTS = ("summary", "accounts", "banks")
 
 
+# Where a ledger line lies, in time order.
+BEFORE_YEAR, BEFORE_PERIOD, IN_PERIOD, AFTER_PERIOD = range(4)
+
+
 def cash_base(
     journal: DataFrame, period: Period, base_currency: str = fixed.BASE_CURRENCY
 ) -> DataFrame:
-    """All cash measures per account, bank and currency, from one ledger scan.
+    """Cash amounts per account, bank, currency and time window, from one ledger scan.
 
-    The three lists are second-level groupings of these few rows. The ``*_rows``
-    counts tell a group without lines from one whose lines sum to 0.
+    A line lies in exactly one of four windows, so each amount is added once per line.
+    The three lists are second-level groupings of these few rows. ``lines`` tells a
+    group without lines from one whose lines sum to 0.
     """
     date = F.col("journal_date")
-    windows = {
-        "year_opening": period.before_year(date),
-        "closing": period.until_end(date),
-        "opening": period.before_start(date),
-        "period": period.range_filter(date),
-    }
-    balance = ledger.native_balance(base_currency)
-    aggs = [F.count(F.when(w, 1)).alias(f"{name}_rows") for name, w in windows.items()]
-    aggs += [sum_where(w, balance).alias(f"{name}_balance") for name, w in windows.items()]
-    aggs += [
-        sum_where(windows[name], ledger.book_balance()).alias(f"{name}_book")
-        for name in ("year_opening", "closing")
-    ]
-    aggs += [
-        sum_where(windows["period"], ledger.native_debit(base_currency)).alias("total_debit"),
-        sum_where(windows["period"], ledger.native_credit(base_currency)).alias("total_credit"),
-    ]
+    window = (
+        F.when(period.before_year(date), BEFORE_YEAR)
+        .when(period.before_start(date), BEFORE_PERIOD)
+        .when(period.until_end(date), IN_PERIOD)
+        .otherwise(AFTER_PERIOD)
+    )
     return (
         journal.filter(prefix(F.col("account"), fixed.TREASURY_PREFIX, fixed.BANK_PREFIX))
-        .groupBy("account", "bank", "line_currency")
-        .agg(*aggs)
+        .groupBy("account", "bank", "line_currency", window.alias("window"))
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.sum(ledger.native_debit(base_currency)).alias("debit"),
+            F.sum(ledger.native_credit(base_currency)).alias("credit"),
+            F.sum(ledger.native_balance(base_currency)).alias("native"),
+            F.sum(ledger.book_balance()).alias("book"),
+        )
     )
 
 
-def _cash_groups(base: DataFrame, keys: list[str | Column], measures: list[str]) -> DataFrame:
-    """Second-level sums of the base over the cash accounts."""
-    return (
-        base.filter(ledger.is_cash_account())
-        .groupBy(*keys)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    )
+def _until(window: int) -> Column:
+    return F.col("window") <= window
+
+
+def _during(window: int) -> Column:
+    return F.col("window") == window
 
 
 def cash_summary(base: DataFrame) -> DataFrame:
@@ -71,43 +71,51 @@ def cash_summary(base: DataFrame) -> DataFrame:
     currency, and a NULL currency matches nothing, so it gets a row for each side.
     """
     group = account_group(F.col("account")).alias("account_group")
-    amounts = ["closing_balance", "closing_book", "year_opening_balance", "year_opening_book"]
-    grouped = _cash_groups(
-        base, [group, "line_currency"], ["closing_rows", "year_opening_rows", *amounts]
-    )
-
-    def side(closing: bool, opening: bool) -> Column:
-        shown = [closing, closing, opening, opening]
-        names = ["balance", "balance_book", "opening_balance", "opening_balance_book"]
-        return F.struct(
-            *[
-                or_zero(F.when(F.lit(keep), F.col(a))).alias(name)
-                for a, keep, name in zip(amounts, shown, names)
-            ]
+    amounts = {
+        "balance": (IN_PERIOD, "native"),
+        "opening_balance": (BEFORE_YEAR, "native"),
+        "balance_book": (IN_PERIOD, "book"),
+        "opening_balance_book": (BEFORE_YEAR, "book"),
+    }
+    grouped = (
+        base.filter(ledger.is_cash_account() & _until(IN_PERIOD))
+        .groupBy(group, "line_currency")
+        .agg(
+            count_if(_during(BEFORE_YEAR)).alias("opened"),
+            *[sum_where(_until(w), F.col(c)).alias(n) for n, (w, c) in amounts.items()],
         )
-
-    has_closing, has_opening = F.col("closing_rows") > 0, F.col("year_opening_rows") > 0
-    apart = F.array(
-        F.when(has_closing, side(True, False)), F.when(has_opening, side(False, True))
     )
-    together = F.array(F.when(has_closing | has_opening, side(True, True)))
-    sides = F.when(F.col("line_currency").isNull(), apart).otherwise(together)
+    # 0 shows both sides in one row, 1 the closing alone, 2 the opening alone.
+    apart = F.when(F.col("opened") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    sides = F.when(F.col("line_currency").isNull(), apart).otherwise(F.array(F.lit(0)))
+    hidden_by = {IN_PERIOD: 2, BEFORE_YEAR: 1}
+    shown = {
+        n: or_zero(F.when(F.col("side") != hidden_by[w], F.col(n))) for n, (w, _) in amounts.items()
+    }
     return (
         grouped.withColumn("side", F.explode(sides))
-        .filter(F.col("side").isNotNull())
         .select(
             "account_group",
             account_group_name(F.col("account_group")).alias("group_name"),
             "line_currency",
-            "side.balance",
-            "side.opening_balance",
-            "side.balance_book",
-            "side.opening_balance_book",
+            *[column.alias(n) for n, column in shown.items()],
         )
         .orderBy(F.col("account_group").asc_nulls_first(), F.col("line_currency").asc_nulls_first())
     )
 
 
+def _movements(base: DataFrame, *keys: str) -> DataFrame:
+    """Opening, debit, credit and movement per key, with the lines before and in the period."""
+    return base.groupBy(*keys).agg(
+        sum_where(_until(BEFORE_PERIOD), F.col("lines")).alias("opening_lines"),
+        sum_where(_during(IN_PERIOD), F.col("lines")).alias("period_lines"),
+        sum_where(_until(BEFORE_PERIOD), F.col("native")).alias("opening_balance"),
+        sum_where(_during(IN_PERIOD), F.col("debit")).alias("total_debit"),
+        sum_where(_during(IN_PERIOD), F.col("credit")).alias("total_credit"),
+        sum_where(_during(IN_PERIOD), F.col("native")).alias("movement"),
+    )
+
+
 def cash_accounts(
     base: DataFrame, accounts: DataFrame, strict_parity: bool = False
 ) -> DataFrame:
@@ -116,37 +124,33 @@ def cash_accounts(
     Only accounts that move in the period are listed. ``strict_parity`` joins the
     opening on the account alone, which repeats a line once per opening currency.
     """
-    moves = ["total_debit", "total_credit", "period_balance"]
-    grouped = _cash_groups(
-        base,
-        ["account", "line_currency"],
-        ["period_rows", "opening_rows", "opening_balance", *moves],
-    )
-    moving = grouped.filter(F.col("period_rows") > 0)
+    grouped = _movements(base.filter(ledger.is_cash_account()), "account", "line_currency")
+    moving = grouped.filter(F.col("period_lines") > 0)
     if strict_parity:
-        opening = grouped.filter(F.col("opening_rows") > 0).select("account", "opening_balance")
+        opening = grouped.filter(F.col("opening_lines") > 0).select("account", "opening_balance")
         moving = left_dim(moving.drop("opening_balance"), opening, "account")
     else:
         known = F.col("line_currency").isNotNull()
         moving = moving.withColumn("opening_balance", F.when(known, F.col("opening_balance")))
-    joined = ledger.with_account_name(moving, accounts).withColumnRenamed(
-        "period_balance", "movement"
-    )
     group = account_group(F.col("account"))
     opened = or_zero(F.col("opening_balance"))
-    return joined.select(
-        "account",
-        "account_description",
-        group.alias("account_group"),
-        account_group_name(group).alias("group_name"),
-        "line_currency",
-        opened.alias("opening_balance"),
-        "total_debit",
-        "total_credit",
-        "movement",
-        (opened + F.col("movement")).alias("closing_balance"),
-        cash_state(F.col("total_debit"), F.col("total_credit")).alias("cash_state"),
-    ).orderBy("account_group", F.col("line_currency").asc_nulls_first(), "account")
+    return (
+        ledger.with_account_name(moving, accounts)
+        .select(
+            "account",
+            "account_description",
+            group.alias("account_group"),
+            account_group_name(group).alias("group_name"),
+            "line_currency",
+            opened.alias("opening_balance"),
+            "total_debit",
+            "total_credit",
+            "movement",
+            (opened + F.col("movement")).alias("closing_balance"),
+            cash_state(F.col("total_debit"), F.col("total_credit")).alias("cash_state"),
+        )
+        .orderBy("account_group", F.col("line_currency").asc_nulls_first(), "account")
+    )
 
 
 def bank_balances(base: DataFrame, banks: DataFrame) -> DataFrame:
@@ -155,38 +159,24 @@ def bank_balances(base: DataFrame, banks: DataFrame) -> DataFrame:
     All bank accounts count here, also those the summary leaves out. Rows without a
     currency are listed with zero amounts.
     """
-    def amount(name: str) -> Column:
-        return F.when(F.col("line_currency").isNotNull(), or_zero(F.col(name))).otherwise(
-            F.lit(0)
-        )
-
-    grouped = (
-        base.filter(prefix(F.col("account"), fixed.BANK_PREFIX) & non_empty(F.col("bank")))
-        .groupBy("bank", "line_currency")
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in ("opening_balance", "total_debit", "total_credit", "period_balance")
-            ]
-        )
+    posted = prefix(F.col("account"), fixed.BANK_PREFIX) & non_empty(F.col("bank"))
+    known = F.col("line_currency").isNotNull()
+    amounts = ("opening_balance", "total_debit", "total_credit", "movement")
+    grouped = _movements(base.filter(posted), "bank", "line_currency").withColumns(
+        {a: or_zero(F.when(known, F.col(a))) for a in amounts}
     )
     names = banks.select(
         F.col("bank_account_number").alias("bank"), "bank_account_name"
     ).distinct()
-    opening, movement = amount("opening_balance"), amount("period_balance")
-    debit, credit = amount("total_debit"), amount("total_credit")
     return (
         left_dim(grouped, names, "bank")
         .select(
             "bank",
             "bank_account_name",
             "line_currency",
-            opening.alias("opening_balance"),
-            debit.alias("total_debit"),
-            credit.alias("total_credit"),
-            movement.alias("movement"),
-            (opening + movement).alias("closing_balance"),
-            cash_state(debit, credit).alias("cash_state"),
+            *amounts,
+            (F.col("opening_balance") + F.col("movement")).alias("closing_balance"),
+            cash_state(F.col("total_debit"), F.col("total_credit")).alias("cash_state"),
         )
         .orderBy(
             F.col("line_currency").asc_nulls_first(),
@@ -212,14 +202,16 @@ def cash_period(
     period: Period,
     base_currency: str = fixed.BASE_CURRENCY,
     strict_parity: bool = False,
-) -> dict[str, DataFrame]:
+) -> Lists:
     """The cash report: ``summary``, ``accounts`` and ``banks``."""
     base = cash_base(tables.journal_line, period, base_currency)
-    return {
-        "summary": cash_summary(base),
-        "accounts": cash_accounts(base, tables.accounts_master, strict_parity),
-        "banks": bank_balances(base, tables.bank_accounts_master),
-    }
+    return Lists(
+        {
+            "summary": lambda: cash_summary(base),
+            "accounts": lambda: cash_accounts(base, tables.accounts_master, strict_parity),
+            "banks": lambda: bank_balances(base, tables.bank_accounts_master),
+        }
+    )
 
 
 def cash_cards(summary: DataFrame, base_currency: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.classify import expense_badge, payment_badge, target_badge
 from bizpanel.functions.numbers import or_zero, pct_of, ratio_pct, sum_where
 from bizpanel.operators.joins import one_row
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
 from bizpanel.plans.expenses import expense_accounts, expense_base
@@ -59,20 +62,24 @@ def control_month(tables: Tables, year: int, month: int) -> DataFrame:
     return control_kpis(tables, Period.monthly(year, [month]), F.lit(True))
 
 
-def control_period(tables: Tables, period: Period) -> dict[str, DataFrame]:
+def control_period(tables: Tables, period: Period) -> Lists:
     """The control report: ``kpis`` (balances at period end), ``expenses`` and ``cash``."""
     until_end = period.until_end(F.col("journal_date"))
     journal = prune_years(tables.journal_line, "journal_year", last=period.year)
-    return {
-        "kpis": control_kpis(tables.replace(journal_line=journal), period, until_end),
-        "expenses": expense_accounts(
-            expense_base(tables.journal_line, period), tables.accounts_master
-        ),
-        "cash": ledger.group_balances(tables.journal_line, period).orderBy("account_group"),
-    }
+    return Lists(
+        {
+            "kpis": lambda: control_kpis(
+                tables.replace(journal_line=journal), period, until_end
+            ),
+            "expenses": lambda: expense_accounts(
+                expense_base(journal, period), tables.accounts_master
+            ),
+            "cash": lambda: ledger.group_balances(journal, period).orderBy("account_group"),
+        }
+    )
 
 
-def control_ratios(report: dict[str, DataFrame], loyalty: DataFrame) -> DataFrame:
+def control_ratios(report: Mapping[str, DataFrame], loyalty: DataFrame) -> DataFrame:
     """Ratios of the control page from its report and the loyalty key figures."""
     group = F.col("account_group")
     cash = report["cash"].agg(

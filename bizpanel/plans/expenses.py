@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
@@ -10,6 +12,7 @@ from bizpanel.functions.classify import expense_badge
 from bizpanel.functions.numbers import or_zero, pct_of
 from bizpanel.operators.aggregates import rollup_parent, share_of_parent
 from bizpanel.operators.joins import attach_scalar, with_parent
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
@@ -63,69 +66,78 @@ def total_sales(header: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def expenses_period(tables: Tables, period: Period) -> dict[str, DataFrame]:
+def expenses_period(tables: Tables, period: Period) -> Lists:
     """The expense report: ``accounts``, ``parents`` and ``detail``."""
     base = expense_base(tables.journal_line, period)
-    detail = expense_detail(base, tables)
-    accounts = attach_scalar(
-        expense_accounts(base, tables.accounts_master),
-        total_sales(tables.sales_header, period),
-        "total_sales_amount",
-    )
-    return {
-        "accounts": accounts,
-        "parents": rollup_parent(detail, "parent_description", "total_amount").orderBy(
+
+    def accounts() -> DataFrame:
+        return attach_scalar(
+            expense_accounts(base, tables.accounts_master),
+            total_sales(tables.sales_header, period),
+            "total_sales_amount",
+        )
+
+    def parents() -> DataFrame:
+        detail = expense_detail(base, tables)
+        return rollup_parent(detail, "parent_description", "total_amount").orderBy(
             F.col("total_amount").desc_nulls_last(), F.col("parent_description").asc_nulls_first()
-        ),
-        "detail": detail.orderBy(
+        )
+
+    def detail() -> DataFrame:
+        return expense_detail(base, tables).orderBy(
             F.col("parent_description").asc_nulls_first(),
             F.col("total_amount").desc_nulls_last(),
             "account",
             F.col("segment9").asc_nulls_first(),
-        ),
-    }
+        )
+
+    return Lists({"accounts": accounts, "parents": parents, "detail": detail})
+
+
+def parent_name() -> Column:
+    named = F.when(F.col("parent_description") != "", F.col("parent_description"))
+    return F.coalesce(named, F.lit("Other"))
 
 
 def expense_drill(detail: DataFrame) -> DataFrame:
     """Totals per account and parent, segments without a parent under ``Other``."""
-    parent = F.coalesce(
-        F.when(F.col("parent_description") != "", F.col("parent_description")), F.lit("Other")
-    )
-    return detail.groupBy("account", parent.alias("parent")).agg(
+    return detail.groupBy("account", parent_name().alias("parent")).agg(
         F.sum(or_zero(F.col("total_amount"))).alias("group_total"),
         F.count(F.lit(1)).alias("segments"),
     )
 
 
-def expense_share(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def expense_share(report: Mapping[str, DataFrame]) -> Lists:
     """Shares of the expense report.
 
     ``parents`` of each account total, ``segments`` of their parent total, and
     ``accounts`` against sales, with a closing row for all accounts.
     """
-    detail = report["detail"].withColumn(
-        "parent",
-        F.coalesce(
-            F.when(F.col("parent_description") != "", F.col("parent_description")),
-            F.lit("Other"),
-        ),
-    )
-    ratio = pct_of(F.col("total_amount"), F.col("total_sales_amount"))
-    accounts = report["accounts"]
-    total = accounts.agg(
-        F.lit("Total").alias("account"),
-        F.lit("Total Expenses").alias("account_description"),
-        or_zero(F.sum("total_amount")).alias("total_amount"),
-        F.max("total_sales_amount").alias("total_sales_amount"),
-    )
-    return {
-        "parents": share_of_parent(
-            expense_drill(report["detail"]), "group_total", ["account"], "share_pct"
-        ),
-        "segments": share_of_parent(
-            detail, "total_amount", ["account", "parent"], "share_pct"
-        ).select("account", "parent", "segment9", "segment_description", "total_amount", "share_pct"),
-        "accounts": accounts.unionByName(total)
-        .withColumn("expense_sales_pct", ratio)
-        .withColumn("badge", expense_badge(F.col("expense_sales_pct"))),
-    }
+
+    def parents() -> DataFrame:
+        drill = expense_drill(report["detail"])
+        return share_of_parent(drill, "group_total", ["account"], "share_pct")
+
+    def segments() -> DataFrame:
+        detail = report["detail"].withColumn("parent", parent_name())
+        shares = share_of_parent(detail, "total_amount", ["account", "parent"], "share_pct")
+        return shares.select(
+            "account", "parent", "segment9", "segment_description", "total_amount", "share_pct"
+        )
+
+    def accounts() -> DataFrame:
+        rows = report["accounts"]
+        total = rows.agg(
+            F.lit("Total").alias("account"),
+            F.lit("Total Expenses").alias("account_description"),
+            or_zero(F.sum("total_amount")).alias("total_amount"),
+            F.max("total_sales_amount").alias("total_sales_amount"),
+        )
+        ratio = pct_of(F.col("total_amount"), F.col("total_sales_amount"))
+        return (
+            rows.unionByName(total)
+            .withColumn("expense_sales_pct", ratio)
+            .withColumn("badge", expense_badge(F.col("expense_sales_pct")))
+        )
+
+    return Lists({"parents": parents, "segments": segments, "accounts": accounts})

@@ -29,6 +29,7 @@ from bizpanel.operators.aggregates import count_share, latest_k, on_category_spi
 from bizpanel.operators.filters import facets, search, state_eq, trim_in
 from bizpanel.operators.hierarchy import manager_order, org_tree
 from bizpanel.operators.joins import exists_flag, left_dim, lookup, one_row, with_scalar_sum
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import in_year
 from bizpanel.sources.tables import Tables
 
@@ -180,9 +181,14 @@ def kpis_from_list(employees: DataFrame, today: dt.date) -> DataFrame:
     )
 
 
-def hr_dashboard(tables: Tables, today: dt.date) -> dict[str, DataFrame]:
+def hr_dashboard(tables: Tables, today: dt.date) -> Lists:
     """The HR dashboard: ``employees`` and ``kpis``."""
-    return {"employees": employee_list(tables, today), "kpis": hr_kpis(tables, today)}
+    return Lists(
+        {
+            "employees": lambda: employee_list(tables, today),
+            "kpis": lambda: hr_kpis(tables, today),
+        }
+    )
 
 
 def _of(df: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -246,34 +252,46 @@ def leave_days() -> Column:
     )
 
 
-def employee_detail(
-    tables: Tables, balance_year: int, ids: DataFrame | None = None
-) -> dict[str, DataFrame]:
+def leave_balances(tables: Tables, year: int, ids: DataFrame | None) -> DataFrame:
+    """Days left per leave of a year, with their band."""
+    balances = _of(tables.leave_balance, ids).filter(F.col("balance_year") == year)
+    names = tables.leave_master.select(F.col("leave_id").alias("leave_master_id"), "leave_name")
+    return (
+        left_dim(balances, names, "leave_master_id")
+        .select("employee_id", "balance_year", "leave_name", leave_days().alias("balance"))
+        .withColumn("band", leave_band(F.col("balance")))
+    )
+
+
+def employee_detail(tables: Tables, balance_year: int, ids: DataFrame | None = None) -> Lists:
     """Details of the employees in ``ids`` (column ``employee_id``), or of all.
 
     Lists: ``profile`` (with termination merged in), ``terminations``, ``salaries``,
     ``evaluations`` and ``leave_balances``.
     """
-    terminations = _of(confirmed_terminations(tables.termination), ids).select(
-        "employee_id", "termination_date", "termination_note"
-    )
-    balances = _of(tables.leave_balance, ids).filter(F.col("balance_year") == balance_year)
-    leave_names = tables.leave_master.select(
-        F.col("leave_id").alias("leave_master_id"), "leave_name"
+
+    def terminations() -> DataFrame:
+        return _of(confirmed_terminations(tables.termination), ids).select(
+            "employee_id", "termination_date", "termination_note"
+        )
+
+    def salaries() -> DataFrame:
+        paid = _of(tables.employee_salary, ids)
+        return left_dim(paid, tables.salary_master, "salary_id").select(
+            "employee_id", "salary_amount", "salary_name"
+        )
+
+    return Lists(
+        {
+            "profile": lambda: with_termination(
+                profiles(tables, _of(tables.employee, ids)), terminations()
+            ),
+            "terminations": terminations,
+            "salaries": salaries,
+            "evaluations": lambda: evaluations(tables, ids),
+            "leave_balances": lambda: leave_balances(tables, balance_year, ids),
+        }
     )
-    return {
-        "profile": with_termination(
-            profiles(tables, _of(tables.employee, ids)), terminations
-        ),
-        "terminations": terminations,
-        "salaries": left_dim(
-            _of(tables.employee_salary, ids), tables.salary_master, "salary_id"
-        ).select("employee_id", "salary_amount", "salary_name"),
-        "evaluations": evaluations(tables, ids),
-        "leave_balances": left_dim(balances, leave_names, "leave_master_id")
-        .select("employee_id", "balance_year", "leave_name", leave_days().alias("balance"))
-        .withColumn("band", leave_band(F.col("balance"))),
-    }
 
 
 def leaves_on(tables: Tables, day: dt.date, photos: str = fixed.PHOTO_BASE_URL) -> DataFrame:
@@ -356,24 +374,33 @@ def _of_department(employees: DataFrame, sub_department: str) -> DataFrame:
     return employees.filter(_department_name() == sub_department)
 
 
-def dept_drilldown(
-    employees: DataFrame, group: str, sub_department: str = "All"
-) -> dict[str, DataFrame]:
+def dept_drilldown(employees: DataFrame, group: str, sub_department: str = "All") -> Lists:
     """One executive group: sorted ``list``, ``stats`` and head count per ``departments``."""
     of_group = with_group(employees).filter(F.col("dept_group") == group)
     shown = _of_department(of_group, sub_department)
-    name = _department_name()
-    return {
-        "list": shown.orderBy(*manager_order()),
-        "stats": shown.agg(
+
+    def stats() -> DataFrame:
+        return shown.agg(
             F.count(F.lit(1)).alias("count"),
             or_zero(F.sum("salary_amount")).alias("total_salary"),
-        ),
-        "departments": of_group.filter(name != "")
-        .groupBy(name.alias("department"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy("department"),
-    }
+        )
+
+    def departments() -> DataFrame:
+        named = of_group.select(_department_name().alias("department"))
+        return (
+            named.filter(F.col("department") != "")
+            .groupBy("department")
+            .agg(F.count(F.lit(1)).alias("count"))
+            .orderBy("department")
+        )
+
+    return Lists(
+        {
+            "list": lambda: shown.orderBy(*manager_order()),
+            "stats": stats,
+            "departments": departments,
+        }
+    )
 
 
 def drilldown_tree(employees: DataFrame, group: str, sub_department: str = "All") -> DataFrame:
@@ -382,13 +409,15 @@ def drilldown_tree(employees: DataFrame, group: str, sub_department: str = "All"
     return org_tree(_of_department(of_group, sub_department))
 
 
-def distribution(employees: DataFrame) -> dict[str, DataFrame]:
+def distribution(employees: DataFrame) -> Lists:
     """Head count and share per department, branch (with salaries) and division."""
-    return {
-        "departments": count_share(employees, "department_name"),
-        "branches": count_share(employees, "branch_name", "salary_amount"),
-        "divisions": count_share(employees, "division_name"),
-    }
+    return Lists(
+        {
+            "departments": lambda: count_share(employees, "department_name"),
+            "branches": lambda: count_share(employees, "branch_name", "salary_amount"),
+            "divisions": lambda: count_share(employees, "division_name"),
+        }
+    )
 
 
 def headline_counts(employees: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from bizpanel.functions.numbers import (
 )
 from bizpanel.operators.aggregates import footer_totals, quarterly, top_k
 from bizpanel.operators.joins import full_merge, left_dim, months_df, on_month_spine, one_row
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period, in_year, in_years
 from bizpanel.sources.tables import Tables
 
@@ -36,17 +38,6 @@ TREND_MEASURES = tuple(
     for side in ("cy", "py")
 )
 
-LISTS = (
-    "summary",
-    "trend",
-    "gifts",
-    "card_types",
-    "clients",
-    "governorates",
-    "vouchers",
-    "cash_calls",
-)
-
 
 def cards() -> Column:
     return F.col("total_cards").cast("bigint")
@@ -372,18 +363,20 @@ def redemptions(tables: Tables, period: Period, source: str) -> DataFrame:
     )
 
 
-def loyalty_details(tables: Tables, period: Period) -> dict[str, DataFrame]:
+def loyalty_details(tables: Tables, period: Period) -> Lists:
     """The full loyalty report, eight lists."""
-    return {
-        "summary": summary(tables, period.year),
-        "trend": trend(tables, period),
-        "gifts": gifts(tables, period),
-        "card_types": card_types(tables, period),
-        "clients": clients(tables, period),
-        "governorates": governorates(tables, period),
-        "vouchers": redemptions(tables, period, fixed.VOUCHER_SOURCE),
-        "cash_calls": redemptions(tables, period, fixed.CASH_CALL_SOURCE),
-    }
+    return Lists(
+        {
+            "summary": lambda: summary(tables, period.year),
+            "trend": lambda: trend(tables, period),
+            "gifts": lambda: gifts(tables, period),
+            "card_types": lambda: card_types(tables, period),
+            "clients": lambda: clients(tables, period),
+            "governorates": lambda: governorates(tables, period),
+            "vouchers": lambda: redemptions(tables, period, fixed.VOUCHER_SOURCE),
+            "cash_calls": lambda: redemptions(tables, period, fixed.CASH_CALL_SOURCE),
+        }
+    )
 
 
 def client_detail(tables: Tables, client_id: int) -> dict[str, DataFrame]:
@@ -497,13 +490,15 @@ def painter_ratio(rows: DataFrame) -> DataFrame:
     )
 
 
-def loyalty_ratios(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def loyalty_ratios(report: Mapping[str, DataFrame]) -> Lists:
     """Everything the loyalty page derives from its report."""
-    return {
-        "summary": summary_ratios(report["summary"]),
-        "trend": trend_ratios(report["trend"]),
-        "quarters": trend_ratios(quarterly_trend(report["trend"])),
-        "footer": trend_footer(report["trend"]),
-        "card_types": card_type_averages(report["card_types"]),
-        "governorates": painter_ratio(report["governorates"]),
-    }
+    return Lists(
+        {
+            "summary": lambda: summary_ratios(report["summary"]),
+            "trend": lambda: trend_ratios(report["trend"]),
+            "quarters": lambda: trend_ratios(quarterly_trend(report["trend"])),
+            "footer": lambda: trend_footer(report["trend"]),
+            "card_types": lambda: card_type_averages(report["card_types"]),
+            "governorates": lambda: painter_ratio(report["governorates"]),
+        }
+    )

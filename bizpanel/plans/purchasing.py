@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from bizpanel.functions.numbers import or_zero, ratio_pct
 from bizpanel.operators.aggregates import metrics, share_of_max, top_k
 from bizpanel.operators.filters import in_list, prefix
 from bizpanel.operators.joins import left_dim, one_row
+from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
@@ -111,57 +114,72 @@ def lowest_balances(tables: Tables, k: int = fixed.VENDOR_LIST_SIZE) -> DataFram
     return top_k(named, k, order)
 
 
-def purchasing_period(tables: Tables, period: Period) -> dict[str, DataFrame]:
-    """The purchasing report: ``kpis``, ``vendors`` and ``balances``.
+def purchasing_kpis(tables: Tables, period: Period) -> DataFrame:
+    """Totals, payments and balance as one row.
 
     Import and other purchasing are differences and stay NULL when a part is NULL.
     """
-    date = F.col("journal_date")
-    kpis = one_row(
+    in_dates = period.date_filter(F.col("journal_date"))
+    return one_row(
         header_totals(tables.purchase_header, period),
         raw_purchasing(tables.purchase_header, tables.purchase_line, period),
-        vendor_ledger(tables.journal_line, period.date_filter(date), F.lit(True)),
+        vendor_ledger(tables.journal_line, in_dates, F.lit(True)),
     ).withColumns(
         {
             "import_purchasing": F.col("total_purchasing_amount") - F.col("local_purchasing"),
             "other_purchasing": F.col("total_purchasing_amount") - F.col("raw_purchasing"),
         }
     )
-    return {
-        "kpis": kpis,
-        "vendors": top_vendors(tables, period),
-        "balances": lowest_balances(tables),
-    }
 
 
-def purchasing_month(tables: Tables, year: int, month: int) -> dict[str, DataFrame]:
+def purchasing_period(tables: Tables, period: Period) -> Lists:
+    """The purchasing report: ``kpis``, ``vendors`` and ``balances``."""
+    return Lists(
+        {
+            "kpis": lambda: purchasing_kpis(tables, period),
+            "vendors": lambda: top_vendors(tables, period),
+            "balances": lambda: lowest_balances(tables),
+        }
+    )
+
+
+def purchasing_month(tables: Tables, year: int, month: int) -> Lists:
     """The purchasing report of one month."""
     return purchasing_period(tables, Period.monthly(year, [month]))
 
 
-def purchasing_mix(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Shares of the purchasing report: mix of the total, vendors, balances.
-
-    Balance bars divide absolute values by the largest *signed* balance, as displayed.
-    """
-    kpis = report["kpis"]
+def mix_shares(kpis: DataFrame) -> DataFrame:
+    """Local, import, raw and other purchasing with their shares of the total."""
     total = or_zero(F.col("total_purchasing_amount"))
     parts = ("local", "import", "raw", "other")
-    mix = kpis.select(
+    return kpis.select(
         total.alias("total_purchasing"),
         *[or_zero(F.col(f"{p}_purchasing")).alias(f"{p}_purchasing") for p in parts],
         *[ratio_pct(F.col(f"{p}_purchasing"), total).alias(f"{p}_pct") for p in parts],
         ratio_pct(F.col("total_paid"), total).alias("payment_ratio"),
     ).withColumn("payment_badge", payment_badge(F.col("payment_ratio")))
-    whole = kpis.select("total_purchasing_amount").scalar()
-    balance = kpis.select("vendor_balance").scalar()
-    owed = F.abs("vendor_balance")
-    return {
-        "mix": mix,
-        "vendors": share_of_max(
-            report["vendors"], F.col("total_amount"), "bar_pct", or_zero(F.col("total_amount"))
-        ).withColumn("share_pct", ratio_pct(F.col("total_amount"), whole)),
-        "balances": share_of_max(
-            report["balances"], owed, "bar_pct", or_zero(F.col("vendor_balance"))
-        ).withColumn("share_pct", ratio_pct(owed, balance)),
-    }
+
+
+def purchasing_mix(report: Mapping[str, DataFrame]) -> Lists:
+    """Shares of the purchasing report: ``mix`` of the total, ``vendors``, ``balances``.
+
+    Balance bars divide absolute values by the largest *signed* balance, as displayed.
+    """
+
+    def shares(rows: DataFrame, value: Column, signed: Column, whole: str) -> DataFrame:
+        total = report["kpis"].select(whole).scalar()
+        bars = share_of_max(rows, value, "bar_pct", or_zero(signed))
+        return bars.withColumn("share_pct", ratio_pct(value, total))
+
+    amount, balance = F.col("total_amount"), F.col("vendor_balance")
+    return Lists(
+        {
+            "mix": lambda: mix_shares(report["kpis"]),
+            "vendors": lambda: shares(
+                report["vendors"], amount, amount, "total_purchasing_amount"
+            ),
+            "balances": lambda: shares(
+                report["balances"], F.abs(balance), balance, "vendor_balance"
+            ),
+        }
+    )

@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
-from bizpanel.functions.classify import channel_predicates, customer_type_filter, target_badge
+from bizpanel.functions.classify import (
+    any_of,
+    channel_predicates,
+    customer_type_filter,
+    target_badge,
+)
 from bizpanel.functions.numbers import (
     clamp_zero,
     growth_pct,
@@ -50,28 +55,49 @@ def date_windows(date: Column, period: Period, as_of: dt.date) -> dict[str, Colu
     }
 
 
+def with_channels(df: DataFrame) -> DataFrame:
+    """Add one flag per channel; a missing code is in no channel."""
+    tests = channel_predicates(F.col("sales_person_number"), F.col("customer_number"))
+    return df.withColumns({c: F.coalesce(tests[c], F.lit(False)) for c in CHANNELS})
+
+
 def header_metrics(header: DataFrame, period: Period, as_of: dt.date) -> DataFrame:
     """All amounts of the invoice headers in one scan.
 
     Period amounts go by the *stored* invoice year, year-to-date amounts by the date.
-    Sums without rows stay NULL, except the two the report defaults to 0.
+    Invoices are first added up per combination of windows and channels, of which there
+    are few, and the figures are read off these sums: an invoice is added once, not once
+    per figure. Sums without rows stay NULL, except the two the report defaults to 0.
     """
-    date, amount = F.col("invoice_date"), taxable_amount()
-    in_period = (F.col("invoice_year") == period.year) & period.month_filter(date)
-    current, before = ytd(date, period.year, as_of), ytd_prior(date, period.year, as_of)
-    channels = channel_predicates(F.col("sales_person_number"), F.col("customer_number"))
-    named = {"total_sales_amount": (in_period, amount)}
-    named |= {f"{c}_sales": (in_period & channels[c], amount) for c in CHANNELS}
-    named |= {
-        "total_final_amount": (in_period, F.col("total_final_amount_base")),
-        "sales_ytd": (current, amount),
-        "sales_ytd_prior": (before, amount),
-        "export_ytd": (current & channels["export"], amount),
-        "export_ytd_prior": (before & channels["export"], amount),
+    date = F.col("invoice_date")
+    windows = {
+        "in_period": (F.col("invoice_year") == period.year) & period.month_filter(date),
+        "in_ytd": ytd(date, period.year, as_of),
+        "in_ytd_prior": ytd_prior(date, period.year, as_of),
     }
-    return metrics(header, named).withColumns(
-        {n: or_zero(F.col(n)) for n in ("total_final_amount", "export_ytd")}
+    wanted = any_of(windows.values())
+    sums = (
+        with_channels(header.filter(wanted).withColumns(windows))
+        .groupBy(*windows, *CHANNELS)
+        .agg(
+            F.sum(taxable_amount()).alias("amount"),
+            F.sum("total_final_amount_base").alias("final_amount"),
+        )
     )
+    in_period, current, before = (F.col(w) for w in windows)
+    export, amount = F.col("export"), F.col("amount")
+    return metrics(
+        sums,
+        {
+            "total_sales_amount": (in_period, amount),
+            **{f"{c}_sales": (in_period & F.col(c), amount) for c in CHANNELS},
+            "total_final_amount": (in_period, F.col("final_amount")),
+            "sales_ytd": (current, amount),
+            "sales_ytd_prior": (before, amount),
+            "export_ytd": (current & export, amount),
+            "export_ytd_prior": (before & export, amount),
+        },
+    ).withColumns({n: or_zero(F.col(n)) for n in ("total_final_amount", "export_ytd")})
 
 
 def customer_ledger(journal: DataFrame, in_period: Column, balance_rows: Column) -> DataFrame:
@@ -110,21 +136,25 @@ def line_measures(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
 
 def line_metrics(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     """Weights per window and channel, and color-center volumes, as one row."""
-    measures = line_measures(tables, period, as_of)
     header = tables.sales_header.select(
         F.col("internal_id").alias("int_id"), "sales_person_number", "customer_number"
     )
-    channels = channel_predicates(F.col("sales_person_number"), F.col("customer_number"))
+    quantities = [f"{m}_{w}" for m in ("weight", "volume") for w in WINDOWS]
+    by_channel = (
+        with_channels(left_dim(line_measures(tables, period, as_of), header, "int_id"))
+        .groupBy(*CHANNELS)
+        .agg(*[F.sum(q).alias(q) for q in quantities])
+    )
     aggs = []
     for w in WINDOWS:
-        weight = F.col(f"weight_{w}")
+        weight, volume = F.col(f"weight_{w}"), F.col(f"volume_{w}")
         aggs.append(or_zero(F.sum(weight)).alias(f"total_weight_{w}"))
         aggs += [
-            or_zero(sum_where(channels[c], weight)).alias(f"{c}_weight_{w}") for c in CHANNELS
+            or_zero(sum_where(F.col(c), weight)).alias(f"{c}_weight_{w}") for c in CHANNELS
         ]
-        volume = sum_where(channels["color_center"], F.col(f"volume_{w}"))
-        aggs.append(or_zero(volume).alias(f"color_center_volume_{w}"))
-    return left_dim(measures, header, "int_id").agg(*aggs)
+        color_center = or_zero(sum_where(F.col("color_center"), volume))
+        aggs.append(color_center.alias(f"color_center_volume_{w}"))
+    return by_channel.agg(*aggs)
 
 
 def sales_channels(header: DataFrame, period: Period, as_of: dt.date) -> DataFrame:

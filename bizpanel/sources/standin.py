@@ -46,17 +46,13 @@ def day(column: str) -> str:
     return f"CAST({column} AS DATE)"
 
 
-def money(column: str) -> str:
-    return f"CAST({column} AS DECIMAL(18,2))"
-
-
 def plus_days(first: str, days: str) -> str:
     return f"date_add(DATE'{first}', CAST({days} AS INT))"
 
 
 DEBIT = "CAST(l_quantity AS INT) % 2 = 1"
-BOOK = money("l_extendedprice")
-TXN = f"{money('l_quantity')} * 10"
+BOOK = "l_extendedprice"
+TXN = "l_quantity * 10"
 DOCUMENT = """CASE l_linenumber WHEN 1 THEN 'GR' WHEN 2 THEN 'BT' WHEN 3 THEN 'NR'
     WHEN 4 THEN 'GP' WHEN 5 THEN 'NP' ELSE 'JV' END"""
 BANK_MARKS = ("EG", "SD", "EU", "XX")
@@ -83,7 +79,7 @@ def _months(read: Read) -> DataFrame:
         "o_custkey",
         "year(o_orderdate) AS y",
         "month(o_orderdate) AS m",
-        f"{money('o_totalprice')} AS amount",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
         "o_orderkey % 100 AS weight",
         "1 AS volume",
     )
@@ -137,9 +133,9 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             day("o_orderdate"),
             "o_custkey",
             "o_orderpriority",
-            money("o_totalprice"),
+            "o_totalprice",
             "CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END",
-            f"{money('o_totalprice')} + 10",
+            "o_totalprice + 10",
         ),
     ),
     "sales_line": (
@@ -148,8 +144,8 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             "l_orderkey",
             "l_partkey",
             day("l_shipdate"),
-            f"CASE WHEN l_linenumber <> 7 THEN {money('l_quantity')} END",
-            money("l_quantity"),
+            "CASE WHEN l_linenumber <> 7 THEN l_quantity END",
+            "l_quantity",
         ),
     ),
     "customer_master": (
@@ -180,7 +176,7 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             day("o_orderdate"),
             "o_custkey div 15",
             "CASE o_orderstatus WHEN 'F' THEN 'NL' WHEN 'O' THEN 'IM' END",
-            money("o_totalprice"),
+            "o_totalprice",
             "CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END",
             "CASE WHEN o_orderstatus = 'O' THEN 31 ELSE 1 END",
             "CASE WHEN o_orderstatus = 'O' THEN 'USD' ELSE 'EGP' END",
@@ -196,7 +192,7 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             "CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'N' THEN 'P' ELSE 'F' END",
             BOOK,
             BOOK,
-            money("l_quantity"),
+            "l_quantity",
         ),
     ),
     "vendor_master": (
@@ -228,7 +224,7 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             "month(o_orderdate)",
             "o_orderpriority",
             "o_orderkey % 5 + 1",
-            money("o_totalprice"),
+            "o_totalprice",
         ),
     ),
     "activation": (
@@ -248,7 +244,7 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
             "year(o_orderdate)",
             "month(o_orderdate)",
             "concat('Gift ', o_orderkey % 40)",
-            money("o_totalprice"),
+            "o_totalprice",
             "o_orderkey % 500",
             "CASE o_orderkey % 3 WHEN 0 THEN 'NOVA' WHEN 1 THEN 'CCALL' ELSE 'SHOP' END",
         ),
@@ -306,7 +302,7 @@ MAPPINGS: dict[str, tuple[Callable[[Read], DataFrame], tuple[str, ...]]] = {
         lambda read: read("customer")
         .where("c_custkey % 41 <> 0")
         .selectExpr("*", "explode(sequence(1, IF(c_custkey % 3 = 0, 2, 1))) AS component"),
-        ("c_custkey", "component", f"IF(component = 1, {money('c_acctbal')}, 500)"),
+        ("c_custkey", "component", "IF(component = 1, c_acctbal, 500)"),
     ),
     "salary_master": (lambda read: read("region"), ("r_regionkey", "r_name")),
     "termination": (
