@@ -60,10 +60,11 @@ def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles with two decimals, dates as text, so that engines agree."""
     columns = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, T.DecimalType):
-            c = F.round(c.cast("double"), 2)
+            columns.append(f"round(CAST({name} AS DOUBLE), 2) AS {name}")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
-        columns.append(c.alias(f.name))
-    return df.select(*columns)
+            columns.append(f"CAST({name} AS STRING) AS {name}")
+        else:
+            columns.append(name)
+    return df.selectExpr(*columns)

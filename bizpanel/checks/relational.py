@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bizpanel.checks.registry import check, count
-from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, SECOND_QUARTER, YEAR
+from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, SECOND_QUARTER, WHOLE_YEAR, YEAR
 from bizpanel.functions import classify, fixed_values as fixed, numbers
 from bizpanel.operators import aggregates as agg
 from bizpanel.operators import filters, hierarchy, joins
 from bizpanel.operators.period import in_year
 from bizpanel.plans import cash, expenses, hr, ledger, loyalty, purchasing, sales, stock
+from bizpanel.sources.requests import requests, with_month_list
 
 
 # --- filters ---------------------------------------------------------------
@@ -371,10 +372,8 @@ def _(t):
         .groupBy(F.month("created_date").alias("month"))
         .agg(count().alias("joined"))
     )
-    from bizpanel.operators.period import Period
-
     parts = [charged, activated, joined]
-    return loyalty.by_month(t, Period.yearly(YEAR), parts, ("charged", "activated", "joined"))
+    return loyalty.by_month(t, WHOLE_YEAR, parts, ("charged", "activated", "joined"))
 
 
 @check(
@@ -579,8 +578,6 @@ def _(t):
        FROM request WHERE event_id % 10 <> 9 AND coalesce(months, '') <> ''""",
 )
 def _(t):
-    from bizpanel.sources.requests import requests, with_month_list
-
     typed = requests(t.request_documents, "document").filter(filters.non_empty(F.col("months")))
     listed = with_month_list(typed)
     return listed.select(

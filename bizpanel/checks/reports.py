@@ -14,7 +14,7 @@ from bizpanel.operators import aggregates as agg
 from bizpanel.operators import maintain
 from bizpanel.operators.filters import search
 from bizpanel.operators.period import Period
-from bizpanel.operators.policy import ALLOW, EMPTY, MASK, Policy, Rule
+from bizpanel.operators.policy import ALLOW, DENY, EMPTY, MASK, Policy
 from bizpanel.plans import cash, control, expenses, hr, ledger, loyalty, purchasing, sales, stock
 
 Q2_HEADER = "invoice_year = 2000 AND month(invoice_date) IN (4, 5, 6)"
@@ -1223,7 +1223,7 @@ ROLES = Policy.from_rows(
          "targets": ("total_purchasing_amount", "total_paid", "vendor_balance")},
         {"report": "control_period", "role": "seller", "effect": EMPTY, "targets": ("expenses", "cash")},
         {"report": "stock_valuation", "role": "storekeeper", "effect": ALLOW},
-        {"report": "cash_period", "role": "seller", "effect": "deny"},
+        {"report": "cash_period", "role": "seller", "effect": DENY},
     ]
 )
 

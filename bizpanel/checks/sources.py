@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, GAP, SECOND_QUARTER, WHOLE_YEAR, YEAR
 from bizpanel.operators import period as pd
-from bizpanel.operators.joins import left_dim, months_df, on_month_spine
-from bizpanel.operators.policy import MASK, EMPTY, Policy, Rule
-from bizpanel.plans import cash, ledger, loyalty, sales, stock
+from bizpanel.operators.joins import on_month_spine
+from bizpanel.operators.policy import EMPTY, Policy, Rule
+from bizpanel.plans import ledger, sales, stock
 from bizpanel.sources import profile, requests, sinks
 from bizpanel.sources.tables import Tables
 

@@ -105,7 +105,7 @@ def one_row(*frames: DataFrame) -> DataFrame:
     """
     columns = [c for frame in frames for c in frame.columns]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return stacked.agg(*[F.max(c).alias(c) for c in columns])
+    return stacked.agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in columns])
 
 
 def with_parent(df: DataFrame, segments: DataFrame, segment_id: int) -> DataFrame:

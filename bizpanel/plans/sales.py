@@ -84,20 +84,16 @@ def header_metrics(header: DataFrame, period: Period, as_of: dt.date) -> DataFra
             F.sum("total_final_amount_base").alias("final_amount"),
         )
     )
-    in_period, current, before = (F.col(w) for w in windows)
-    export, amount = F.col("export"), F.col("amount")
-    return metrics(
-        sums,
-        {
-            "total_sales_amount": (in_period, amount),
-            **{f"{c}_sales": (in_period & F.col(c), amount) for c in CHANNELS},
-            "total_final_amount": (in_period, F.col("final_amount")),
-            "sales_ytd": (current, amount),
-            "sales_ytd_prior": (before, amount),
-            "export_ytd": (current & export, amount),
-            "export_ytd_prior": (before & export, amount),
-        },
-    ).withColumns({n: or_zero(F.col(n)) for n in ("total_final_amount", "export_ytd")})
+    figures = {
+        "total_sales_amount": "sum(IF(in_period, amount, NULL))",
+        **{f"{c}_sales": f"sum(IF(in_period AND {c}, amount, NULL))" for c in CHANNELS},
+        "total_final_amount": "coalesce(sum(IF(in_period, final_amount, NULL)), 0)",
+        "sales_ytd": "sum(IF(in_ytd, amount, NULL))",
+        "sales_ytd_prior": "sum(IF(in_ytd_prior, amount, NULL))",
+        "export_ytd": "coalesce(sum(IF(in_ytd AND export, amount, NULL)), 0)",
+        "export_ytd_prior": "sum(IF(in_ytd_prior AND export, amount, NULL))",
+    }
+    return sums.agg(*[F.expr(f"{sql} AS {name}") for name, sql in figures.items()])
 
 
 def customer_ledger(journal: DataFrame, in_period: Column, balance_rows: Column) -> DataFrame:
@@ -123,13 +119,16 @@ def line_measures(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     )
     items = tables.item_master.select("item_id", "volume")
     windows = date_windows(F.col("invoice_date"), period, as_of)
-    volume = F.col("invoiced_quantity") * F.col("volume")
+    measures = {"weight": "line_weight", "volume": "invoiced_quantity * volume"}
     return (
-        left_dim(lines, items, "item_id")
+        left_dim(lines.withColumns(windows), items, "item_id")
         .groupBy("int_id")
         .agg(
-            *[sum_where(windows[w], F.col("line_weight")).alias(f"weight_{w}") for w in WINDOWS],
-            *[sum_where(windows[w], volume).alias(f"volume_{w}") for w in WINDOWS],
+            *[
+                F.expr(f"sum(IF({w}, {value}, NULL)) AS {m}_{w}")
+                for m, value in measures.items()
+                for w in WINDOWS
+            ]
         )
     )
 
@@ -143,18 +142,17 @@ def line_metrics(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     by_channel = (
         with_channels(left_dim(line_measures(tables, period, as_of), header, "int_id"))
         .groupBy(*CHANNELS)
-        .agg(*[F.sum(q).alias(q) for q in quantities])
+        .agg(*[F.expr(f"sum({q}) AS {q}") for q in quantities])
     )
-    aggs = []
+    figures = {}
     for w in WINDOWS:
-        weight, volume = F.col(f"weight_{w}"), F.col(f"volume_{w}")
-        aggs.append(or_zero(F.sum(weight)).alias(f"total_weight_{w}"))
-        aggs += [
-            or_zero(sum_where(F.col(c), weight)).alias(f"{c}_weight_{w}") for c in CHANNELS
-        ]
-        color_center = or_zero(sum_where(F.col("color_center"), volume))
-        aggs.append(color_center.alias(f"color_center_volume_{w}"))
-    return by_channel.agg(*aggs)
+        figures[f"total_weight_{w}"] = f"sum(weight_{w})"
+        for c in CHANNELS:
+            figures[f"{c}_weight_{w}"] = f"sum(IF({c}, weight_{w}, NULL))"
+        figures[f"color_center_volume_{w}"] = f"sum(IF(color_center, volume_{w}, NULL))"
+    return by_channel.agg(
+        *[F.expr(f"coalesce({sql}, 0) AS {name}") for name, sql in figures.items()]
+    )
 
 
 def sales_channels(header: DataFrame, period: Period, as_of: dt.date) -> DataFrame:

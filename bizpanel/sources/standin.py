@@ -16,6 +16,24 @@ from bizpanel.sources.tables import Tables
 
 Read = Callable[[str], DataFrame]
 
+# The test tables this mapping reads; a declared schema saves reading a footer per table.
+TEST_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": """c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
+        c_mktsegment string""",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": """p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,
+        p_retailprice double""",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string,
+        o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
+        value double, props string""",
+}
+
 # Accounts by part number modulo 16, departments by customer number modulo 12.
 ACCOUNTS = (
     "1241 1242 2321 2322 4211 4212 4221 4231 1261 1262 1271 1272 1278 1270 1279 5111"
@@ -395,7 +413,7 @@ def request_documents(read: Read) -> DataFrame:
 def standin_tables(spark: SparkSession, folder: str) -> Tables:
     """The business tables over a folder of test tables."""
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(TEST_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
     loaders = {name: (lambda n=name: mapped(n, read)) for name in MAPPINGS}
     loaders["request_documents"] = lambda: request_documents(read)

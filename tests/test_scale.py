@@ -14,7 +14,7 @@ from bizpanel.checks import all_checks
 from bizpanel.operators import aggregates, joins
 from bizpanel.operators.lineage import cut, ensure_checkpoint_dir
 from bizpanel.operators.period import Period
-from bizpanel.plans import cash, expenses, ledger, loyalty, sales, stock
+from bizpanel.plans import expenses, ledger, loyalty, sales
 from bizpanel.sources import sinks
 from bizpanel.sources.tables import Tables, save_bucketed, write_table
 from tests.conftest import SMALL

@@ -4,7 +4,6 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from bizpanel.checks.mapping import TABLES
 from bizpanel.sources import profile, requests
