@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bizpanel.functions import fixed_values as fixed
 from bizpanel.functions.classify import (
@@ -342,7 +343,10 @@ def dept_group_cards(employees: DataFrame) -> DataFrame:
 
 
 def dept_group_table(employees: DataFrame) -> DataFrame:
-    """Active and terminated staff, salary, its share and average per executive group."""
+    """Active and terminated staff, salary, its share and average per executive group.
+
+    The total is a window over the eleven groups, so the employees are read once.
+    """
     active = or_default(F.col("current_status") == fixed.WORKING_STATE, False)
     grouped = (
         with_group(employees)
@@ -356,7 +360,7 @@ def dept_group_table(employees: DataFrame) -> DataFrame:
     table = on_category_spine(
         employees.sparkSession, grouped, "dept_group", fixed.DEPARTMENT_GROUP_ORDER
     )
-    whole = table.agg(F.sum("total_salary").alias("whole")).scalar()
+    whole = F.sum("total_salary").over(Window.partitionBy(F.lit(1)))
     return (
         table.withColumn("salary_pct", share_pct(F.col("total_salary"), whole))
         .withColumn("avg_salary", average_or(F.col("total_salary"), F.col("active_count")))

@@ -179,7 +179,7 @@ def sales_month(tables: Tables, year: int, month: int, as_of: dt.date) -> DataFr
 
 
 def sales_period(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
-    """The full sales figures of a period as one row of 37 columns.
+    """The full sales figures of a period as one row of 36 columns.
 
     Three scans: headers, lines (with items and headers), ledger.
     """

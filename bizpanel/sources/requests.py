@@ -10,9 +10,9 @@ from bizpanel.sources.schema import REQUEST_SCHEMA
 
 
 def is_valid_json(document: Column) -> Column:
-    """True for text that parses as JSON; false for NULL, empty or broken text."""
-    parsed = F.try_parse_json(document)
-    return F.coalesce(document, F.lit("")).rlike(r"\S") & parsed.isNotNull()
+    """True for a JSON object or array; false for NULL, empty, scalar or broken text."""
+    container = F.coalesce(document, F.lit("")).rlike(r"^\s*[\[{]")
+    return container & F.try_parse_json(document).isNotNull()
 
 
 def json_int(document: Column, path: str) -> Column:

@@ -209,6 +209,8 @@ def test_bands_and_badges(spark):
 
 
 def test_json_helpers(spark):
-    rows = [('{"EmployeeID": 7}',), ('{"EmployeeID": "x"}',), ('{"EmployeeID"',), ("",), (None,)]
-    assert apply(spark, rows, "a string", is_valid_json(A)) == [True, True, False, False, False]
-    assert apply(spark, rows, "a string", json_int(A, "$.EmployeeID")) == [7, None, None, None, None]
+    rows = [('{"EmployeeID": 7}',), (' [{"EmployeeID": "x"}]',), ('{"EmployeeID"',), ("",), (None,), ("7",)]
+    valid = [True, True, False, False, False, False]
+    assert apply(spark, rows, "a string", is_valid_json(A)) == valid
+    numbers_found = [7, None, None, None, None, None]
+    assert apply(spark, rows, "a string", json_int(A, "$.EmployeeID")) == numbers_found
