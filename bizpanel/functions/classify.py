@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -122,7 +123,7 @@ def dept_group(
     def group_of(clean: Column) -> Column:
         tests = [(clean.isin(*members), F.lit(group)) for group, members in names.items()]
         tests += [
-            (any_of(clean.contains(w) for w in group_words), F.lit(group))
+            (clean.rlike("|".join(map(re.escape, group_words))), F.lit(group))
             for group, group_words in words
         ]
         return first_match(tests, F.lit(default))
