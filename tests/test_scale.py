@@ -15,6 +15,7 @@ from bizpanel.operators import aggregates, joins
 from bizpanel.operators.lineage import cut, ensure_checkpoint_dir
 from bizpanel.operators.period import Period
 from bizpanel.plans import expenses, ledger, loyalty, sales
+from bizpanel.plans.stock import last_price
 from bizpanel.sources import sinks
 from bizpanel.sources.tables import Tables, save_bucketed, write_table
 from tests.conftest import SMALL
@@ -114,6 +115,46 @@ def test_client_activity_of_a_hot_client(make_tables, spark, hot):
     assert "ReusedExchange" in text
 
 
+def test_last_price_of_a_hot_invoice_and_item(make_tables, spark):
+    """A third of all lines on one invoice: AQE splits it, and the prices are exact."""
+    generator = random.Random(11)
+    first_day = dt.date(2000, 1, 1)
+    days = {key: first_day + dt.timedelta(days=generator.randrange(300)) for key in range(1, 500)}
+    lines = []
+    for i in range(30_000):
+        key = 1 if i % 3 == 0 else generator.randrange(2, 520)
+        item = "HOT" if i % 2 == 0 else f"I{generator.randrange(300)}"
+        lines.append((key, item, generator.randrange(1, 10_000)))
+    best = {}
+    for key, item, price in lines:
+        if key in days:
+            best[item] = max(best.get(item, (first_day, 0, 0)), (days[key], key, price))
+    header = spark.createDataFrame(
+        [(k, d, "EGP", 1) for k, d in days.items()],
+        "internal_id bigint, invoice_date date, invoice_currency string, invoice_exchange_rate int",
+    )
+    line = spark.createDataFrame(lines, "int_id bigint, item_code string, price int").repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        prices = last_price(header, line)
+        found = {r.item_code: (r.last_invoice_date, r.last_price) for r in prices.collect()}
+        assert "skew=true" in prices._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {item: (day, price) for item, (day, _, price) in best.items()}
+
+
 # --- layout ----------------------------------------------------------------
 
 
