@@ -1,10 +1,11 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 The index holds a posting (row, position) for each training word that the benchmark uses, and is
-written once. Its counts tell each test window's rarest terms. Their lists, each shifted by the
-term's offset in the window, are intersected first: a place must stand in all of them. What is left is
-intersected with the lists of the window's other terms, so that an exact match has every term at
-its offset. Proximity matches are the shortest spans that hold an item's rarest terms.
+written once. Its counts tell each test window's rarest terms. The lists of these terms are shifted by
+the term's offset in its item, so that an item's place in a row is one number, and intersected: a
+place goes on if two of them meet there. What is left is intersected with the lists of all terms of
+the item. Where as many neighbouring terms meet as a window has words, the phrase stands exactly.
+Proximity matches are the shortest spans that hold an item's rarest terms.
 
 Words: A-Z as a-z, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
@@ -23,8 +24,8 @@ from bizpanel.llm.scratch import small, store
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a test window; a shorter item is one window.
 WINDOW_WORDS = 10
-#: Rarest terms of a window whose lists are intersected first.
-RAREST = 3
+#: Rarest terms of each window whose lists are intersected first.
+RAREST = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,18 +37,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def item_windows(
+def item_terms(
     items: DataFrame, size: int = WINDOW_WORDS, id_column: str = "item_id", text_column: str = "text"
 ) -> DataFrame:
-    """A row for each window and word of it: window, item, len, offset, term."""
-    split = items.select(F.col(id_column).alias("item"), words(F.col(text_column)).alias("w"))
-    split = split.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(size)))
-    starts = F.sequence(F.lit(0), F.size("w") - F.col("len"))
-    windows = split.withColumn("at", F.explode(starts)).select(
-        "item", "len", F.slice("w", F.col("at") + 1, F.col("len")).alias("w")
+    """A row for each word of each item: item, item_id, len (words of its windows), offset, term.
+
+    To be stored, as the item numbers hold for one run only.
+    """
+    numbered = items.select(
+        F.monotonically_increasing_id().alias("item"),
+        F.col(id_column).alias("item_id"),
+        words(F.col(text_column)).alias("w"),
     )
-    keyed = windows.distinct().withColumn("window", F.sha2(F.array_join("w", " "), 256))
-    return keyed.select("window", "item", "len", F.posexplode("w").alias("offset", "term"))
+    return numbered.select(
+        "item",
+        "item_id",
+        F.least(F.size("w"), F.lit(size)).alias("len"),
+        F.posexplode("w").alias("offset", "term"),
+    )
+
+
+def vocabulary_of(terms: DataFrame) -> DataFrame:
+    """The different terms, numbered; to be stored, as the numbers hold for one run only."""
+    return terms.select("term").distinct().withColumn("number", F.monotonically_increasing_id())
 
 
 def build_index(
@@ -77,65 +89,77 @@ def build_index(
     return store(rows.join(known, "term").select("row", id_at_end, "number", "pos"))
 
 
-def vocabulary_of(windows: DataFrame) -> DataFrame:
-    """The terms of the windows, numbered; to be stored, as the numbers hold for one run only."""
-    return windows.select("term").distinct().withColumn("number", F.monotonically_increasing_id())
+def rarest_offsets(terms: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
+    """The offsets of each item that are among the rarest of some window: item, len, offset, number.
+
+    ``counts`` has the postings of each number; a term without postings is the rarest of all.
+    """
+    counted = terms.join(counts, "number", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    words_of = F.count("*").over(Window.partitionBy("item"))
+    placed = counted.withColumn("words", words_of)
+    begins = F.sequence(
+        F.greatest(F.col("offset") - F.col("len") + 1, F.lit(0)),
+        F.least(F.col("offset").cast("long"), F.col("words") - F.col("len")).cast("int"),
+    )
+    order = Window.partitionBy("item", "begin").orderBy("n", "offset")
+    return (
+        placed.withColumn("begin", F.explode(begins))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= rarest)
+        .select("item", "len", "offset", "number")
+        .distinct()
+    )
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """Exact places of the windows (window, item, len, offset, number): row, item, start, len.
+def phrase_matches(index: DataFrame, terms: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """Runs of words in which every window of an item stands: row, item, start, end.
 
-    ``index`` has been stored; windows with a term that the index lacks match nowhere.
+    ``terms`` has item, len, offset and number, ``index`` the postings; both have been stored.
     """
-    terms = windows.select("window", "len", "offset", "number").distinct()
     counts = index.where(F.col("number") >= 0).groupBy("number").agg(F.count("*").alias("n"))
-    ranked = terms.join(counts, "number")
-    every = Window.partitionBy("window")
-    ranked = store(
-        ranked.withColumn("known", F.count("*").over(every))
-        .where(F.col("known") == F.col("len"))
-        .withColumn("rank", F.row_number().over(every.orderBy("n", "offset")))
-        .select("window", "len", "offset", "number", "rank")
-    )
-    first = small(ranked.where(F.col("rank") <= rarest), 120)
-    shifted = (
-        index.join(first, "number")
-        .select("window", "len", "row", (F.col("pos") - F.col("offset")).alias("start"))
-        .where(F.col("start") >= 0)
-    )
-    # a window's terms have one offset each, so that each list gives a place once
+    first = store(rarest_offsets(terms, counts, rarest))
+    shifted = index.where(F.col("number") >= 0).join(small(first, 48), "number").select(
+        "item", "len", "row", (F.col("pos") - F.col("offset")).alias("shift")
+    )
+    # an offset meets a shift of a row once
     places = store(
-        shifted.groupBy("window", "len", "row", "start")
+        shifted.groupBy("item", "len", "row", "shift")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") == F.least(F.col("len"), F.lit(rarest)))
-        .select("window", "len", "row", "start")
+        .where(F.col("n") >= F.least(F.col("len"), F.lit(rarest)))
+        .select("item", "len", "row", "shift")
     )
-    rest = small(ranked.where(F.col("rank") > rarest), 120)
-    wanted = places.join(rest.select("window", "offset", "number"), "window").select(
-        "window", "row", "start", "number", (F.col("start") + F.col("offset")).alias("pos")
+    of_item = small(terms.select("item", "offset", "number"), 32)
+    wanted = places.join(of_item, "item").select(
+        "item", "len", "row", "shift", "offset", "number", (F.col("shift") + F.col("offset")).alias("pos")
     )
-    rows = small(places.select("row").distinct(), 16)
-    nearby = index.join(rows, "row", "left_semi").select("row", "number", "pos")
-    met = (
-        wanted.join(nearby, ["row", "number", "pos"])
-        .groupBy("window", "row", "start")
-        .agg(F.count("*").alias("met"))
+    longest = terms.groupBy("item").agg((F.max("offset") + 1).alias("words"))
+    reach = store(
+        places.join(small(longest, 16), "item")
+        .groupBy("row")
+        .agg(F.min("shift").alias("lo"), F.max(F.col("shift") + F.col("words")).alias("hi"))
+    )
+    near = index.join(small(reach, 24), "row").where(
+        (F.col("number") >= 0) & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))
     )
-    whole = places.join(met, ["window", "row", "start"], "left").where(
-        F.coalesce("met", F.lit(0)) == F.greatest(F.col("len") - rarest, F.lit(0))
+    met = wanted.join(near.select("row", "number", "pos"), ["row", "number", "pos"])
+    place = Window.partitionBy("item", "row", "shift").orderBy("offset")
+    runs = met.withColumn("run", F.col("offset") - F.row_number().over(place))
+    return (
+        runs.groupBy("item", "row", "shift", "len", "run")
+        .agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+        .where(F.col("end") - F.col("start") >= F.col("len"))
+        .select("row", "item", "start", "end")
     )
-    items = windows.select("window", "item").distinct()
-    return whole.join(items, "window").select("row", "item", "start", "len")
 
 
 def proximity_matches(
-    index: DataFrame, windows: DataFrame, span: int = 40, rarest: int = RAREST
+    index: DataFrame, terms: DataFrame, span: int = 40, rarest: int = RAREST
 ) -> DataFrame:
     """Shortest spans of at most ``span`` words with an item's rarest terms: row, item, start, end.
 
     Items need ``rarest`` different terms that the index has.
     """
-    terms = windows.select("item", "number").distinct()
+    terms = terms.select("item", "number").distinct()
     counts = index.where(F.col("number") >= 0).groupBy("number").agg(F.count("*").alias("n"))
     order = Window.partitionBy("item").orderBy("n", "number")
     ranked = terms.join(counts, "number").withColumn("rank", F.row_number().over(order))
@@ -168,23 +192,26 @@ def decontaminate(
     size: int = WINDOW_WORDS,
 ) -> DataFrame:
     """For each document: words, words inside a window's place, and the items whose windows occur."""
-    windows = store(item_windows(items, size))
-    vocabulary = store(vocabulary_of(windows))
+    terms = store(item_terms(items, size))
+    vocabulary = store(vocabulary_of(terms))
     index = build_index(documents, vocabulary, id_column, text_column)
-    numbered = windows.join(vocabulary, "term").drop("term")
-    found = store(phrase_matches(index, numbered))
+    numbered = store(terms.join(vocabulary, "term").drop("term"))
+    found = store(phrase_matches(index, numbered.drop("item_id")))
     earlier = (
         Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     )
-    spans = found.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    spans = found.select("row", "start", "end").distinct()
     open_from = F.greatest(F.col("start"), F.coalesce(F.max("end").over(earlier), F.lit(0)))
     hit = (
         spans.withColumn("new", F.greatest(F.col("end") - open_from, F.lit(0)))
         .groupBy("row")
         .agg(F.sum("new").alias("n_hit"))
     )
-    listed = found.groupBy("row").agg(
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
+    named = numbered.select("item", "item_id").distinct()
+    listed = (
+        found.join(small(named, 24), "item")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     rows = index.where(F.col("number") == -1).select("row", "id", F.col("pos").alias("n_words"))
     joined = rows.join(hit.join(listed, "row"), "row", "left")
