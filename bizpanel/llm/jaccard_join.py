@@ -9,9 +9,11 @@ that only this part of the incidence is dealt to blocks of columns. In a block:
 * each document is paired with the first of its cut, not with all, and a pair goes on only if the
   places of the column in both rows leave room for the overlap that the sizes demand.
 
-Overlaps of the pairs are counted exactly in blocks of whole rows. What is linked so becomes components.
-Columns that still hold several components are joined with themselves across components, with the same
-bounds, and those pairs are counted too. So no link is lost and no group's pairs are all made: pairs
+For each pair the shared columns of both first parts are counted; what their rests could add at most
+discards pairs below the size-derived bound. Each document's best pair is counted exactly, in blocks of whole
+rows; what is linked so becomes components. Of the other pairs, and of columns that still hold
+several components, joined with themselves across components under the same bounds, those between
+different components are counted too. So no link is lost and no group's pairs are all made: pairs
 inside one component need no count. Columns that the sketch calls hot are salted over several blocks
 and their cuts' first documents are paired with each other.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,14 +42,16 @@ from pyspark.sql import functions as F
 
 from bizpanel.llm.components import components
 from bizpanel.llm.packing import pack, split_by, unpack
-from bizpanel.llm.scratch import store
+from bizpanel.llm.scratch import small, store
 from bizpanel.llm.words import SPACED_LOWER, U64, inside_text, mix, rolling, split_words, text_chunks
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
-#: Counters of the sketch, as a power of two: 1 MB in each task.
-SKETCH_BITS = 18
+#: Counters of the sketch, as a power of two: 16 MB in each task that counts, 8 MB in those that read it.
+SKETCH_BITS = 21
+#: Standard deviations above the typical counter from which a column counts as frequent.
+FREQUENT = 3.0
 #: Entries of a block of columns.
 BLOCK_ENTRIES = 1 << 20
 #: Documents of a column from which it is salted.
@@ -106,7 +111,7 @@ def _scan(size: int):
                 schema=schema,
             )
         if sketch.any():
-            last = [pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([sketch.tobytes()], pa.binary())]
+            last = [pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.astype("<u4").tobytes(), 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(last, schema=schema)
 
     return run
@@ -121,7 +126,7 @@ def _sum_sketches(scan: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for part in batch.column("sketch").to_pylist():
-                total += np.frombuffer(part, np.int64)
+                total += np.frombuffer(zlib.decompress(part), "<u4")
         parts = [total[i * width : (i + 1) * width].tobytes() for i in range(slices)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array(parts, pa.binary())], names=["slice", "sketch"])
 
@@ -137,9 +142,10 @@ def _sum_sketches(scan: DataFrame) -> np.ndarray:
         .applyInArrow(add, "slice long, sketch binary")
         .collect()
     )
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in rows:
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["sketch"], np.int64)
+        part = np.frombuffer(row["sketch"], np.int64)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.minimum(part, 0xFFFFFFFF)
     return out
 
 
@@ -154,7 +160,13 @@ class _Layout:
 
     def counts(self, values: np.ndarray) -> np.ndarray:
         """What the sketch says of each column's documents, at least."""
-        return self.sketch[(values >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+        return self.sketch[(values >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+
+    def ranks(self, values: np.ndarray) -> np.ndarray:
+        """0 for columns whose counter is as full as most, and more for frequent ones, up to 255."""
+        typical = max(float(np.median(self.sketch)), 1.0)
+        over = (self.counts(values) - typical) / math.sqrt(typical)
+        return np.where(over < FREQUENT, 0, 1 + np.round(4 * np.log2(np.maximum(over, 1)))).astype(np.int64)
 
     def demanded(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The least overlap of similar sets of these sizes."""
@@ -170,9 +182,7 @@ def _prefixes(values: np.ndarray, first: np.ndarray, layout: _Layout):
     """Entries that have to be sent: value, row, place in the row."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    # quarter steps of the logarithm: rare columns first
-    rank = np.round(4 * np.log2(np.maximum(layout.counts(values), 1))).astype(np.int64)
-    order = np.lexsort((values, row * 256 + rank))
+    order = np.lexsort((values, row * 256 + layout.ranks(values)))
     place = np.arange(len(values)) - first[row]
     keep = place < (n - -(-layout.percent * n // 100) + 1)[row]
     return values[order][keep], row[keep], place[keep]
@@ -258,7 +268,8 @@ def _block(layout: _Layout):
         col = col[order]
         same = np.zeros(len(col) + 1, bool)
         same[1:-1] = col[1:] == col[:-1]
-        several = same[1:] | same[:-1]
+        # documents of a hot column may meet in another block
+        several = same[1:] | same[:-1] | (layout.counts(col << U64(64 - layout.bits)) >= 2 * layout.hot)
         order, col = order[several], col[several]
         doc, n, place = doc[order], n[order], place[order]
         order = np.lexsort((doc, n, col))
@@ -338,8 +349,26 @@ def _count_overlaps(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; b is the side that many pairs share."""
+def _promising(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, n, b, m) that share enough columns for similar sets of their sizes: a, b, shared.
+
+    A pair overlaps in the columns that both first parts share, and beyond them in no more than the rest of
+    that row whose first part ends earlier.
+    """
+    columns = members.groupBy("id").agg(F.collect_set("col").alias("cols"))
+    shared = F.size(F.array_intersect("cols_a", "cols_b"))
+    rest = F.greatest(F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100")) - 1
+    both = pairs.join(columns.toDF("a", "cols_a"), "a").join(columns.toDF("b", "cols_b"), "b")
+    enough = (100 + percent) * (shared + rest) >= percent * (F.col("n") + F.col("m"))
+    return both.where(enough).groupBy("a", "b").agg(F.max(shared).alias("shared"))
+
+
+def _links(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The stored pairs (a, b) whose sets are similar; b is the side that many pairs share."""
+    pairs = store(pairs.select("a", "b"))
+    ids = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    needed = rows.join(small(ids, 16), "id", "left_semi")
+    sets = store(needed.mapInArrow(_sets(size), _SETS))
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     other = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     whole = pairs.join(one, "a").join(other, "b").select("a", "b", "items_a", "items_b")
@@ -370,18 +399,12 @@ def similar_links(
     layout = _Layout(size, percent, max(least, sent // BLOCK_ENTRIES), bits, hot, _sum_sketches(scan))
     entries = rows.mapInArrow(_send(layout), _ENTRIES)
     members = store(entries.groupBy("bucket").applyInArrow(_block(layout), _MEMBERS))
-    ids = members.select("id").distinct()
-    sets = store(rows.join(ids, "id", "left_semi").mapInArrow(_sets(size), _SETS))
-
-    first = members.where(F.col("hub").isNotNull()).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     salted = members.where(F.col("hot") & F.col("hub").isNull())
     lowest = salted.groupBy("col").agg(F.min(F.struct("n", "id")).alias("top"))
-    across = (
-        salted.join(lowest, "col")
-        .where((F.col("id") != F.col("top.id")) & (100 * F.col("top.n") >= percent * F.col("n")))
-        .select(F.col("id").alias("a"), F.col("top.id").alias("b"))
-    )
-    pairs = store(first.union(across).distinct())
+    across = salted.join(lowest, "col").where(F.col("id") != F.col("top.id"))
+    first = members.where(F.col("hub").isNotNull())
+    pairs = first.select("id", "n", "hub", "hub_n").union(across.select("id", "n", "top.id", "top.n"))
+    pairs = store(_promising(pairs.toDF("a", "n", "b", "m").distinct(), members, percent))
     copies = found.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     lead = copies.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("k"))
     exact = store(
@@ -389,8 +412,9 @@ def similar_links(
         .where(F.col("id") != F.col("a"))
         .select("a", F.col("id").alias("b"))
     )
-    linked = _links(pairs, sets, percent)
-    so_far = components(linked.union(exact))
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    linked = _links(best, rows, size, percent)
+    so_far = store(components(linked.union(exact)))
 
     open_columns = members.where((F.col("members") > 2) | F.col("hot")).select("col", "id", "n", "place")
     labelled = open_columns.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn(
@@ -413,16 +437,19 @@ def similar_links(
         .where(F.col("x.component") < F.col("y.component"))
         .where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         .where((100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .select(F.col("x.id").alias("a"), F.col("x.n"), F.col("y.id").alias("b"), F.col("y.n").alias("m"))
         .distinct()
     )
-    known = pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    fresh = across.join(
-        known,
-        (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")),
-        "left_anti",
+    apart = pairs.join(so_far.toDF("a", "of_a"), "a", "left").join(so_far.toDF("b", "of_b"), "b", "left")
+    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    fresh = (
+        _promising(across, members, percent)
+        .select("a", "b")
+        .union(apart.select("a", "b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
-    more = _links(store(fresh), sets, percent)
+    more = _links(store(fresh), rows, size, percent)
     return found, linked.union(exact).union(more)
 
 
