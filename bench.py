@@ -53,7 +53,7 @@ def main() -> None:
     asked = os.environ.get("BENCH_QUERIES", "")
     checks = all_checks()
     names = list(checks) if asked == "all" else asked.split(",") if asked else list(HEADLINES)
-    spark = build_session(cpus, "bench")
+    spark = build_session(cpus, "bench", {"spark.sql.shuffle.partitions": cpus})
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in names:

@@ -305,9 +305,7 @@ def _(t):
 
 @check(
     "j6_cash_accounts_strict_parity",
-    _accounts_sql("m.account = o.account AND m.line_currency = m.line_currency").replace(
-        "m.line_currency = m.line_currency", "1 = 1"
-    ),
+    _accounts_sql("m.account = o.account AND m.line_currency = m.line_currency"),
     money=ACCOUNT_MONEY,
 )
 def _(t):
@@ -639,7 +637,7 @@ def _(t):
 PROFILE = """SELECT a.employee_id, a.full_name, a.branch_name, a.department_name, a.division_name, a.job_name,
       (SELECT x.full_name FROM employee_master x WHERE x.employee_id = a.report_to) AS reporting_to, a.joining_date, a.address,
       a.contract_date, a.contract_expired_date, a.state_description AS current_status, a.leaving_date, a.termination_notes,
-      CASE WHEN a.group_code = 'W' THEN 'Worker' WHEN a.group_code = 'N' THEN 'Normal Employee' ELSE a.group_code END AS group_code,
+      CASE WHEN rtrim(a.group_code) = 'W' THEN 'Worker' WHEN rtrim(a.group_code) = 'N' THEN 'Normal Employee' ELSE a.group_code END AS group_code,
       a.education, a.is_manager, a.manager_id,
       coalesce((SELECT sum(x.salary_amount) FROM employee_salary x WHERE x.employee_id = a.employee_id), 0) AS salary_amount,
       'https://images.example.org/hr/' || a.image_id || '-0.jpg' AS photo, a.birthdate, a.tel, a.mob FROM employee a"""

@@ -453,7 +453,7 @@ def _(t):
 
 @check(
     "k5_staff_group_labels",
-    """SELECT CASE WHEN group_code = 'W' THEN 'Worker' WHEN group_code = 'N' THEN 'Normal Employee' ELSE group_code END AS label,
+    """SELECT CASE WHEN rtrim(group_code) = 'W' THEN 'Worker' WHEN rtrim(group_code) = 'N' THEN 'Normal Employee' ELSE group_code END AS label,
          count(*) AS n FROM employee GROUP BY 1""",
 )
 def _(t):

@@ -34,8 +34,8 @@ def first_match(tests: Iterable[tuple[Column, Column]], default: Column) -> Colu
 
 
 def label_map(value: Column, labels: Mapping[str, str], default: Column) -> Column:
-    """Label for each listed value, ``default`` for all others."""
-    return first_match([(value == k, F.lit(label)) for k, label in labels.items()], default)
+    """Label for each listed value, blanks behind it aside, ``default`` for all others."""
+    return first_match([(F.rtrim(value) == k, F.lit(label)) for k, label in labels.items()], default)
 
 
 def account_group(account: Column) -> Column:

@@ -14,7 +14,6 @@ PATH_SEPARATOR = "/"
 SORT_SEPARATOR = "\u0001"
 NAME_END = "\u0002"
 ID_WIDTH = 20
-MAX_LEVELS = 64
 
 
 def manager_first(is_manager: Column) -> Column:
@@ -46,13 +45,13 @@ def _sort_key() -> Column:
     )
 
 
-def org_tree(employees: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def org_tree(employees: DataFrame) -> DataFrame:
     """Every employee with root, level, id path and sort path.
 
     Roots have no manager, manager 0, or a manager outside the given set. Each round
     joins one level with its children and writes it to the checkpoint folder, so the
-    plan stays one join deep however tall the tree is. Nodes on a cycle are reached
-    from no root and are left out. ``employee_id`` must be unique.
+    plan stays one join deep however tall the tree is; there is no limit of levels. Nodes
+    on a cycle are reached from no root and are left out. ``employee_id`` must be unique.
     """
     nodes = cut(
         employees.select(
@@ -76,8 +75,6 @@ def org_tree(employees: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     )
     levels = [level]
     while not level.isEmpty():
-        if len(levels) > max_levels:
-            raise ValueError(f"the tree is deeper than {max_levels} levels")
         parents = level.select(
             F.col("employee_id").alias("parent_id"), "root_id", "level", "path", "sort_path"
         )

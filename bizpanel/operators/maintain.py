@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizpanel.functions import fixed_values as fixed
 from bizpanel.operators.aggregates import latest
 from bizpanel.operators.filters import search
 
+REPEATED_KEY = "the batch names this key more than once"
+
 
 def safety_stock_checks() -> dict[str, Column]:
     """Reason text by failing test, in the order they are reported."""
@@ -41,16 +43,33 @@ def upsert(
 ) -> tuple[DataFrame, DataFrame]:
     """New snapshot and rejected rows.
 
-    Valid changes replace the base row with the same key or are added. Where a batch
-    may name a key twice, ``sequence`` orders its changes and the last one counts.
+    Valid changes replace the base row with the same key or are added. A change whose key is 0
+    or NULL is a new record and gets the next free key. Where a batch may name a key twice,
+    ``sequence`` orders its changes and the last one counts; without it all of them are rejected.
     """
     valid, rejected = split_valid(changes, checks or {})
+    valid = valid.withColumn("is_new", F.coalesce(F.col(key) == 0, F.lit(True)))
+    added, valid = valid.filter("is_new").drop("is_new"), valid.filter("NOT is_new").drop("is_new")
     if sequence:
         rest = [c for c in valid.columns if c != key]
         valid = latest(valid, [key], [sequence], rest).drop(sequence)
+    else:
+        twice = valid.groupBy(key).count().filter("count > 1").select(key)
+        again = valid.join(twice, key, "left_semi").withColumn("reason", F.lit(REPEATED_KEY))
+        rejected = rejected.unionByName(again)
+        valid = valid.join(twice, key, "left_anti")
     valid = valid.select(*base.columns)
     kept = base.join(valid.select(key), key, "left_anti").select(*base.columns)
-    return kept.unionByName(valid), rejected
+    return kept.unionByName(valid).unionByName(_numbered(base, valid, added, key)), rejected
+
+
+def _numbered(base: DataFrame, valid: DataFrame, added: DataFrame, key: str) -> DataFrame:
+    """New records of a batch with the keys that follow the largest one in use."""
+    used = base.select(key).union(valid.select(key)).agg(F.max(key).alias("used"))
+    rest = [c for c in base.columns if c != key]
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*rest))
+    new_key = (F.coalesce(used.scalar(), F.lit(0)) + place).cast(base.schema[key].dataType)
+    return added.withColumn(key, new_key).select(*base.columns)
 
 
 def delete(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -122,15 +122,21 @@ def cash_accounts(
     """Opening, movement and closing per account and currency.
 
     Only accounts that move in the period are listed. ``strict_parity`` joins the
-    opening on the account alone, which repeats a line once per opening currency.
+    opening on the account alone, which repeats a line of a known currency once per
+    opening currency. A line without currency gets no opening either way.
     """
     grouped = _movements(base.filter(ledger.is_cash_account()), "account", "line_currency")
     moving = grouped.filter(F.col("period_lines") > 0)
+    known = F.col("line_currency").isNotNull()
     if strict_parity:
-        opening = grouped.filter(F.col("opening_lines") > 0).select("account", "opening_balance")
-        moving = left_dim(moving.drop("opening_balance"), opening, "account")
+        opening = grouped.filter(F.col("opening_lines") > 0).select(
+            F.col("account").alias("opening_account"), "opening_balance"
+        )
+        moving = moving.drop("opening_balance").withColumn(
+            "opening_account", F.when(known, F.col("account"))
+        )
+        moving = left_dim(moving, opening, "opening_account").drop("opening_account")
     else:
-        known = F.col("line_currency").isNotNull()
         moving = moving.withColumn("opening_balance", F.when(known, F.col("opening_balance")))
     group = account_group(F.col("account"))
     opened = or_zero(F.col("opening_balance"))

@@ -13,6 +13,8 @@ from bizpanel.operators.joins import left_dim
 from bizpanel.operators.period import Period, prune_years
 
 AMOUNTS = ("debit_book", "credit_book", "debit_txn", "credit_txn")
+#: The year partition of the stored ledger.
+YEAR_COLUMN = "journal_year"
 
 
 def book_balance() -> Column:
@@ -90,7 +92,7 @@ def group_balances(journal: DataFrame, period: Period) -> DataFrame:
     """Year opening, period-end balance and their difference per cash account group."""
     date = F.col("journal_date")
     groups = (
-        prune_years(journal, "journal_year", last=period.year)
+        prune_years(journal, YEAR_COLUMN, last=period.year)
         .filter(is_cash_account() & period.until_end(date))
         .groupBy(account_group(F.col("account")).alias("account_group"))
         .agg(
@@ -132,8 +134,15 @@ def compact_years(journal: DataFrame) -> DataFrame:
 
 
 def with_compacted_years(journal: DataFrame, compacted: DataFrame, year: int) -> DataFrame:
-    """Compacted rows for the years before ``year``, ledger lines from then on."""
+    """Compacted rows for the years before ``year``, ledger lines from then on.
+
+    Reports must lie in ``year`` or later: a compacted row stands on the last day of its year.
+    Where the ledger has its partition column, compacted rows get theirs from their date, and
+    the partitions of closed years are not read.
+    """
     first_day = F.make_date(F.lit(year), F.lit(1), F.lit(1))
     history = compacted.filter(F.col("journal_date") < first_day)
-    current = journal.filter(F.col("journal_date") >= first_day)
+    if YEAR_COLUMN in journal.columns:
+        history = history.withColumn(YEAR_COLUMN, F.year("journal_date"))
+    current = prune_years(journal, YEAR_COLUMN, first=year).filter(F.col("journal_date") >= first_day)
     return current.unionByName(history, allowMissingColumns=True)

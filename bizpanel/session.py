@@ -10,11 +10,10 @@ from pyspark.sql import SparkSession
 def build_session(
     cores: int | str = "*", app: str = "bizpanel", settings: Mapping[str, str] | None = None
 ) -> SparkSession:
-    """Local session with adaptive execution, UTC and few shuffle partitions."""
+    """Local session with adaptive execution and UTC."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

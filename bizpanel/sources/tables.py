@@ -64,20 +64,16 @@ class Tables:
         )
 
 
-def write_fact(
-    df: DataFrame, path: str, year: str, made_from: str | None = None, files_per_year: int = 8
-) -> None:
+def write_fact(df: DataFrame, path: str, year: str, made_from: str | None = None) -> None:
     """Write a fact partitioned by year, replacing only the years it holds.
 
     ``made_from`` is the expression of the partition column where the fact lacks it.
-    Each year is written by ``files_per_year`` tasks, so a year that holds most rows is
-    not one task. Rows are placed by a hash of their values, which gives the same files
-    when a lost task is run again.
+    Rows are rebalanced by year: adaptive execution joins small years and splits large ones
+    by size, so that a year that holds most rows is not one task.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
     dated = df.withColumn(year, F.expr(made_from)) if made_from else df
     (
-        dated.repartition(year, spread)
+        dated.hint("rebalance", year)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(year)
@@ -85,11 +81,11 @@ def write_fact(
     )
 
 
-def write_table(df: DataFrame, root: str, name: str, files_per_year: int = 8) -> None:
+def write_table(df: DataFrame, root: str, name: str) -> None:
     """Write a business table where ``Tables.from_parquet`` finds it, facts by year."""
     path = f"{root}/{name}"
     if name in YEAR_PARTITIONS:
-        write_fact(df, path, *YEAR_PARTITIONS[name], files_per_year)
+        write_fact(df, path, *YEAR_PARTITIONS[name])
     else:
         df.write.mode("overwrite").parquet(path)
 

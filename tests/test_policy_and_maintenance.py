@@ -95,3 +95,12 @@ def test_delete_and_search(spark):
     assert [r.id for r in maintain.delete(base, ids, "id").collect()] == [1]
     assert maintain.search_items(base, "b", ["item_code"]).count() == 0
     assert [r.id for r in maintain.search_items(base, "BO", ["item_code"]).collect()] == [1]
+
+
+def test_new_records_get_keys_and_repeated_ones_are_rejected(spark):
+    base = spark.createDataFrame([(3, "a", 1)], "id long, item_code string, safety_stock int")
+    rows = [(0, "b", 2), (None, "c", 3), (3, "a", 9), (5, "x", 1), (5, "y", 1)]
+    changes = spark.createDataFrame(rows, base.schema)
+    saved, rejected = maintain.upsert(base, changes, "id")
+    assert sorted(map(tuple, saved.collect())) == [(3, "a", 9), (4, "b", 2), (5, "c", 3)]
+    assert [r.id for r in rejected.collect()] == [5, 5]

@@ -166,7 +166,7 @@ def laid_out(spark, tmp_path_factory):
     names = ["journal_line", "accounts_master", "segments_master", "sales_header", "sales_line"]
     names += ["item_master", "charging", "redemption", "client_master"]
     for name in names:
-        write_table(source[name], root, name, files_per_year=2)
+        write_table(source[name], root, name)
     return source, Tables.from_parquet(spark, root)
 
 
@@ -198,10 +198,10 @@ def test_years_prune_partitions_and_filters_reach_the_scan(laid_out):
 def test_rewriting_one_year_keeps_the_others(laid_out, spark, tmp_path):
     source, _ = laid_out
     root = str(tmp_path)
-    write_table(source.charging, root, "charging", 2)
+    write_table(source.charging, root, "charging")
     before = Tables.from_parquet(spark, root).charging.groupBy("charging_year").count()
     kept = {r.charging_year: r["count"] for r in before.collect()}
-    write_table(source.charging.filter("charging_year = 2000").limit(3), root, "charging", 2)
+    write_table(source.charging.filter("charging_year = 2000").limit(3), root, "charging")
     after = Tables.from_parquet(spark, root).charging.groupBy("charging_year").count().collect()
     assert {r.charging_year: r["count"] for r in after} == kept | {2000: 3}
 
