@@ -266,3 +266,27 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == sheet.count()
     with pytest.raises(ValueError):
         sinks.write_report(sheet, str(tmp_path / "x"), "xls")
+
+
+def test_compacted_history_of_a_partitioned_ledger(spark, tmp_path):
+    """Balances agree with the plain ledger, and no partition of a closed year is read."""
+    plain = standin_tables(spark, SMALL).journal_line
+    write_table(plain, str(tmp_path), "journal_line")
+    stored = spark.read.parquet(str(tmp_path / "journal_line"))
+    assert ledger.YEAR_COLUMN in stored.columns
+    year = plain.agg(F.max(F.year("journal_date"))).first()[0]
+    period = Period.yearly(year)
+    short = ledger.with_compacted_years(stored, ledger.compact_years(plain), year)
+    lines = stored.filter(F.col("journal_date") < F.make_date(F.lit(year), F.lit(1), F.lit(1)))
+    assert not lines.isEmpty()
+    sums = [
+        {r.account: r.s for r in f.groupBy("account").agg(F.sum("debit_book").alias("s")).collect()}
+        for f in (plain, short)
+    ]
+    assert sums[0] == sums[1]
+    wanted, got = (
+        sorted(map(tuple, ledger.group_balances(f, period).collect())) for f in (plain, short)
+    )
+    assert wanted == got
+    current = ledger.with_compacted_years(stored, ledger.compact_years(plain).limit(0), year)
+    assert re.search(r"PartitionFilters: \[[^\]]*journal_year", plan(current))
