@@ -6,16 +6,18 @@ similarity reaches T share a column among the first n - ceil(T n) + 1 of each, n
 that only this part of the incidence is dealt to blocks of columns. In a block:
 
 * a column's documents are ordered by size and cut where sizes differ by more than T;
-* each document is paired with the first of its cut, not with all, and a pair goes on only if the
-  places of the column in both rows leave room for the overlap that the sizes demand.
-
-For each pair the shared columns of both first parts are counted; what their rests could add at most
-discards pairs below the size-derived bound. Each document's best pair is counted exactly, in blocks of whole
-rows; what is linked so becomes components. Of the other pairs, and of columns that still hold
-several components, joined with themselves across components under the same bounds, those between
-different components are counted too. So no link is lost and no group's pairs are all made: pairs
-inside one component need no count. Columns that the sketch calls hot are salted over several blocks
-and their cuts' first documents are paired with each other.
+* each document is paired with one hub of its cut, not with all, and a pair goes on only if what both
+  rows have from the column on suffices for the overlap that the sizes demand. Of two similar documents
+  the first column that they share satisfies this; later ones need not.
+
+Each document first takes the hub that most of its columns name. For such a pair the shared columns of both
+first parts are counted; what their rests could add at most discards pairs below the size-derived bound.
+The others are counted exactly, in blocks of whole rows; what is linked so becomes components. Then the
+other hubs' pairs between different components follow, and last the columns that still hold several
+components, joined with themselves across components. That join gives a pair once for each run of columns that both
+rows share: where the column before is shared too, the pair comes from there. So no link is lost and no
+group's pairs are all made: pairs inside one component need no count. Columns that the sketch calls hot are
+salted over several blocks and their cuts' first documents are paired with each other.
 
 Exact copies of a set are joined by a digest of the set; of each such class a task sends one.
 
@@ -37,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizpanel.llm.components import components
@@ -54,6 +56,8 @@ SKETCH_BITS = 21
 FREQUENT = 3.0
 #: Entries of a block of columns.
 BLOCK_ENTRIES = 1 << 20
+#: Places in a cut, evenly spread, of which each column chooses one for its hub.
+HUBS = 8
 #: Documents of a column from which it is salted.
 HOT_DOCUMENTS = 50_000
 #: Text of a chunk that sends its entries together.
@@ -172,10 +176,9 @@ class _Layout:
         """The least overlap of similar sets of these sizes."""
         return -(-self.percent * (n + m) // (100 + self.percent))
 
-    def has_room(self, n, i, m, j) -> np.ndarray:
-        """Whether rows that share a column at places i and j can overlap as their sizes demand."""
-        room = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-        return room >= self.demanded(n, m)
+    def can_begin(self, n, i, m, j) -> np.ndarray:
+        """Whether rows whose first shared column is at places i and j can overlap as their sizes demand."""
+        return np.minimum(n - i, m - j) >= self.demanded(n, m)
 
 
 def _prefixes(values: np.ndarray, first: np.ndarray, layout: _Layout):
@@ -249,7 +252,7 @@ def _planes(data: bytes) -> np.ndarray:
 
 
 def _block(layout: _Layout):
-    """Columns of a block with several documents, and each document's first of its cut."""
+    """Columns of a block with several documents, and the hub of each document's cut."""
     schema = pa.schema(
         [("col", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()),
          ("members", pa.int32()), ("hot", pa.bool_()), ("hub", pa.int64()), ("hub_n", pa.int32())]
@@ -286,7 +289,10 @@ def _block(layout: _Layout):
             if not new.any():
                 break
             start |= new
-        fits = ~start & (doc != doc[hub]) & layout.has_room(n, place, n[hub], place[hub])
+        cut = np.cumsum(start) - 1
+        length = np.bincount(cut)
+        hub = hub + (mix(col) % U64(HUBS)).astype(np.int64) * length[cut] // HUBS
+        fits = (doc != doc[hub]) & layout.can_begin(n, place, n[hub], place[hub])
         counts = layout.counts(col << U64(64 - layout.bits))
         return pa.table(
             [
@@ -350,12 +356,14 @@ def _count_overlaps(percent: int):
 
 
 def _promising(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, n, b, m) that share enough columns for similar sets of their sizes: a, b, shared.
+    """Stored pairs (a, n, b, m) that share enough columns for similar sets of their sizes: a, b, shared.
 
     A pair overlaps in the columns that both first parts share, and beyond them in no more than the rest of
     that row whose first part ends earlier.
     """
-    columns = members.groupBy("id").agg(F.collect_set("col").alias("cols"))
+    ids = store(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    needed = members.select("id", "col").join(small(ids, 16), "id", "left_semi")
+    columns = needed.groupBy("id").agg(F.collect_set("col").alias("cols"))
     shared = F.size(F.array_intersect("cols_a", "cols_b"))
     rest = F.greatest(F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100")) - 1
     both = pairs.join(columns.toDF("a", "cols_a"), "a").join(columns.toDF("b", "cols_b"), "b")
@@ -403,8 +411,8 @@ def similar_links(
     lowest = salted.groupBy("col").agg(F.min(F.struct("n", "id")).alias("top"))
     across = salted.join(lowest, "col").where(F.col("id") != F.col("top.id"))
     first = members.where(F.col("hub").isNotNull())
-    pairs = first.select("id", "n", "hub", "hub_n").union(across.select("id", "n", "top.id", "top.n"))
-    pairs = store(_promising(pairs.toDF("a", "n", "b", "m").distinct(), members, percent))
+    named = first.select("id", "n", "hub", "hub_n").union(across.select("id", "n", "top.id", "top.n"))
+    pairs = store(named.toDF("a", "n", "b", "m").groupBy("a", "n", "b", "m").agg(F.count("*").alias("votes")))
     copies = found.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     lead = copies.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("k"))
     exact = store(
@@ -412,9 +420,15 @@ def similar_links(
         .where(F.col("id") != F.col("a"))
         .select("a", F.col("id").alias("b"))
     )
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    linked = _links(best, rows, size, percent)
-    so_far = store(components(linked.union(exact)))
+    best = pairs.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"), "n", "b", "m")).alias("top"))
+    best = store(best.select("a", "top.n", "top.b", "top.m"))
+    linked = _links(_promising(best, members, percent), rows, size, percent).union(exact)
+    so_far = store(components(linked))
+    of_a, of_b = so_far.toDF("a", "of_a"), so_far.toDF("b", "of_b")
+    apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    apart = store(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "n", "b", "m"))
+    linked = linked.union(_links(_promising(apart, members, percent), rows, size, percent))
+    so_far = store(components(linked))
 
     open_columns = members.where((F.col("members") > 2) | F.col("hot")).select("col", "id", "n", "place")
     labelled = open_columns.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn(
@@ -427,30 +441,22 @@ def similar_links(
         .where(F.col("lo") < F.col("hi"))
         .select("col")
     )
-    left = store(labelled.join(mixed, "col", "left_semi"))
+    before = F.lag("col").over(Window.partitionBy("id", "n").orderBy("place", "col"))
+    left = store(labelled.join(mixed, "col", "left_semi").withColumn("before", before))
     x, y = left.alias("x"), left.alias("y")
-    overlap = F.least("x.place", "y.place") + 1 + F.least(
-        F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1
-    )
+    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    run_begins = F.col("x.before").isNull() | ~F.col("x.before").eqNullSafe(F.col("y.before"))
     across = (
         x.join(y, F.col("x.col") == F.col("y.col"))
         .where(F.col("x.component") < F.col("y.component"))
         .where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         .where((100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n")))
+        .where(run_begins)
         .select(F.col("x.id").alias("a"), F.col("x.n"), F.col("y.id").alias("b"), F.col("y.n").alias("m"))
         .distinct()
     )
-    apart = pairs.join(so_far.toDF("a", "of_a"), "a", "left").join(so_far.toDF("b", "of_b"), "b", "left")
-    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    fresh = (
-        _promising(across, members, percent)
-        .select("a", "b")
-        .union(apart.select("a", "b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    more = _links(store(fresh), rows, size, percent)
-    return found, linked.union(exact).union(more)
+    more = _links(_promising(store(across), members, percent), rows, size, percent)
+    return found, linked.union(more)
 
 
 def similar_components(
