@@ -2,7 +2,9 @@
 
 The automaton holds every run of words of every template and base phrase. A text is streamed
 through it word by word, which gives the matching statistics: for each word the longest run that
-ends there and stands in some template. Long matches are chained, per template and in template
+ends there and stands in some template. The suffix links of a state name all templates that share an
+end of that run, and how much of it: a match of a template is kept where the next word does not go on in
+that template, also if it goes on in another. Long matches are chained, per template and in template
 order, into covered spans. A base phrase ends at a word when its state lies on the suffix links of
 the current state and the match is at least as long.
 
@@ -77,10 +79,21 @@ class LicenceAutomaton:
             self.states[state].phrases.append(number)
         for s in reversed(by_length):
             self.states[s].phrases += self.states[self.states[s].link].phrases
+        self.template_ids = [[self.vocabulary[w] for w in words] for words, _ in self.templates]
+        #: Per state the places (template, end in it, words shared) on its suffix links.
+        self.places: list[list[tuple[int, int, int]]] = [[] for _ in self.states]
+        for s in reversed(by_length):
+            state = self.states[s]
+            here = [(t, at, state.length) for t, at in sorted(state.ends) if state.length >= self.least(t)]
+            self.places[s] = here + [p for p in self.places[state.link] if p[:2] not in state.ends]
         self.shortest = min(
             [MIN_MATCH, *(len(words) for words, _ in self.phrases + self.templates)]
         )
 
+    def least(self, template: int) -> int:
+        """Words of the shortest match of a template that is chained."""
+        return min(MIN_MATCH, len(self.templates[template][0]))
+
     def _id(self, word: bytes) -> int:
         return self.vocabulary.setdefault(word, len(self.vocabulary))
 
@@ -133,35 +146,42 @@ class LicenceAutomaton:
             yield state, length
 
     def scan(self, ids: list[int], offset: int) -> tuple[list[tuple[int, int]], list[tuple]]:
-        """Base places (phrase, start) and maximal matches (start, end, state) of a run of words."""
+        """Base places (phrase, start) and each template's maximal matches in a run of words.
+
+        Matches are (start, end, template, end in the template).
+        """
         base, found = [], []
-        stats = list(self.stream(ids))
-        for i, (state, length) in enumerate(stats):
+        for i, (state, length) in enumerate(self.stream(ids)):
             for p in self.states[state].phrases:
                 size = len(self.phrases[p][0])
                 if length >= size:
                     base.append((p, offset + i + 1 - size))
-            longest = i + 1 == len(stats) or stats[i + 1][1] <= length
-            if longest and length >= self.shortest:
-                found.append((offset + i + 1 - length, offset + i + 1, state))
+            following = ids[i + 1 : i + 2]
+            for template, at, shared in self.places[state]:
+                size = min(length, shared)
+                goes_on = following and self.template_ids[template][at : at + 1] == following
+                if size >= self.least(template) and not goes_on:
+                    found.append((offset + i + 1 - size, offset + i + 1, template, at))
         return base, found
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[Span]:
+    def chain(self, matches: list[tuple[int, int, int, int]]) -> list[Span]:
         """Chains matches by template: in template order, with at most MAX_GAP words between."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for start, end, state in matches:
-            for template, at in self.states[state].ends:
-                words = len(self.templates[template][0])
-                if end - start >= min(MIN_MATCH, words):
-                    by_template.setdefault(template, []).append((start, end, at))
+        for start, end, template, at in matches:
+            by_template.setdefault(template, []).append((start, end, at))
         spans = []
         for template, hits in by_template.items():
+            longest = len(self.templates[template][0])
+            hits.sort()
             best: list[tuple[int, int, int, int]] = []  # covered, start, end, end in the template
-            for start, end, at in sorted(hits):
+            for start, end, at in hits:
                 here = (end - start, start, end, at)
-                for covered, first, last, was in reversed(best):
-                    if start - last > MAX_GAP:
+                for k in range(len(best) - 1, -1, -1):
+                    covered, first, last, was = best[k]
+                    if start - hits[k][0] > MAX_GAP + longest:
                         break
+                    if start - last > MAX_GAP:
+                        continue
                     size = end - max(start, last)
                     if end > last and at > was and size > 0 and at - size >= was:
                         here = max(here, (covered + size, first, end, at))

@@ -21,7 +21,8 @@ from bizpanel.llm.decontamination import (
     vocabulary_of,
 )
 from bizpanel.llm.jaccard_join import similar_components
-from bizpanel.llm.license_scan import licence_labels, scan_licences
+from bizpanel.llm.license_scan import LicenceAutomaton, licence_labels, scan_licences
+from bizpanel.llm.license_texts import TEMPLATES
 from bizpanel.llm.linear import Incidence
 from bizpanel.llm.packing import pack, unpack
 from bizpanel.llm.quality import fit_ordinal, fit_quality, score_quality, select_rows
@@ -151,6 +152,45 @@ def test_licence_scan(spark, odd_documents):
     assert found[2].labels == "all-rights-reserved" and found[2].n_base == 0
 
 
+def test_licence_template_before_words_of_longer_ones(spark):
+    words = [(label, alnum(text)) for label, text in TEMPLATES]
+    rows, wanted = [(0, "All rights reserved. No part of this work may be copied")], ["all-rights-reserved"]
+    for label, short in words:
+        for other, long in words:
+            for k in range(1, 8):
+                rows.append((len(rows), " ".join([*short, *long[len(short) : len(short) + k], "zz", *long[:k]])))
+                wanted.append(label)
+    got = licence_labels(scan_licences(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert wanted[r.doc_id] in r.labels.split(",") and r.score == 1.0, rows[r.doc_id]
+
+
+def matches_by_force(text, template):
+    """Matches on a diagonal that cannot be made longer: start, end, end in the template."""
+    out = set()
+    for i, j in itertools.product(range(len(text)), range(len(template))):
+        if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+            n = 1
+            while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                n += 1
+            if n >= min(4, len(template)):
+                out.add((i, i + n, j + n))
+    return out
+
+
+def test_licence_matches_by_force():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        texts = [rng.choice(list("abc"), rng.integers(2, 12)).tolist() for _ in range(5)]
+        automaton = LicenceAutomaton([("a b", "x")], [("t", " ".join(t)) for t in texts])
+        text = [str(c) for c in rng.choice(list("abc"), 40)]
+        ids = [automaton.vocabulary.get(w.encode(), -1) for w in text]
+        _, found = automaton.scan(ids, 0)
+        for k, template in enumerate(texts):
+            assert {(s, e, at) for s, e, t, at in found if t == k} == matches_by_force(text, template)
+
+
 def test_quality(spark, odd_documents):
     documents = documents_of(spark)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
