@@ -14,6 +14,7 @@ through row by row. Extra columns are dropped. An empty table gives an empty tab
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -164,31 +165,67 @@ class LicenceAutomaton:
                     found.append((offset + i + 1 - size, offset + i + 1, template, at))
         return base, found
 
-    def chain(self, matches: list[tuple[int, int, int, int]]) -> list[Span]:
+    def chains(self, matches: list[tuple[int, int, int, int]]) -> list[list[Span]]:
         """Chains matches by template: in template order, with at most MAX_GAP words between."""
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
+        by_template: dict[int, set[tuple[int, int, int]]] = {}
         for start, end, template, at in matches:
-            by_template.setdefault(template, []).append((start, end, at))
-        spans = []
-        for template, hits in by_template.items():
-            longest = len(self.templates[template][0])
-            hits.sort()
-            best: list[tuple[int, int, int, int]] = []  # covered, start, end, end in the template
-            for start, end, at in hits:
-                here = (end - start, start, end, at)
-                for k in range(len(best) - 1, -1, -1):
-                    covered, first, last, was = best[k]
-                    if start - hits[k][0] > MAX_GAP + longest:
-                        break
-                    if start - last > MAX_GAP:
-                        continue
-                    size = end - max(start, last)
-                    if end > last and at > was and size > 0 and at - size >= was:
-                        here = max(here, (covered + size, first, end, at))
-                best.append(here)
-            cover = max(best, key=lambda b: (b[0], -b[1]))
-            spans.append(Span(template, cover[1], cover[2], cover[0]))
-        return spans
+            by_template.setdefault(template, set()).add((start, end, at))
+        return [self._chains(template, self._with_rests(template, sorted(hits))) for template, hits in by_template.items()]
+
+    def _with_rests(self, template: int, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The matches, and of one that begins before another one ends also what stands behind that end."""
+        least, rests, before = self.least(template), set(), []
+        for start, end, at in hits:
+            before = [last for last in before if last > start]
+            rests |= {(last, end, at) for last in before if end - last >= least}
+            before.append(end)
+        return sorted({*hits, *rests})
+
+    def _chains(self, template: int, hits: list[tuple[int, int, int]]) -> list[Span]:
+        """For each match that a chain can end with and each start: the most that a chain covers.
+
+        Left out are chains that another one with the same end surpasses, beginning no earlier.
+        """
+        longest = len(self.templates[template][0])
+        fronts: list[dict[int, int]] = []  # per match: start of the chain, words covered
+        for j, (start, end, at) in enumerate(hits):
+            here = {start: end - start}
+            for k in range(j - 1, -1, -1):
+                begin, last, was = hits[k]
+                if start - begin > MAX_GAP + longest:
+                    break
+                size = end - max(start, last)
+                if start - last <= MAX_GAP and end > last and at > was and size > 0 and at - size >= was:
+                    for first, covered in fronts[k].items():
+                        here[first] = max(here.get(first, 0), covered + size)
+            front, most = {}, 0
+            for first in sorted(here, reverse=True):
+                if here[first] > most:
+                    front[first] = most = here[first]
+            fronts.append(front)
+        return [Span(template, first, end, n) for (_, end, _), front in zip(hits, fronts) for first, n in front.items()]
+
+    def apart(self, chains: list[Span]) -> list[Span]:
+        """Chains of one template that do not overlap, in the order of the text.
+
+        As many as possible that give the label; then by the squares of covered words, so that one long
+        chain goes before its pieces.
+        """
+        found = sorted(chains, key=lambda s: (s.end, -s.start))
+        ends = [s.end for s in found]
+        best, chosen = [(0, 0)], []
+        for i, s in enumerate(found):
+            labels, squares = best[bisect_right(ends, s.start, 0, i)]
+            value = (labels + (self.cover(s) >= MIN_COVER), squares + s.covered**2)
+            chosen.append(value > best[i])
+            best.append(max(value, best[i]))
+        spans, i = [], len(found)
+        while i:
+            i -= 1
+            if chosen[i]:
+                spans.append(found[i])
+                i = bisect_right(ends, found[i].start, 0, i)
+        return spans[::-1]
 
     def cover(self, span: Span) -> float:
         return min(1.0, span.covered / len(self.templates[span.template][0]))
@@ -217,11 +254,12 @@ _SCHEMA = pa.schema(
                 )
             ),
         ),
+        ("best", pa.float64()),
     ]
 )
 _DDL = (
     "id long, n_words long, base array<struct<label:string,start:long>>, "
-    "spans array<struct<label:string,start:long,end:long,cover:double>>"
+    "spans array<struct<label:string,start:long,end:long,cover:double>>, best double"
 )
 
 
@@ -249,24 +287,29 @@ def _scanner(automaton: LicenceAutomaton):
             places, found = automaton.scan(ids, start - int(words.first[text]))
             base[text] += [{"label": automaton.phrases[p][1], "start": s} for p, s in places]
             matches[text] += found
-        spans = [
-            [
-                {
-                    "label": automaton.templates[s.template][1],
-                    "start": s.start,
-                    "end": s.end,
-                    "cover": automaton.cover(s),
-                }
-                for s in (automaton.chain(found) if found else [])
-            ]
-            for found in matches
-        ]
+        spans, best = [], []
+        for found in matches:
+            chains = automaton.chains(found)
+            best.append(max((automaton.cover(s) for of_one in chains for s in of_one), default=0.0))
+            spans.append(
+                [
+                    {
+                        "label": automaton.templates[s.template][1],
+                        "start": s.start,
+                        "end": s.end,
+                        "cover": automaton.cover(s),
+                    }
+                    for of_one in chains
+                    for s in automaton.apart(of_one)
+                ]
+            )
         return pa.RecordBatch.from_arrays(
             [
                 chunk.column("id"),
                 pa.array(words.counts, pa.int64()),
                 pa.array(base, _SCHEMA.field("base").type),
                 pa.array(spans, _SCHEMA.field("spans").type),
+                pa.array(best, pa.float64()),
             ],
             schema=_SCHEMA,
         )
@@ -285,7 +328,9 @@ def scan_licences(
     phrases: Iterable[tuple[str, str]] = BASE_PHRASES,
     templates: Iterable[tuple[str, str]] = TEMPLATES,
 ) -> DataFrame:
-    """One row per document: words, base places, and the best span of each template it touches."""
+    """One row per document: words, base places, all spans of each template, none overlapping another
+    of its template, and the largest cover of any chain.
+    """
     rows = documents.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )
@@ -297,13 +342,12 @@ def licence_labels(scan: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Labels, places and score of ``scan_licences``.
 
     A base phrase counts as covered in full; a span gives its label from MIN_COVER on. The score
-    is the largest cover of any phrase or template, 0 without one.
+    is the largest cover of any phrase or template, 0 without one. Of chains that overlap, ``spans`` holds
+    those that give the most labels, so that a score between two labels' covers may belong to none of them.
     """
     labels = F.transform("base", lambda b: b["label"])
     starts = F.transform("base", lambda b: b["start"])
     kept = F.transform(F.filter("spans", lambda s: s["cover"] >= MIN_COVER), lambda s: s["label"])
-    covers = F.transform("spans", lambda s: s["cover"])
-    best = F.coalesce(F.array_max(covers), F.lit(0.0))
     return scan.select(
         id_column,
         "n_words",
@@ -312,6 +356,6 @@ def licence_labels(scan: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels, kept))), ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(best).alias("score"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.col("best")).alias("score"),
         "spans",
     )

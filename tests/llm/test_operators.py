@@ -191,6 +191,70 @@ def test_licence_matches_by_force():
             assert {(s, e, at) for s, e, t, at in found if t == k} == matches_by_force(text, template)
 
 
+def test_licence_spans_of_every_notice(spark):
+    short, long = TEMPLATES[16][1], TEMPLATES[1][1]
+    words = alnum(long)
+    damaged = " ".join(w if k % 15 else "zz" for k, w in enumerate(words))
+    half = " ".join(words[: len(words) // 2])
+    code = " ".join(f"x{k}" for k in range(60))
+    rows = [
+        (1, f" {code} ".join([long, damaged, half, long] * 30)),
+        (2, " ".join([long] * 40)),
+        (3, " ".join([short] * 500)),
+        (4, f"{long} {code} {short} {code} {long} {short}"),
+    ]
+    got = {r.doc_id: r for r in licence_labels(scan_licences(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    size = len(words)
+    mit = [s for s in got[1].spans if s.label == "mit" and s.cover > 0.4]
+    assert [s.cover == 1.0 for s in mit] == [True, False, False, True] * 30
+    assert [s.cover >= 0.75 for s in mit] == [True, True, False, True] * 30
+    whole = [s for s in got[2].spans if s.label == "mit" and s.cover == 1.0]
+    assert [(s.start, s.end) for s in whole] == [(k * size, k * size + size) for k in range(40)]
+    assert [(s.start, s.end) for s in got[3].spans if s.cover == 1.0] == [(3 * k, 3 * k + 3) for k in range(500)]
+    four = [(s.label, s.start, s.end) for s in got[4].spans if s.cover == 1.0]
+    first, last = size + 60, size + 123
+    rights, mits = "all-rights-reserved", "mit"
+    assert sorted(four) == sorted([(mits, 0, size), (rights, first, first + 3), (mits, last, last + size), (rights, last + size, last + size + 3)])
+
+
+def chains_by_force(hits, gap):
+    """All chains of matches (start, end, end in the template): start, end, covered."""
+    out = {(s, e, e - s, at) for s, e, at in hits}
+    while True:
+        more = set(out)
+        for first, last, covered, was in out:
+            for s, e, at in hits:
+                size = e - max(s, last)
+                if s >= first and e > last and at > was and 0 < size <= at - was and s - last <= gap:
+                    more.add((first, e, covered + size, at))
+        if more == out:
+            return {c[:3] for c in out}
+        out = more
+
+
+def test_licence_spans_by_force():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        template = rng.choice(list("abcde"), 10).tolist()
+        automaton = LicenceAutomaton([("a b", "x")], [("t", " ".join(template))])
+        text = []
+        for _ in range(rng.integers(1, 5)):
+            a, b = sorted(rng.integers(0, 11, 2))
+            text += [*template[a:b], *["z"] * rng.integers(0, 7)]
+        _, found = automaton.scan([automaton.vocabulary.get(w.encode(), -1) for w in text], 0)
+        every = chains_by_force([(s, e, at) for s, e, _, at in found], 12)
+        chains = [s for of_one in automaton.chains(found) for s in of_one]
+        spans = automaton.apart(chains)
+        assert max((s.covered for s in chains), default=0) == max((c for _, _, c in every), default=0)
+        assert all(x.end <= y.start for x, y in itertools.pairwise(spans))
+        assert all(any(s < x.end and x.start < e for x in spans) for s, e, _ in every)
+        full, last = 0, 0
+        for s, e, c in sorted(every, key=lambda c: c[1]):
+            if c >= 7.5 and s >= last:
+                full, last = full + 1, e
+        assert sum(automaton.cover(s) >= 0.75 for s in spans) >= full
+
+
 def test_quality(spark, odd_documents):
     documents = documents_of(spark)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
