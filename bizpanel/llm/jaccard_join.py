@@ -206,7 +206,7 @@ def _send(layout: _Layout):
             ids = chunk.column("id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for t in range(len(ids)):
+            for t in np.flatnonzero(known):
                 digest = hashlib.blake2b(values[first[t] : first[t + 1]], digest_size=16).digest()
                 known[t] &= digest not in seen
                 seen.add(digest)

@@ -341,6 +341,16 @@ def test_jaccard_join(spark, odd_documents):
         assert got == components_by_force(rows)
 
 
+def test_jaccard_join_null_id_before_its_copy(spark):
+    words = [f"a{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "b"])
+    for rows in ([(None, text), (7, text), (8, near)], [(None, text), (None, near), (9, near), (7, text), (None, near)]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = similar_components(frame).where("doc_id IS NOT NULL").collect()
+        assert {r.doc_id: r.component_id for r in got} == components_by_force(rows)
+        assert similar_components(frame).count() == len(rows)
+
+
 def test_decontamination(spark, odd_documents):
     items = spark.createDataFrame(
         [(1, "ONE two"), (2, None), (3, " ".join(f"copy{i}" for i in range(5, 18))), (None, "tail"), (1, "mit license")],
