@@ -7,7 +7,7 @@ predecessor kept. All but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizpanel.llm.bpe import encode_documents
@@ -15,7 +15,7 @@ from bizpanel.llm.decontamination import decontaminate
 from bizpanel.llm.jaccard_join import similar_components
 from bizpanel.llm.quality import fit_quality, select_rows
 from bizpanel.llm.queries import GRADES, graded, table
-from bizpanel.llm.scratch import store
+from bizpanel.llm.scratch import small, store
 from bizpanel.llm.substring_dedup import remove_repeats
 
 
@@ -26,17 +26,19 @@ def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of similar documents, and one row of it.
+    """Keeps of each group of similar rows the one with the smallest id, and of its rows that with the smallest hash.
 
-    Documents without words or without id are in no group and stay.
+    Each row is a node of its own, so that rows that share an id are in one group only where their texts are
+    similar. Rows without words or without id are in no group and stay.
     """
-    found = similar_components(docs).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    grouped = found.groupBy("doc_id").agg(F.min("component_id").alias("lead"))
-    joined = docs.join(grouped, "doc_id", "left")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    alone = F.col("lead").isNull()
-    kept = joined.withColumn("nth", F.when(alone, 1).otherwise(nth))
-    return kept.where(alone | ((F.col("lead") == F.col("doc_id")) & (F.col("nth") == 1))).select(docs.columns)
+    node = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    numbered = store(docs.withColumn("row_node", node))
+    found = similar_components(numbered, "row_node").where(F.col("row_node").isNotNull() & (F.col("n_shingles") > 0))
+    order = numbered.select("row_node", F.struct("doc_id", F.xxhash64("text"), "row_node").alias("place"))
+    grouped = store(found.join(order, "row_node").select("row_node", "component_id", "place"))
+    kept = grouped.groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_node")
+    dropped = store(grouped.select("row_node").join(kept, "row_node", "left_anti"))
+    return numbered.join(small(dropped, 16), "row_node", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

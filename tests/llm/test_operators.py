@@ -429,3 +429,78 @@ def test_pipeline(spark):
         docs = kept
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert coded.count() == docs.count() > 100
+
+
+def test_pipeline_by_force(spark, tmp_path):
+    """All stages against brute force, with ids that repeat with unrelated, similar and equal texts."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    labels, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
+    base = [(i, t) for i, t in pairs_of(documents_of(spark)) if len(spaced(t)) > 80][:40]
+
+    def near(text):
+        return " ".join([*spaced(text)[:-3], "changed"])
+
+    (a, one), (b, two), (c, three), (d, four) = sorted(base)[:4]
+    leak = " ".join(alnum(next(r.text for r in items.collect() if len(alnum(r.text)) > 15))[:14])
+    rows = base + [
+        (a, three + " own"), (a, " ".join(reversed(spaced(one)))), (a, one), (c, near(two)), (c, " ".join(reversed(spaced(three)))),
+        (d, near(four)), (None, one), (None, near(two)), (900, ""), (900, None), (900, near(four)),
+        (900, "only here " + " ".join(reversed(spaced(four)))), (901, f"{' '.join(reversed(spaced(two)))} {leak}"),
+        (901, " ".join([*spaced(base[9][1])[::2], *spaced(base[8][1])[10:40]])),
+    ]
+    wide = [(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)]
+    frame = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, table in (("documents", frame), ("labels", labels), ("benchmark", items)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    texts = sorted({t for _, t in rows}, key=str)
+    by_number = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = fit_quality(docs, queries.graded(labels), queries.GRADES)
+    sound = {texts[r.doc_id] for r in score_quality(by_number, model).collect() if r.tails[0] >= 0.5}
+    hashes = {r.text: r.h for r in by_number.select("text", F.xxhash64("text").alias("h")).collect()}
+    quality = [(i, t) for i, t in rows if t in sound]
+
+    lead = components_by_force([(k if i is not None else None, t) for k, (i, t) in enumerate(quality)])
+    groups, near_copies = {}, []
+    for k, (i, t) in enumerate(quality):
+        if i is None or not spaced(t):
+            near_copies.append((i, t))
+        else:
+            groups.setdefault(lead[k], []).append((i, hashes[t], t))
+    near_copies += [(i, t) for i, _, t in map(min, groups.values())]
+
+    first, repeats = {}, []
+    for i, t in near_copies:
+        for s in range(len(spaced(t)) - 12 if i is not None else 0):
+            g = tuple(spaced(t)[s : s + 13])
+            first[g] = min(first.get(g, i), i)
+    for i, t in near_copies:
+        w, gone = spaced(t), set()
+        for s in range(len(w) - 12 if i is not None else 0):
+            gone |= set(range(s, s + 13)) if first[tuple(w[s : s + 13])] < i else set()
+        if not gone or len(gone) < len(w):
+            # a null text comes back as an empty one
+            repeats.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t or ""))
+
+    windows = set()
+    for w in (alnum(r.text) for r in items.collect()):
+        windows |= {tuple(w[s : s + min(10, len(w))]) for s in range(len(w) - min(10, len(w)) + 1) if w}
+    sizes = {len(g) for g in windows}
+    leaks = [(i, t) for i, t in repeats if not any(tuple(alnum(t)[s : s + n]) in windows for n in sizes for s in range(len(alnum(t)) - n + 1))]
+    assert len(rows) >= len(quality) > len(near_copies) > len(leaks) > 5 and quality != repeats
+
+    wanted = {"quality": quality, "near_copies": near_copies, "repeats": repeats, "leaks": leaks}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = store(stage(spark, docs, str(tmp_path)))
+        assert sorted(pairs_of(docs), key=str) == sorted(wanted[name], key=str), name
+    library = Tokenizer.from_file(WORD_BPE)
+    tokens = []
+    for i, t in leaks:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        tokens.append((i, len(ids), tuple(ids), hashlib.sha256(decoded.encode()).hexdigest()))
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in coded), key=str) == sorted(tokens, key=str)
