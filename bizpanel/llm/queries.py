@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from bizpanel.llm import sql
 from bizpanel.llm.bpe import encode_documents
+from bizpanel.llm.collocations import mine_collocations
 from bizpanel.llm.decontamination import decontaminate
 from bizpanel.llm.jaccard_join import similar_components
 from bizpanel.llm.license_scan import licence_labels, scan_licences
+from bizpanel.llm.merkle import build_manifest, document_leaves
+from bizpanel.llm.ngram_lm import fit_ngrams, not_learned, perplexity, score_texts
 from bizpanel.llm.quality import fit_quality, grade_of, score_quality
 from bizpanel.llm.sharding import LAW, shard_rows
 from bizpanel.llm.substring_dedup import remove_repeats
@@ -120,6 +123,33 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every text under a Kneser-Ney model of the documents that are not held out."""
+    documents = table(spark, folder, "documents")
+    model = fit_ngrams(documents.where(~not_learned(F.col("doc_id"))))
+    return score_texts(documents, model).select(
+        "doc_id",
+        not_learned(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document in a tree per language and one over the languages; altered sizes are found."""
+    manifest = build_manifest(document_leaves(table(spark, folder, "documents")))
+    return manifest.drop("tree").withColumnRenamed("id", "doc_id")
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of each language that stand together most tellingly."""
+    return mine_collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -133,6 +163,9 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_sharding,
         op10_topk,
+        op11_lm_scoring,
+        op12_merkle_manifest,
+        op13_collocations,
     )
 }
 ORACLES: dict[str, str] = sql.ORACLES

@@ -123,4 +123,109 @@ FROM doc LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc.doc_id
 GROUP BY doc_id
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op7_jaccard_join": OP7, "op8_decontamination": OP8, "op10_topk": OP10}
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    names = ("doc_id", "source", "lang", n_chars, "text")
+    return f"sha256({' || '.join(_FIELD.format(c=c) for c in names)})"
+
+
+#: The CRC of ``s``, bit by bit.
+_CRC = """
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+            list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], CAST(range(8) AS BIGINT[])),
+            lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)
+"""
+
+_LEVEL = """
+    SELECT {keys}, k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+        lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM {name} WHERE len(nodes) > 1
+"""
+
+OP12 = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS altered,
+        coalesce(CAST(doc_id AS VARCHAR), '') AS s
+    FROM documents
+), leaves AS (
+    SELECT lang, doc_id, leaf,
+        CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN altered ELSE leaf END AS claimed,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+        row_number() OVER () AS r
+    FROM doc
+), tree AS (
+    SELECT lang, 0 AS k, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY lang
+    UNION ALL
+{_LEVEL.format(keys="lang", name="tree")}
+), subroots AS (
+    SELECT lang, k AS height, nodes[1] AS subroot,
+        row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place
+    FROM tree WHERE len(nodes) = 1
+), top AS (
+    SELECT 0 AS forest, 0 AS k, list(subroot ORDER BY place) AS nodes FROM subroots
+    UNION ALL
+{_LEVEL.format(keys="forest", name="top")}
+), step AS (
+    SELECT r, tree.k AS k, place >> tree.k AS p, nodes
+    FROM leaves JOIN tree ON leaves.lang IS NOT DISTINCT FROM tree.lang WHERE len(nodes) > 1
+    UNION ALL
+    SELECT r, height + top.k, s.place >> top.k, nodes
+    FROM leaves JOIN subroots AS s ON leaves.lang IS NOT DISTINCT FROM s.lang, top WHERE len(nodes) > 1
+), path AS (
+    SELECT r, list(CASE WHEN p % 2 = 1 THEN nodes[p] || '|' ELSE '|' || coalesce(nodes[p + 2], '') END
+        ORDER BY k) AS steps
+    FROM step GROUP BY r
+), folded AS (
+    SELECT l.*, s.subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+        sha256(replace(array_to_string(coalesce(steps, []), ''), '|', '')) AS proof_sha256,
+        list_reduce(list_concat([claimed], coalesce(steps, [])), lambda x, step:
+            sha256(string_split(step, '|')[1] || x || string_split(step, '|')[2])) AS folded_root
+    FROM leaves AS l JOIN subroots AS s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN path USING (r)
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+_PIECES = rf"""
+    string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')
+"""
+
+OP13 = f"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents
+), spoken AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece
+), size AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM spoken GROUP BY lang
+), phrase AS (
+    SELECT lang, m, array_to_string(w[i + 1 : i + m], ' ') AS phrase, count(*) AS a
+    FROM spoken, unnest(range(1, 6)) AS t(m), unnest(range(0, len(w) - m + 1)) AS u(i)
+    WHERE len(w) >= m GROUP BY ALL HAVING count(*) >= 100
+), cut AS (
+    SELECT p.lang, p.phrase, p.m, p.a, k, f.a AS l, r.a AS r, n,
+        CAST(1000 * CAST(p.a AS HUGEINT) * n // (CAST(f.a AS HUGEINT) * r.a) AS BIGINT) AS score
+    FROM phrase AS p JOIN size USING (lang), unnest(range(1, p.m)) AS t(k)
+    JOIN phrase AS f ON f.lang = p.lang AND f.phrase = array_to_string(string_split(p.phrase, ' ')[1 : k], ' ')
+    JOIN phrase AS r ON r.lang = p.lang AND r.phrase = array_to_string(string_split(p.phrase, ' ')[k + 1 :], ' ')
+), lowest AS (
+    SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), free AS (
+    SELECT * FROM lowest AS s WHERE NOT EXISTS (
+        SELECT 1 FROM phrase AS g WHERE g.lang = s.lang AND g.m > s.m AND g.a >= s.a
+            AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM free
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))
+QUALIFY row_number() OVER w <= 2000
+"""
+
+ORACLES = {
+    "op4_substring_dedup": OP4,
+    "op7_jaccard_join": OP7,
+    "op8_decontamination": OP8,
+    "op10_topk": OP10,
+    "op12_merkle_manifest": OP12,
+    "op13_collocations": OP13,
+}

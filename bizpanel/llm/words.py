@@ -94,6 +94,9 @@ _NOT_ALNUM = {*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)}
 #: ``[^\x20\x09-\x0D]+`` as it stands, and with A-Z as a-z.
 SPACED = _rule(_SPACES, lower=False)
 SPACED_LOWER = _rule(_SPACES, lower=True)
+#: What ends a piece of text for phrases; words within pieces are ``[^\x20\x09]+``.
+PIECE_ENDS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
+PIECE_WORDS_LOWER = _rule({0x20, 0x09, *PIECE_ENDS}, lower=True)
 #: A-Z as a-z, then ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM_LOWER = _rule(_NOT_ALNUM, lower=True)
 
