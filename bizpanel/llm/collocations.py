@@ -28,8 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizpanel.llm.dealing import chunks, distinct, get, joined, plan, put, starts, summed
-from bizpanel.llm.packing import pack, unpack
+from bizpanel.llm.dealing import (
+    chunks,
+    distinct,
+    get,
+    get_keys,
+    joined,
+    pieces,
+    plan,
+    put,
+    put_keys,
+    starts,
+    summed,
+)
 from bizpanel.llm.scratch import drop, store
 from bizpanel.llm.words import PIECE_ENDS, PIECE_WORDS_LOWER, U64, Words, mix, split_words, text_buffer
 
@@ -87,33 +98,43 @@ def _dealt(chunk: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Ite
             "kind": "deal",
             "shard": int(s),
             "chunk": chunk,
-            "keys": pack(keys[part]),
+            "keys": put_keys(keys[part]),
             "counts": put(counts[part]),
         }
 
 
 def first_relation(chunk: int, texts: pa.Array, langs: list[str], shards: int) -> Iterator[dict]:
     """A chunk's words: the relation, its counts for the shards, and the words of each language."""
-    words, places = word_places(texts)
-    if not len(places):
-        return
     kinds = sorted(set(langs))
     number = {lang: i for i, lang in enumerate(kinds)}
-    lang_of_text = np.array([number[lang] for lang in langs])
-    lang = lang_of_text[words.text_of]
     salt = mix(np.array([language_value(k) for k in kinds], U64))
-    keys, codes, counts = distinct(mix(words.values() + salt[lang]))
-    at = np.zeros(len(keys), np.int64)
-    at[codes] = np.arange(len(codes))
+    values, lang, places, parts, after = [], [], [], [], 0
+    for at, part in pieces(texts):
+        words, place = word_places(part)
+        own = np.array([number[x] for x in langs[at : at + len(part)]], np.int64)[words.text_of]
+        values.append(mix(words.values() + salt[own]))
+        lang.append(own)
+        places.append(place + after)
+        parts.append(words)
+        after += int(place[-1]) + 2 if len(place) else 0
+    values, lang = joined(values, U64), joined(lang, np.int64)
+    if not len(values):
+        return
+    keys, codes, counts = distinct(values)
+    last = np.zeros(len(keys), np.int64)
+    last[codes] = np.arange(len(codes))
+    # words by the part that holds them
+    before = np.concatenate(([0], np.cumsum([len(w.start) for w in parts])))
+    part_of = np.searchsorted(before, last, "right") - 1
     yield {
         "kind": "relation",
         "chunk": chunk,
-        "keys": pack(keys),
-        "places": pack(places),
+        "keys": put_keys(keys),
+        "places": put_keys(joined(places, np.int64)),
         "codes": put(codes),
-        "names": [words.word(i).decode() for i in at],
+        "names": [parts[p].word(i - before[p]).decode() for p, i in zip(part_of, last)],
         "langs": kinds,
-        "lang_of": put(lang[at]),
+        "lang_of": put(lang[last]),
     }
     yield from _dealt(chunk, keys, counts, shards)
     for i, n in enumerate(np.bincount(lang, minlength=len(kinds))):
@@ -123,7 +144,7 @@ def first_relation(chunk: int, texts: pa.Array, langs: list[str], shards: int) -
 def frequent_of(table: pa.Table, least: int) -> Iterator[dict]:
     """Tells each chunk which of its phrases are frequent, and which of these it is to name."""
     lists = [
-        (r["chunk"], unpack(r["keys"]), get(r["counts"])) for b in table.to_batches() for r in b.to_pylist()
+        (r["chunk"], get_keys(r["keys"]), get(r["counts"])) for b in table.to_batches() for r in b.to_pylist()
     ]
     lists.sort(key=lambda x: x[0])
     keys, counts = summed(joined([k for _, k, _ in lists], U64), joined([c for *_, c in lists], np.int64))
@@ -140,7 +161,7 @@ def frequent_of(table: pa.Table, least: int) -> Iterator[dict]:
             yield {
                 "kind": "answer",
                 "chunk": chunk,
-                "keys": pack(keys[place]),
+                "keys": put_keys(keys[place]),
                 # 0 for phrases that another chunk names
                 "counts": put(np.where(np.isin(place, fresh, assume_unique=True), counts[place], 0)),
             }
@@ -148,9 +169,9 @@ def frequent_of(table: pa.Table, least: int) -> Iterator[dict]:
 
 def narrowed(chunk: int, relation: dict, answers: pa.Table, longest: bool, shards: int) -> Iterator[dict]:
     """Keeps frequent phrases, names those that fall to this chunk, and joins neighbours to longer ones."""
-    keys, codes, places = unpack(relation["keys"]), get(relation["codes"]), unpack(relation["places"])
+    keys, codes, places = get_keys(relation["keys"]), get(relation["codes"]), get_keys(relation["places"])
     rows = answers.to_pylist()
-    found = [unpack(r["keys"]) for r in rows]
+    found = [get_keys(r["keys"]) for r in rows]
     count = np.zeros(len(keys), np.int64)
     kept = np.zeros(len(keys), bool)
     for own, r in zip(found, rows):
@@ -187,8 +208,8 @@ def narrowed(chunk: int, relation: dict, answers: pa.Table, longest: bool, shard
     yield {
         "kind": "relation",
         "chunk": chunk,
-        "keys": pack(longer[order]),
-        "places": pack(places[first]),
+        "keys": put_keys(longer[order]),
+        "places": put_keys(places[first]),
         "codes": put(rank[at]),
         "left": put(left[order]),
         "right": put(right[order]),

@@ -15,16 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizpanel.llm.packing import pack, unpack
 from bizpanel.llm.words import U64, text_chunks
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MOST_CHUNK_BYTES = 128 << 20
 #: Bytes of text for each shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 _IN_TASK = 1 << 24
 
 
@@ -59,8 +61,22 @@ def starts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted((keys >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1))
 
 
-def shard_of(key: int, shards: int) -> int:
-    return ((key >> 32) * shards) >> 32
+def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts that are short enough to be handled at once, and the number of the first of each."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    at = 0
+    for part in text_chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+        yield at, part.column("text")
+        at += part.num_rows
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def put(values: np.ndarray) -> bytes:
@@ -69,19 +85,46 @@ def put(values: np.ndarray) -> bytes:
         return b""
     width = max(1, (int(values.max()).bit_length() + 7) // 8)
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+    return _squeeze(bytes([width]) + np.ascontiguousarray(planes.T).tobytes())
 
 
 def get(data: bytes) -> np.ndarray:
     """The numbers of ``put``, as int64."""
     if not data:
         return np.zeros(0, np.int64)
+    data = _expand(data)
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
     wide = np.zeros((planes.shape[1], 8), np.uint8)
     wide[:, : data[0]] = planes.T
     return wide.view("<u8").ravel().astype(np.int64)
 
 
+def put_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit values."""
+    return _squeeze(pack(keys)) if len(keys) else b""
+
+
+def get_keys(data: bytes) -> np.ndarray:
+    """The values of ``put_keys``."""
+    return unpack(_expand(data)) if data else np.zeros(0, U64)
+
+
+def put_lists(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Lists of so many ascending numbers each, behind each other, as differences."""
+    steps = np.diff(values, prepend=0)
+    first = np.cumsum(sizes) - sizes
+    steps[first] = values[first]
+    return put(steps)
+
+
+def get_lists(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ``put_lists``."""
+    steps = get(data)
+    total = np.cumsum(steps)
+    first = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - steps[first], sizes)
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and for each the sums of its values."""
     if not len(keys):

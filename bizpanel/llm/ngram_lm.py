@@ -26,15 +26,29 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizpanel.llm.dealing import chunks, distinct, get, joined, plan, put, starts, summed
+from bizpanel.llm.dealing import (
+    chunks,
+    distinct,
+    get,
+    get_keys,
+    get_lists,
+    joined,
+    pieces,
+    plan,
+    put,
+    put_keys,
+    put_lists,
+    starts,
+    summed,
+)
 from bizpanel.llm.mapped import map_arrays, write_arrays
-from bizpanel.llm.packing import pack, unpack
 from bizpanel.llm.scratch import drop, shared_folder, store
 from bizpanel.llm.words import SPACED_LOWER, U64, mix, split_words
 
@@ -42,6 +56,8 @@ START, END = (int(x) for x in mix(np.array([0x5354415254, 0x454E44], U64)))
 _PAIR = U64(0xD6E8FEB86659FD93)
 #: Discounts of counts 1, 2, and 3 or more where counts of counts give none.
 DISCOUNTS = (0.5, 1.0, 1.5)
+#: Parts of the shards that are written one after the other; the files of one part's shuffle go before the next.
+TURNS = 4
 _LISTS = "shard int, kind string, source int, words binary, numbers array<binary>, totals array<long>"
 _FILES = "shard int, pair_file string, n_pairs long, word_file string, n_words long"
 _WORD_FILE = [U64, np.int64, np.float64]
@@ -55,17 +71,21 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of start mark, words and end mark of each text, the text of each, and the words of each text."""
-    words = split_words(texts, SPACED_LOWER)
-    rows = len(words.first) - 1
-    size = words.counts
-    begin = words.first[:-1] + 2 * np.arange(rows)
-    out = np.empty(len(words.start) + 2 * rows, U64)
-    inner = np.ones(len(out), bool)
-    for at, mark in ((begin, START), (begin + size + 1, END)):
-        out[at] = U64(mark)
-        inner[at] = False
-    out[inner] = words.values()
-    return out, np.repeat(np.arange(rows), size + 2), size
+    found, sizes = [], []
+    for _, part in pieces(texts):
+        words = split_words(part, SPACED_LOWER)
+        size = words.counts
+        begin = words.first[:-1] + 2 * np.arange(len(size))
+        out = np.empty(len(words.start) + 2 * len(size), U64)
+        inner = np.ones(len(out), bool)
+        for at, mark in ((begin, START), (begin + size + 1, END)):
+            out[at] = U64(mark)
+            inner[at] = False
+        out[inner] = words.values()
+        found.append(out)
+        sizes.append(size)
+    size = joined(sizes, np.int64)
+    return joined(found, U64), np.repeat(np.arange(len(size)), size + 2), size
 
 
 def _row(shard: int, kind: str, source: int, words: np.ndarray, numbers: list[np.ndarray], totals=()) -> dict:
@@ -73,7 +93,7 @@ def _row(shard: int, kind: str, source: int, words: np.ndarray, numbers: list[np
         "shard": shard,
         "kind": kind,
         "source": source,
-        "words": pack(words),
+        "words": put_keys(words),
         "numbers": [put(n) for n in numbers],
         "totals": [int(t) for t in totals],
     }
@@ -118,7 +138,7 @@ def _lists(table: pa.Table, kind: str) -> Iterator[tuple[int, np.ndarray, list[n
     for row in table.to_batches():
         for r in row.to_pylist():
             if r["kind"] == kind:
-                yield r["source"], unpack(r["words"]), [get(n) for n in r["numbers"]]
+                yield r["source"], get_keys(r["words"]), [get(n) for n in r["numbers"]]
 
 
 def merge_counts(table: pa.Table, shard: int, shards: int) -> Iterator[dict]:
@@ -283,63 +303,119 @@ def fit_ngrams(documents: DataFrame, text_column: str = "text") -> NgramModel:
     kind = pa.schema(
         [("shard", pa.int32()), ("pair_file", pa.string()), ("n_pairs", pa.int64()), ("word_file", pa.string()), ("n_words", pa.int64())]
     )
-    files = store(_by_shard(parts, lambda t, s: [_shard_files(t, s, totals)], _FILES, kind))
+    files = []
+    for turn in range(TURNS):
+        own = parts.where(F.col("shard") % TURNS == turn)
+        files.append(store(_by_shard(own, lambda t, s: [_shard_files(t, s, totals)], _FILES, kind)))
     drop(counted)
     drop(answered)
-    return NgramModel(**{**model.__dict__, "files": files})
+    return NgramModel(**{**model.__dict__, "files": reduce(DataFrame.unionByName, files)})
 
 
-def _asked(keys: np.ndarray, rows: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct values, how often each comes, and the rows that hold them, for each shard."""
-    order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    times = np.diff(np.append(first, len(keys)))
-    keys = keys[first]
-    cut, at = starts(keys, shards), np.append(first, len(rows))
-    for s in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[s], cut[s + 1])
-        yield int(s), keys[part], times[part], rows[at[cut[s]] : at[cut[s + 1]]]
+@dataclass(frozen=True)
+class Asked:
+    """Distinct values of a chunk in order, how often each comes, and the rows that hold them."""
+
+    keys: np.ndarray
+    times: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, rows: np.ndarray) -> Asked:
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return cls(keys[first], np.diff(np.append(first, len(rows))), rows)
+
+    def by_shard(self, shards: int) -> list[Asked]:
+        cut = starts(self.keys, shards)
+        at = np.concatenate(([0], np.cumsum(self.times)))[cut]
+        return [
+            Asked(self.keys[i:j], self.times[i:j], self.rows[m:n])
+            for i, j, m, n in zip(cut[:-1], cut[1:], at[:-1], at[1:])
+        ]
+
+    def packed(self) -> list[bytes]:
+        return [put_keys(self.keys), put(self.times), put_lists(self.rows, self.times)]
+
+    @classmethod
+    def unpacked(cls, packed: list[bytes]) -> Asked:
+        times = get(packed[1])
+        return cls(get_keys(packed[0]), times, get_lists(packed[2], times))
+
+    def found_in(self, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are stored, and where."""
+        place = np.searchsorted(stored, self.keys)
+        hit = place < len(stored)
+        hit[hit] = stored[place[hit]] == self.keys[hit]
+        return hit, place[hit]
+
+    def sums(self, values: np.ndarray, rows: int) -> np.ndarray:
+        """The sum of its values for each row."""
+        return np.bincount(self.rows, np.repeat(values, self.times), rows).astype(np.float64)
 
 
 def _answer(asked: pa.Table, files: pa.Table, model: NgramModel, kind: pa.Schema) -> pa.Table:
     """Sums for each row that a shard was asked about."""
-    where = files.to_pylist()[0] if files.num_rows else {"pair_file": None, "n_pairs": 0, "word_file": None, "n_words": 0}
-    mapped = {
-        "words": map_arrays(model.folder, where["word_file"], where["n_words"], _WORD_FILE),
-        "pairs": map_arrays(model.folder, where["pair_file"], where["n_pairs"], _PAIR_FILE),
-    }
+    where = files.to_pylist()[0] if files.num_rows else dict.fromkeys(files.column_names)
+    words = map_arrays(model.folder, where["word_file"], where["n_words"], _WORD_FILE)
+    pairs = map_arrays(model.folder, where["pair_file"], where["n_pairs"], _PAIR_FILE)
     unknown = math.log10(model.unknown)
     out = []
-    for batch in asked.to_batches():
-        for row in batch.to_pylist():
-            if row["kind"] == "rows":
-                out.append({n: row.get(n) for n in kind.names})
-                continue
-            keys, times, rows = unpack(row["keys"]), get(row["times"]), get(row["rows"])
-            stored, *values = mapped[row["kind"]]
-            place = np.searchsorted(stored, keys)
-            hit = place < len(stored)
-            hit[hit] = stored[place[hit]] == keys[hit]
-            weight = np.zeros(len(keys))
-            weight[hit] = values[-1][place[hit]]
-            one, own = np.unique(rows, return_inverse=True)
-
-            def of_rows(x: np.ndarray) -> np.ndarray:
-                return np.bincount(own, np.repeat(x, times), len(one))
-
-            made = {"chunk": row["chunk"], "kind": row["kind"], "shard": row["shard"], "rows": put(one)}
-            if row["kind"] == "words":
-                mark = keys == U64(START)
-                weight[~hit & ~mark] = unknown
-                count = np.zeros(len(keys), np.int64)
-                count[hit] = values[0][place[hit]]
-                made["base"] = of_rows(np.log10(count + 1.0)).tobytes()
-                made["known"] = put(of_rows(count > 0).astype(np.int64))
-            out.append(made | {"score": of_rows(weight).tobytes()})
+    for row in (r for b in asked.to_batches() for r in b.to_pylist()):
+        if row["ids"] is not None:
+            out.append({"chunk": row["chunk"], "ids": row["ids"], "tokens": row["tokens"]})
+            continue
+        of_word, of_pair = Asked.unpacked(row["words"]), Asked.unpacked(row["pairs"])
+        rows = 1 + max(int(x.rows.max(initial=-1)) for x in (of_word, of_pair))
+        hit, at = of_word.found_in(words[0])
+        count = np.zeros(len(hit), np.int64)
+        count[hit] = words[1][at]
+        weight = np.where(of_word.keys == U64(START), 0.0, unknown)
+        weight[hit] = words[2][at]
+        score = of_word.sums(weight, rows)
+        base, known = of_word.sums(np.log10(count + 1.0), rows), of_word.sums(count > 0, rows)
+        hit, at = of_pair.found_in(pairs[0])
+        weight = np.zeros(len(hit))
+        weight[hit] = pairs[1][at]
+        score += of_pair.sums(weight, rows)
+        one = np.flatnonzero((score != 0) | (known > 0))
+        out.append(
+            {
+                "chunk": row["chunk"],
+                "shard": row["shard"],
+                "rows": put(np.diff(one, prepend=0)),
+                "score": score[one].astype(np.float32).tobytes(),
+                "base": base[one].tobytes(),
+                "known": put(known[one].astype(np.int64)),
+            }
+        )
     return pa.Table.from_pylist(out, kind)
 
 
+def _total(table: pa.Table, model: NgramModel) -> pa.Table:
+    """The rows of a chunk, from the sums of all shards."""
+    every = [r for b in table.sort_by("shard").to_batches() for r in b.to_pylist()]
+    own = next(r for r in every if r["ids"] is not None)
+    tokens = get(own["tokens"])
+    score, base, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+    for row in every:
+        if row["ids"] is None:
+            at = np.cumsum(get(row["rows"]))
+            score[at] += np.frombuffer(row["score"], np.float32)
+            base[at] += np.frombuffer(row["base"])
+            known[at] += get(row["known"])
+    return pa.table(
+        {
+            "id": pa.array(own["ids"], table.schema.field("ids").type.value_type),
+            "n_tokens": tokens,
+            "n_known": known,
+            "base_score": base - tokens * math.log10(model.tokens + model.words + 1),
+            "score": score,
+        }
+    )
+
+
 def score_texts(
     documents: DataFrame, model: NgramModel, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -352,69 +428,42 @@ def score_texts(
     shards = model.shards
     id_kind = texts.schema["id"].dataType.simpleString()
     totals = NgramModel(**{**model.__dict__, "files": None})
-    asks = f"shard int, chunk long, kind string, keys binary, times binary, rows binary, ids array<{id_kind}>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in chunks(batches, "text", chunk):
             values, row, size = sequences(rows.column("text"))
             inner = np.flatnonzero(values != U64(END))
-            lists = {"words": (values, row), "pairs": (pair_keys(values[inner], values[inner + 1]), row[inner])}
+            pairs = Asked.of(pair_keys(values[inner], values[inner + 1]), row[inner]).by_shard(shards)
+            words = Asked.of(values, row).by_shard(shards)
             ids = rows.column("id").combine_chunks()
             kind = pa.schema(
-                [("shard", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("keys", pa.binary()),
-                 ("times", pa.binary()), ("rows", pa.binary()), ("ids", pa.list_(ids.type))]
+                [("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("pairs", pa.list_(pa.binary())),
+                 ("tokens", pa.binary()), ("ids", pa.list_(ids.type))]
             )
-            own = {"shard": number % shards, "chunk": number, "kind": "rows", "times": put(size + 1)}
-            made = [own | {"ids": ids.to_pylist()}]
-            for name, (keys, at) in lists.items():
-                for s, some, times, held in _asked(keys, at, shards):
-                    made.append(
-                        {"shard": s, "chunk": number, "kind": name, "keys": pack(some), "times": put(times), "rows": put(held)}
-                    )
+            made = [{"shard": number % shards, "chunk": number, "tokens": put(size + 1), "ids": ids.to_pylist()}]
+            for s, (w, p) in enumerate(zip(words, pairs)):
+                if len(w.keys) or len(p.keys):
+                    made.append({"shard": s, "chunk": number, "words": w.packed(), "pairs": p.packed()})
             yield pa.RecordBatch.from_pylist(made, kind)
 
     def answer(asked: pa.Table, files: pa.Table) -> pa.Table:
         kind = pa.schema(
-            [("chunk", pa.int64()), ("kind", pa.string()), ("shard", pa.int32()), ("rows", pa.binary()), ("score", pa.binary()),
-             ("base", pa.binary()), ("known", pa.binary()), ("times", pa.binary()), asked.schema.field("ids")]
+            [("chunk", pa.int64()), ("shard", pa.int32()), ("rows", pa.binary()), ("score", pa.binary()), ("base", pa.binary()),
+             ("known", pa.binary()), ("tokens", pa.binary()), asked.schema.field("ids")]
         )
         return _answer(asked, files, totals, kind)
 
-    def total(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("kind", "ascending"), ("shard", "ascending")])
-        score = base = known = None
-        for row in (r for b in order.to_batches() for r in b.to_pylist()):
-            if row["kind"] == "rows":
-                tokens = get(row["times"])
-        score, base, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
-        for row in (r for b in order.to_batches() for r in b.to_pylist()):
-            at = get(row["rows"] or b"")
-            if row["kind"] == "rows":
-                ids = row["ids"]
-                continue
-            score[at] += np.frombuffer(row["score"])
-            if row["kind"] == "words":
-                base[at] += np.frombuffer(row["base"])
-                known[at] += get(row["known"])
-        base -= tokens * math.log10(totals.tokens + totals.words + 1)
-        return pa.table(
-            {
-                "id": pa.array(ids, table.schema.field("ids").type.value_type),
-                "n_tokens": tokens,
-                "n_known": known,
-                "base_score": base,
-                "score": score,
-            }
-        )
-
-    asked = texts.mapInArrow(deal, asks)
+    asked = texts.mapInArrow(
+        deal, f"shard int, chunk long, words array<binary>, pairs array<binary>, tokens binary, ids array<{id_kind}>"
+    )
     answers = asked.groupBy("shard").cogroup(model.files.groupBy("shard")).applyInArrow(
         answer,
-        "chunk long, kind string, shard int, rows binary, score binary, base binary, known binary, times binary, "
+        "chunk long, shard int, rows binary, score binary, base binary, known binary, tokens binary, "
         f"ids array<{id_kind}>",
     )
     scored = answers.groupBy("chunk").applyInArrow(
-        total, f"id {id_kind}, n_tokens long, n_known long, base_score double, score double"
+        lambda table: _total(table, totals),
+        f"id {id_kind}, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumnRenamed("id", id_column)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bizpanel.llm import dealing, queries
 from bizpanel.llm.collocations import mine_collocations
-from bizpanel.llm.dealing import distinct, get, put, starts, summed
+from bizpanel.llm.dealing import distinct, get, get_lists, put, put_lists, starts, summed
 from bizpanel.llm.mapped import map_arrays, write_arrays
 from bizpanel.llm.merkle import build_manifest, document_leaves
 from bizpanel.llm.ngram_lm import discounts, fit_ngrams, not_learned, score_texts
@@ -54,6 +54,11 @@ def test_numbers_come_back():
         assert get(put(np.array(values, np.int64))).tolist() == values
 
 
+def test_lists_come_back():
+    values, sizes = np.array([7, 9, 2, 2, 70_000, 0]), np.array([2, 3, 1])
+    assert get_lists(put_lists(values, sizes), sizes).tolist() == values.tolist()
+
+
 def test_distinct_and_sums():
     values = np.array([9, 3, 9, 1 << 63, 3, 9], np.uint64)
     keys, at, counts = distinct(values)
