@@ -4,7 +4,8 @@ The occurrences of phrases of one length are a relation of places, sorted and st
 texts. Each round counts the phrases over all chunks (each chunk deals its distinct ones to shards by value),
 keeps the occurrences of the frequent ones (a semi-join with the shards' answer), and merge-joins them with
 themselves at the next place of the same piece: two phrases that overlap in all but their outer words make one that
-is a word longer. Words are numbered over a chunk with a gap behind each piece, so that neighbours in the
+is a word longer. What is stored are the occurrences of frequent phrases; the join is made once to count the longer
+ones, and again when the answer is there. Words are numbered over a chunk with a gap behind each piece, so that neighbours in the
 relation are neighbours in a piece.
 
 A phrase is known by a 64-bit value made of its language and its words; two with one value are not told apart. Its
@@ -21,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +48,19 @@ from bizpanel.llm.scratch import drop, store
 from bizpanel.llm.words import PIECE_ENDS, PIECE_WORDS_LOWER, U64, Words, mix, split_words, text_buffer
 
 UNKNOWN = "und"
+#: Parts in which the first relation, by far the largest, is read; what is done with goes before the next part.
+TURNS = 4
 _STEP = U64(0xA0761D6478BD642F)
 _COLUMNS = (
     ("kind", "string", pa.string()),
+    ("turn", "int", pa.int32()),
     ("shard", "int", pa.int32()),
     ("chunk", "long", pa.int64()),
     ("keys", "binary", pa.binary()),
     ("counts", "binary", pa.binary()),
     ("places", "binary", pa.binary()),
     ("codes", "binary", pa.binary()),
-    ("left", "binary", pa.binary()),
-    ("right", "binary", pa.binary()),
-    ("names", "array<string>", pa.list_(pa.string())),
+    ("names", "binary", pa.binary()),
     ("langs", "array<string>", pa.list_(pa.string())),
     ("lang_of", "binary", pa.binary()),
     ("lang", "string", pa.string()),
@@ -128,11 +132,12 @@ def first_relation(chunk: int, texts: pa.Array, langs: list[str], shards: int) -
     part_of = np.searchsorted(before, last, "right") - 1
     yield {
         "kind": "relation",
+        "turn": chunk % TURNS,
         "chunk": chunk,
         "keys": put_keys(keys),
         "places": put_keys(joined(places, np.int64)),
         "codes": put(codes),
-        "names": [parts[p].word(i - before[p]).decode() for p, i in zip(part_of, last)],
+        "names": put_names([parts[p].word(i - before[p]).decode() for p, i in zip(part_of, last)]),
         "langs": kinds,
         "lang_of": put(lang[last]),
     }
@@ -167,67 +172,129 @@ def frequent_of(table: pa.Table, least: int) -> Iterator[dict]:
             }
 
 
-def narrowed(chunk: int, relation: dict, answers: pa.Table, longest: bool, shards: int) -> Iterator[dict]:
-    """Keeps frequent phrases, names those that fall to this chunk, and joins neighbours to longer ones."""
-    keys, codes, places = get_keys(relation["keys"]), get(relation["codes"]), get_keys(relation["places"])
-    rows = answers.to_pylist()
-    found = [get_keys(r["keys"]) for r in rows]
-    count = np.zeros(len(keys), np.int64)
-    kept = np.zeros(len(keys), bool)
-    for own, r in zip(found, rows):
-        at = np.searchsorted(keys, own)
-        kept[at] = True
-        count[at] = get(r["counts"])
-    if not kept.any():
-        return
-    chosen = np.flatnonzero(kept)
-    old, langs, lang_of = relation["names"], relation["langs"], get(relation["lang_of"])
-    if relation["left"] is None:
-        names = [old[i] for i in chosen]
+@dataclass(frozen=True)
+class Relation:
+    """A chunk's phrases of one length, ascending by value, and where they occur.
+
+    ``codes`` has the phrase at each of the ``places``.
+    """
+
+    keys: np.ndarray
+    names: list[str]
+    lang_of: np.ndarray
+    langs: list[str]
+    places: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Relation:
+        return cls(
+            get_keys(row["keys"]),
+            get_names(row["names"]),
+            get(row["lang_of"]),
+            row["langs"],
+            get_keys(row["places"]).astype(np.int64),
+            get(row["codes"]),
+        )
+
+    def row(self, chunk: int) -> dict:
+        return {
+            "kind": "relation",
+            "chunk": chunk,
+            "keys": put_keys(self.keys),
+            "names": put_names(self.names),
+            "lang_of": put(self.lang_of),
+            "langs": self.langs,
+            "places": put_keys(self.places),
+            "codes": put(self.codes),
+        }
+
+    def kept(self, wanted: np.ndarray) -> Relation:
+        """The relation of some of its phrases: a semi-join."""
+        chosen = np.flatnonzero(wanted)
+        held = wanted[self.codes]
+        names = [self.names[i] for i in chosen]
+        codes = np.searchsorted(chosen, self.codes[held])
+        return Relation(self.keys[chosen], names, self.lang_of[chosen], self.langs, self.places[held], codes)
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of one more word, by a merge join with the next place.
+
+        Their values in order, for each its two phrases, how often it occurs, and which phrase begins at each place
+        where one does; the last has -1 elsewhere.
+        """
+        first = np.flatnonzero(self.places[1:] == self.places[:-1] + 1)
+        pair, at, times = distinct(self.codes[first] * np.int64(len(self.keys)) + self.codes[first + 1])
+        left, right = np.divmod(pair, max(len(self.keys), 1))
+        keys = longer_keys(self.keys[left], self.keys[right])
+        order = np.argsort(keys)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        begins = np.full(len(self.places), -1)
+        begins[first] = rank[at]
+        return keys[order], left[order], right[order], times[order], begins
+
+    def extended(self, answered: np.ndarray) -> tuple[Relation, np.ndarray]:
+        """The relation of those longer phrases that are among the answered ones, and where each stands there."""
+        keys, left, right, _, begins = self.longer()
+        place = np.searchsorted(answered, keys)
+        wanted = place < len(answered)
+        wanted[wanted] = answered[place[wanted]] == keys[wanted]
+        held = begins >= 0
+        names = [
+            f"{self.names[i]} {self.names[j].rsplit(' ', 1)[-1]}" if w else ""
+            for i, j, w in zip(left, right, wanted)
+        ]
+        whole = Relation(keys, names, self.lang_of[left], self.langs, self.places[held], begins[held])
+        return whole.kept(wanted), place[wanted]
+
+
+def put_names(names: list[str]) -> bytes:
+    """Phrases as one block; a line feed is in none of them."""
+    return zstandard.ZstdCompressor(level=1).compress("\n".join(names).encode())
+
+
+def get_names(data: bytes) -> list[str]:
+    """The phrases of ``put_names``, which had one at least."""
+    return zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
+
+
+def narrowed(row: dict, answers: pa.Table, size: int, longest: bool, shards: int) -> Iterator[dict]:
+    """Keeps the frequent phrases of a length, names those that fall to this chunk, and counts longer ones.
+
+    The row holds phrases of one word less, whose longer ones were counted; words come as they are.
+    """
+    chunk, relation = row["chunk"], Relation.of(row)
+    parts = answers.to_pylist()
+    answered, named = joined([get_keys(r["keys"]) for r in parts], U64), joined([get(r["counts"]) for r in parts], np.int64)
+    order = np.argsort(answered)
+    answered, named = answered[order], named[order]
+    if size == 1:
+        place = np.searchsorted(answered, relation.keys)
+        wanted = place < len(answered)
+        wanted[wanted] = answered[place[wanted]] == relation.keys[wanted]
+        relation, place = relation.kept(wanted), place[wanted]
     else:
-        left, right = get(relation["left"])[chosen], get(relation["right"])[chosen]
-        names = [f"{old[i]} {old[j].rsplit(' ', 1)[-1]}" for i, j in zip(left, right)]
-    lang_of = lang_of[chosen]
-    for i in np.flatnonzero(count[chosen]):
-        yield {"kind": "phrase", "lang": langs[lang_of[i]], "phrase": names[i], "a": int(count[chosen[i]])}
-    if longest:
-        return
-    held = kept[codes]
-    places = places[held].astype(np.int64)
-    codes = np.searchsorted(chosen, codes[held])
-    first = np.flatnonzero(places[1:] == places[:-1] + 1)
-    if not len(first):
+        relation, place = relation.extended(answered)
+    count = named[place]
+    for i in np.flatnonzero(count):
+        yield {"kind": "phrase", "lang": relation.langs[relation.lang_of[i]], "phrase": relation.names[i], "a": int(count[i])}
+    if longest or not len(relation.keys):
         return
-    keys = keys[chosen]
-    pair, at, times = distinct(codes[first] * np.int64(len(keys)) + codes[first + 1])
-    left, right = np.divmod(pair, len(keys))
-    longer = longer_keys(keys[left], keys[right])
-    order = np.argsort(longer)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    yield {
-        "kind": "relation",
-        "chunk": chunk,
-        "keys": put_keys(longer[order]),
-        "places": put_keys(places[first]),
-        "codes": put(rank[at]),
-        "left": put(left[order]),
-        "right": put(right[order]),
-        "names": names,
-        "langs": langs,
-        "lang_of": put(lang_of[left[order]]),
-    }
-    yield from _dealt(chunk, longer[order], times[order], shards)
+    keys, _, _, times, _ = relation.longer()
+    if len(keys):
+        yield relation.row(chunk)
+        yield from _dealt(chunk, keys, times, shards)
 
 
 def _table(rows: Iterator[dict]) -> pa.Table:
     return pa.Table.from_pylist(list(rows), _ARROW)
 
 
-def _narrow(longest: bool, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _narrow(size: int, longest: bool, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def narrow(relation: pa.Table, answers: pa.Table) -> pa.Table:
         rows = [r for b in relation.to_batches() for r in b.to_pylist()]
-        return _table(x for r in rows for x in narrowed(r["chunk"], r, answers, longest, shards))
+        return _table(x for r in rows for x in narrowed(r, answers, size, longest, shards))
 
     return narrow
 
@@ -250,20 +317,33 @@ def count_phrases(
         return _table(frequent_of(table, least))
 
     of = F.col("kind")
-    at = store(texts.mapInArrow(begin, _SCHEMA), "kind")
+    at = store(texts.mapInArrow(begin, _SCHEMA), "kind", "turn")
     sizes = store(at.where(of == "size").groupBy("lang").agg(F.sum("a").alias("n")))
     found = []
+    before = [at]
     for size in range(1, words + 1):
-        narrow = _narrow(size == words, shards)
-        dealt = at.where(of == "deal").select("shard", "chunk", "keys", "counts")
+        narrow = _narrow(size, size == words, shards)
+        every = reduce(DataFrame.unionByName, before)
+        dealt = every.where(of == "deal").select("shard", "chunk", "keys", "counts")
         answers = store(dealt.groupBy("shard").applyInArrow(count, _SCHEMA)).select("chunk", "keys", "counts")
-        relation = at.where(of == "relation").groupBy("chunk")
-        after = store(relation.cogroup(answers.groupBy("chunk")).applyInArrow(narrow, _SCHEMA), "kind")
-        found.append(store(after.where(of == "phrase").select("lang", "phrase", F.lit(size).alias("size"), "a")))
-        drop(at)
-        drop(answers)
-        at = after
-    drop(at)
+        for table in before:
+            drop(table, "kind=deal")
+        after = []
+        for turn in range(TURNS) if size == 1 else [None]:
+            relation, own = every.where(of == "relation"), answers
+            if turn is not None:
+                relation, own = relation.where(F.col("turn") == turn), own.where(F.col("chunk") % TURNS == turn)
+            joined_up = relation.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(narrow, _SCHEMA)
+            after.append(store(joined_up, "kind"))
+            if turn is not None:
+                drop(at, f"kind=relation/turn={turn}")
+        named = reduce(DataFrame.unionByName, after).where(of == "phrase")
+        found.append(store(named.select("lang", "phrase", F.lit(size).alias("size"), "a")))
+        for table in (*before, answers):
+            drop(table)
+        before = after
+    for table in before:
+        drop(table)
     return reduce(DataFrame.unionByName, found), sizes
 
 

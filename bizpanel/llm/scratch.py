@@ -34,14 +34,14 @@ def cut(frame: DataFrame) -> DataFrame:
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def store(frame: DataFrame, by: str | None = None) -> DataFrame:
+def store(frame: DataFrame, *by: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back; with ``by``, in a folder for each value.
 
     The table no longer needs the shuffles that made it, so that Spark may remove their files.
     """
     spark = frame.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    writer = frame.write.partitionBy(by) if by else frame.write
+    writer = frame.write.partitionBy(*by) if by else frame.write
     before = spark.conf.get(_RELEASE, "false")
     spark.conf.set(_RELEASE, "true")
     try:
@@ -51,12 +51,12 @@ def store(frame: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def drop(table: DataFrame) -> None:
-    """Removes the files of a stored table that nothing reads any more."""
+def drop(table: DataFrame, part: str = "") -> None:
+    """Removes the files of a stored table, or those of one of its parts, that nothing reads any more."""
     files = table.inputFiles()
     if files:
         folder = files[0][: files[0].index("/table-") + len("/table-") + 32]
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}" if part else folder)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
