@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from bizpanel.checks.registry import check
+from bizpanel.checks.registry import CHECKS, check
 from bizpanel.checks.relational import DETAIL, EVALUATIONS, LEADERS, SAFETY_KPIS
 from bizpanel.checks.scalars import BANK_CURRENCY
 from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, GAP, SECOND_QUARTER, WHOLE_YEAR, YEAR
@@ -13,9 +15,12 @@ from bizpanel.functions import fixed_values as fixed
 from bizpanel.operators import aggregates as agg
 from bizpanel.operators import maintain
 from bizpanel.operators.filters import search
+from bizpanel.operators.lineage import ensure_checkpoint_dir
 from bizpanel.operators.period import Period
 from bizpanel.operators.policy import ALLOW, DENY, EMPTY, MASK, Policy
-from bizpanel.plans import cash, control, expenses, hr, ledger, loyalty, purchasing, sales, stock
+from bizpanel.plans import cash, control, expenses, hr, ledger, loyalty, purchasing, sales, stock, summary
+from bizpanel.sources import closing, versions
+from bizpanel.sources.tables import Tables, write_table
 
 Q2_HEADER = "invoice_year = 2000 AND month(invoice_date) IN (4, 5, 6)"
 Q2_LEDGER = "year(journal_date) = 2000 AND month(journal_date) IN (4, 5, 6)"
@@ -1342,6 +1347,73 @@ def _(t):
     return maintain.delete(t.safety_stock, withdrawn, "id").select("id", "item_code")
 
 
+def _folder(t):
+    """A folder of its own in the shared one."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/check-{uuid.uuid4().hex}"
+
+
+@check(
+    "d3_save_and_delete",
+    f"""WITH saved AS (SELECT id, item_code, safety_stock FROM safety_stock WHERE id NOT IN
+          (SELECT id FROM ({CHANGES}) WHERE item_code <> '' AND safety_stock >= 0)
+        UNION ALL SELECT id, item_code, safety_stock FROM ({CHANGES}) WHERE item_code <> '' AND safety_stock >= 0)
+        SELECT * FROM saved WHERE id NOT IN (SELECT item_id FROM item_master WHERE item_type = 'B')""",
+    money="safety_stock",
+)
+def _(t):
+    path = f"{_folder(t)}/safety_stock"
+    versions.publish(t.safety_stock, path)
+    maintain.save_upsert(changes(t), path, "id", maintain.safety_stock_checks())
+    withdrawn = t.item_master.filter(F.col("item_type") == "B").select(F.col("item_id").alias("id"))
+    maintain.save_delete(withdrawn, path, "id")
+    return versions.read(t.spark, path).select("id", "item_code", "safety_stock")
+
+
+@check(
+    "d3_new_keys",
+    """SELECT id, item_code, safety_stock FROM safety_stock UNION ALL
+       SELECT (SELECT max(id) FROM safety_stock) + row_number() OVER (ORDER BY item_id), item_code, safety_stock
+       FROM safety_stock WHERE id % 3 = 0""",
+    money="safety_stock",
+)
+def _(t):
+    new = t.safety_stock.filter("id % 3 = 0").withColumn("id", F.when(F.col("id") % 2 == 0, 0).cast("bigint"))
+    saved, _rejected = maintain.upsert(t.safety_stock, new, "id")
+    return saved.select("id", "item_code", "safety_stock")
+
+
+@check(
+    "r9b_refreshed_summary",
+    CHECKS["r9b_customer_monthly_summary"].sql,
+)
+def _(t):
+    root = _folder(t)
+    for name in ("sales_header", "sales_line", "item_master"):
+        table = t[name]
+        first = table if name == "item_master" else table.filter(
+            (F.year("invoice_date") != 1997) | (F.day("invoice_date") < 20)
+        )
+        write_table(first, root, name)
+    summary.refresh_summary(t.spark, root)
+    for name in ("sales_header", "sales_line"):
+        write_table(t[name].filter(F.year("invoice_date") == 1997), root, name)
+    summary.refresh_summary(t.spark, root)
+    stored = Tables.from_parquet(t.spark, root).customer_monthly_summary
+    return stored.select(
+        "customer_no", "summary_year", "summary_month", "total_amount", "total_weight", "total_volume", "customer_name"
+    )
+
+
+@check("r2_cash_of_closed_ledger", CONTROL_CASH, money="opening_balance current_balance difference")
+def _(t):
+    root = _folder(t)
+    write_table(t.journal_line, root, "journal_line")
+    closing.close_years(t.spark, root, 1998)
+    closing.close_years(t.spark, root, 2000)
+    return control.control_period(Tables.from_parquet(t.spark, root), SECOND_QUARTER)["cash"]
+
+
 @check(
     "a14_division_share",
     """SELECT division_name AS name, count(*) AS count, round(count(*) / (SELECT count(*) FROM employee) * 100, 1) AS pct

@@ -48,46 +48,44 @@ def _sort_key() -> Column:
 def org_tree(employees: DataFrame) -> DataFrame:
     """Every employee with root, level, id path and sort path.
 
-    Roots have no manager, manager 0, or a manager outside the given set. Each round
-    joins one level with its children and writes it to the checkpoint folder, so the
-    plan stays one join deep however tall the tree is; there is no limit of levels. Nodes
-    on a cycle are reached from no root and are left out. ``employee_id`` must be unique.
+    Roots have no manager, manager 0, or a manager outside the given set. Everybody holds the
+    stretch of the path that ends with them, and ``above``, who stands over its head. Each round
+    puts the stretch of ``above`` in front, so that stretches double: the rounds grow with the
+    logarithm of the height, and each is one join whose result is written to the checkpoint
+    folder. Nodes on a cycle or below one never reach a root and are left out.
+    ``employee_id`` must be unique.
     """
-    nodes = cut(
-        employees.select(
-            "employee_id",
-            F.nullif(F.col("manager_id"), F.lit(0)).alias("parent_id"),
-            _sort_key().alias("sort_key"),
-        )
+    nodes = employees.select(
+        "employee_id", F.nullif(F.col("manager_id"), F.lit(0)).alias("parent_id"), _sort_key().alias("sort_key")
     )
-    self_managed = F.coalesce(F.col("parent_id") == F.col("employee_id"), F.lit(False))
-    edges = nodes.filter(F.col("parent_id").isNotNull() & ~self_managed)
-    known = nodes.select(F.col("employee_id").alias("parent_id"))
-    roots = nodes.filter(~self_managed).join(known, "parent_id", "left_anti")
-    level = cut(
-        roots.select(
-            F.col("employee_id").alias("root_id"),
+    known = nodes.select(F.col("employee_id").alias("above"))
+    state = cut(
+        nodes.join(known, F.col("parent_id") == F.col("above"), "left").select(
             "employee_id",
+            "above",
+            F.col("employee_id").alias("root_id"),
             F.lit(0).alias("level"),
             F.col("employee_id").cast("string").alias("path"),
             F.col("sort_key").alias("sort_path"),
         )
     )
-    levels = [level]
-    while not level.isEmpty():
-        parents = level.select(
-            F.col("employee_id").alias("parent_id"), "root_id", "level", "path", "sort_path"
-        )
-        level = cut(
-            edges.join(parents, "parent_id").select(
-                "root_id",
-                "employee_id",
-                (F.col("level") + 1).alias("level"),
-                F.concat_ws(
-                    PATH_SEPARATOR, "path", F.col("employee_id").cast("string")
-                ).alias("path"),
-                F.concat_ws(SORT_SEPARATOR, "sort_path", "sort_key").alias("sort_path"),
-            )
+    complete = F.col("above").isNull()
+    done, rest = [state.filter(complete)], state.filter(~complete)
+    longest, rows = 1, state.count()
+    # a stretch as long as there are nodes goes round a cycle
+    while longest < rows and not rest.isEmpty():
+        over = reduce(DataFrame.unionByName, [*done, rest])
+        over = over.select(*[F.col(c).alias(f"over_{c}") for c in over.columns])
+        joined = rest.join(over, F.col("above") == F.col("over_employee_id")).select(
+            "employee_id",
+            F.col("over_above").alias("above"),
+            F.col("over_root_id").alias("root_id"),
+            (F.col("level") + F.col("over_level") + 1).alias("level"),
+            F.concat_ws(PATH_SEPARATOR, "over_path", "path").alias("path"),
+            F.concat_ws(SORT_SEPARATOR, "over_sort_path", "sort_path").alias("sort_path"),
         )
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        state = cut(joined)
+        done.append(state.filter(complete))
+        rest = state.filter(~complete)
+        longest *= 2
+    return reduce(DataFrame.unionByName, done).drop("above")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +10,7 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only in local mode."""
+    """Use the shared folder the cluster names; in local mode without that setting, one in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -20,7 +20,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="bizpanel-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints-{uuid.uuid4().hex}"
     context.setCheckpointDir(folder)
 
 

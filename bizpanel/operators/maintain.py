@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bizpanel.functions import fixed_values as fixed
 from bizpanel.operators.aggregates import latest
 from bizpanel.operators.filters import search
+from bizpanel.operators.numbering import number_rows
+from bizpanel.sources import versions
 
 REPEATED_KEY = "the batch names this key more than once"
 
@@ -65,11 +68,57 @@ def upsert(
 
 def _numbered(base: DataFrame, valid: DataFrame, added: DataFrame, key: str) -> DataFrame:
     """New records of a batch with the keys that follow the largest one in use."""
+    if added.isEmpty():
+        return added.select(*base.columns)
     used = base.select(key).union(valid.select(key)).agg(F.max(key).alias("used"))
     rest = [c for c in base.columns if c != key]
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*rest))
-    new_key = (F.coalesce(used.scalar(), F.lit(0)) + place).cast(base.schema[key].dataType)
-    return added.withColumn(key, new_key).select(*base.columns)
+    placed = number_rows(added, rest, "new_place")
+    new_key = (F.coalesce(used.scalar(), F.lit(0)) + F.col("new_place")).cast(base.schema[key].dataType)
+    return placed.withColumn(key, new_key).select(*base.columns)
+
+
+def save(
+    spark: SparkSession,
+    path: str,
+    change: Callable[[DataFrame], DataFrame],
+    schema: str | StructType | None = None,
+) -> versions.Version:
+    """Replace a stored master table by what ``change`` makes of it.
+
+    The new snapshot is written beside the old one and then takes its place in one step, so a table may be written
+    from itself, and a change that fails leaves it as it was. If somebody else has saved the table in the meantime,
+    ``WriteConflict`` is raised and theirs stays.
+    """
+    before = versions.current(spark, path)
+    changed = change(versions.read(spark, path, schema))
+    return versions.publish(changed, path, made_from=before.number if before else 0)
+
+
+def save_upsert(
+    changes: DataFrame,
+    path: str,
+    key: str,
+    checks: Mapping[str, Column] | None = None,
+    sequence: str | None = None,
+    schema: str | StructType | None = None,
+) -> DataFrame:
+    """``upsert`` on a stored table; the rejected rows."""
+    rejected = []
+
+    def change(base: DataFrame) -> DataFrame:
+        saved, refused = upsert(base, changes, key, checks, sequence)
+        rejected.append(refused)
+        return saved
+
+    save(changes.sparkSession, path, change, schema)
+    return rejected[0]
+
+
+def save_delete(
+    ids: DataFrame, path: str, key: str, schema: str | StructType | None = None
+) -> versions.Version:
+    """``delete`` on a stored table."""
+    return save(ids.sparkSession, path, lambda base: delete(base, ids, key), schema)
 
 
 def delete(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:

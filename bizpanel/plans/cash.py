@@ -16,7 +16,7 @@ from bizpanel.functions.numbers import count_if, or_zero, sum_where
 from bizpanel.operators.filters import non_empty, prefix
 from bizpanel.operators.joins import left_dim
 from bizpanel.operators.lists import Lists
-from bizpanel.operators.period import Period
+from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
 from bizpanel.sources.tables import Tables
 
@@ -210,11 +210,17 @@ def cash_period(
     strict_parity: bool = False,
 ) -> Lists:
     """The cash report: ``summary``, ``accounts`` and ``banks``."""
+    tables.require_open(period.year)
     base = cash_base(tables.journal_line, period, base_currency)
+    # only the bank list names banks that were first posted to after the period
+    ended = prune_years(tables.journal_line, ledger.YEAR_COLUMN, last=period.year).filter(
+        period.until_end(F.col("journal_date"))
+    )
+    until_end = cash_base(ended, period, base_currency)
     return Lists(
         {
-            "summary": lambda: cash_summary(base),
-            "accounts": lambda: cash_accounts(base, tables.accounts_master, strict_parity),
+            "summary": lambda: cash_summary(until_end),
+            "accounts": lambda: cash_accounts(until_end, tables.accounts_master, strict_parity),
             "banks": lambda: bank_balances(base, tables.bank_accounts_master),
         }
     )

@@ -46,6 +46,7 @@ def ledger_kpis(journal: DataFrame, period: Period, balance_rows: Column) -> Dat
 
 def control_kpis(tables: Tables, period: Period, balance_rows: Column) -> DataFrame:
     """The six key figures as one row."""
+    tables.require_open(period.year)
     sales = tables.sales_header.filter(in_period(period)).agg(
         F.sum(taxable_amount()).alias("total_sales_amount")
     )
@@ -64,6 +65,7 @@ def control_month(tables: Tables, year: int, month: int) -> DataFrame:
 
 def control_period(tables: Tables, period: Period) -> Lists:
     """The control report: ``kpis`` (balances at period end), ``expenses`` and ``cash``."""
+    tables.require_open(period.year)
     until_end = period.until_end(F.col("journal_date"))
     journal = prune_years(tables.journal_line, "journal_year", last=period.year)
     return Lists(

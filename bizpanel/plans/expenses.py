@@ -15,6 +15,7 @@ from bizpanel.operators.joins import attach_scalar, with_parent
 from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period, prune_years
 from bizpanel.plans import ledger
+from bizpanel.sources.schema import HEADER_YEAR
 from bizpanel.sources.tables import Tables
 
 DETAIL_KEYS = (
@@ -59,7 +60,8 @@ def expense_accounts(base: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def total_sales(header: DataFrame, period: Period) -> DataFrame:
     """Sales of the same period by invoice *date*; 0 when there are none."""
-    return header.filter(period.date_filter(F.col("invoice_date"))).agg(
+    year = prune_years(header, HEADER_YEAR, period.year, period.year)
+    return year.filter(period.date_filter(F.col("invoice_date"))).agg(
         or_zero(F.sum(F.col("total_taxable_amount") * F.col("exchange_rate")))
         .cast("decimal(18,2)")
         .alias("total_sales_amount")
@@ -68,6 +70,7 @@ def total_sales(header: DataFrame, period: Period) -> DataFrame:
 
 def expenses_period(tables: Tables, period: Period) -> Lists:
     """The expense report: ``accounts``, ``parents`` and ``detail``."""
+    tables.require_open(period.year)
     base = expense_base(tables.journal_line, period)
 
     def accounts() -> DataFrame:

@@ -119,6 +119,7 @@ def purchasing_kpis(tables: Tables, period: Period) -> DataFrame:
 
     Import and other purchasing are differences and stay NULL when a part is NULL.
     """
+    tables.require_open(period.year)
     in_dates = period.date_filter(F.col("journal_date"))
     return one_row(
         header_totals(tables.purchase_header, period),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,10 @@ from bizpanel.functions.numbers import (
 )
 from bizpanel.operators.aggregates import metrics, top_k
 from bizpanel.operators.joins import left_dim, one_row, semi
+from bizpanel.operators.lineage import cut
 from bizpanel.operators.period import Period, in_years, prune_years, ytd, ytd_prior
 from bizpanel.plans import ledger
+from bizpanel.sources.schema import HEADER_YEAR, YEAR_PARTITIONS
 from bizpanel.sources.tables import Tables
 
 CHANNELS = ("white", "color_center", "project", "export")
@@ -160,8 +162,9 @@ def sales_channels(header: DataFrame, period: Period, as_of: dt.date) -> DataFra
     date, amount = F.col("invoice_date"), taxable_amount()
     windows = date_windows(date, period, as_of)
     channel = F.substring("sales_person_number", 1, 1).alias("channel")
+    two_years = prune_years(header, HEADER_YEAR, period.year - 1, period.year)
     return (
-        header.filter(in_years(date, period.year - 1, period.year))
+        two_years.filter(in_years(date, period.year - 1, period.year))
         .groupBy(channel)
         .agg(*[or_zero(sum_where(windows[w], amount)).alias(f"amount_{w}") for w in WINDOWS])
     )
@@ -169,6 +172,7 @@ def sales_channels(header: DataFrame, period: Period, as_of: dt.date) -> DataFra
 
 def sales_month(tables: Tables, year: int, month: int, as_of: dt.date) -> DataFrame:
     """The one-month sales figures: amounts, year-to-date, collection and balance."""
+    tables.require_open(year)
     period = Period.monthly(year, [month])
     amounts = header_metrics(tables.sales_header, period, as_of).drop("total_final_amount")
     date = F.col("journal_date")
@@ -183,6 +187,7 @@ def sales_period(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
 
     Three scans: headers, lines (with items and headers), ledger.
     """
+    tables.require_open(period.year)
     date = F.col("journal_date")
     return one_row(
         header_metrics(tables.sales_header, period, as_of),
@@ -191,14 +196,54 @@ def sales_period(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     )
 
 
-def customer_monthly_summary(tables: Tables, names: DataFrame | None = None) -> DataFrame:
+#: The year partition of the sales lines.
+LINE_YEAR = YEAR_PARTITIONS["sales_line"][0]
+
+
+def of_years(df: DataFrame, partition: str, years: Collection[int | None] | None) -> DataFrame:
+    """Rows dated in the given years (None: without a date), from their partitions alone where there are such."""
+    if years is None:
+        return df
+    known = sorted(y for y in years if y is not None)
+
+    def among(year: Column) -> Column:
+        return (year.isin(known) | year.isNull()) if None in years else year.isin(known)
+
+    dated = df.filter(among(F.year("invoice_date")))
+    return dated.filter(among(F.col(partition))) if partition in df.columns else dated
+
+
+def customers_of(per_invoice: DataFrame, header: DataFrame, years: Collection[int | None] | None) -> DataFrame:
+    """Invoices (``internal_id``) with their customer, inner.
+
+    Invoices of some years are first sought among the headers of these years and of those next to them. Only if
+    some are not there are the other partitions read for them.
+    """
+    named = header.withColumnRenamed("customer_number", "customer_no")
+    if years is None or HEADER_YEAR not in header.columns:
+        return per_invoice.join(named.select("internal_id", "customer_no"), "internal_id")
+    near = {y + d for y in years if y is not None for d in (-1, 0, 1)}
+    here = F.coalesce(F.col(HEADER_YEAR).isin(sorted(near)), F.lit(False))
+    wanted = named.select("internal_id", "customer_no", HEADER_YEAR)
+    stored = cut(per_invoice)
+    found = stored.join(wanted.filter(here).drop(HEADER_YEAR), "internal_id")
+    missing = cut(stored.join(wanted.filter(here), "internal_id", "left_anti"))
+    if missing.isEmpty():
+        return found
+    return found.unionByName(missing.join(wanted.filter(~here).drop(HEADER_YEAR), "internal_id"))
+
+
+def customer_monthly_summary(
+    tables: Tables, names: DataFrame | None = None, years: Collection[int | None] | None = None
+) -> DataFrame:
     """Amount, weight and volume per customer and month, rebuilt from the invoices.
 
     Amounts go by the invoice date, weights and volumes by the line date. ``names``
-    (customer_no, customer_name) supplies the names; without it they are NULL.
+    (customer_no, customer_name) supplies the names; without it they are NULL. With ``years`` the
+    summary of these years alone is built, from the lines and headers of their partitions.
     """
     header = tables.sales_header
-    amounts = header.select(
+    amounts = of_years(header, HEADER_YEAR, years).select(
         F.col("customer_number").alias("customer_no"),
         F.year("invoice_date").alias("summary_year"),
         F.month("invoice_date").alias("summary_month"),
@@ -206,7 +251,9 @@ def customer_monthly_summary(tables: Tables, names: DataFrame | None = None) ->
     )
     per_invoice = (
         left_dim(
-            tables.sales_line, tables.item_master.select("item_id", "volume"), "item_id"
+            of_years(tables.sales_line, LINE_YEAR, years),
+            tables.item_master.select("item_id", "volume"),
+            "item_id",
         )
         .groupBy(
             F.col("int_id").alias("internal_id"),
@@ -218,10 +265,7 @@ def customer_monthly_summary(tables: Tables, names: DataFrame | None = None) ->
             F.sum(F.col("invoiced_quantity") * F.col("volume")).alias("total_volume"),
         )
     )
-    quantities = per_invoice.join(
-        header.select("internal_id", F.col("customer_number").alias("customer_no")),
-        "internal_id",
-    ).drop("internal_id")
+    quantities = customers_of(per_invoice, header, years).drop("internal_id")
     summary = (
         amounts.unionByName(quantities, allowMissingColumns=True)
         .groupBy("customer_no", "summary_year", "summary_month")

@@ -27,24 +27,47 @@ def last_price(header: DataFrame, line: DataFrame) -> DataFrame:
     """Price, currency, date and rate of each item's latest invoice.
 
     Latest by invoice date, then invoice id; of several lines of one item on that
-    invoice the highest price counts. The latest invoice is taken by a combining
-    aggregate, so a much-bought item never ends up whole in one task.
+    invoice the highest price counts. Lines are reduced to one per invoice and item before the
+    join, and the latest invoice is taken by a combining aggregate, so that neither a long
+    invoice nor a much-bought item ends up whole in one task.
     """
-    prices = line.filter(non_empty(F.col("item_code"))).select(
-        "int_id", "item_code", F.col("price").alias("last_price")
+    # spread by both keys: the lines of an invoice that holds most of them meet in many tasks
+    prices = (
+        line.filter(non_empty(F.col("item_code")))
+        .groupBy("int_id", "item_code")
+        .agg(F.max("price").alias("last_price"))
     )
-    dated = header.select(
+    return merge_prices(
+        header_lines(_dated(header), prices).select(*PRICE_KEYS, *PRICE_FIELDS)
+    ).select("item_code", *PRICE_FIELDS)
+
+
+#: What a price's place in time is, and what a report takes from it.
+PRICE_KEYS = ("item_code", "internal_id")
+PRICE_FIELDS = ("last_price", "last_currency", "last_invoice_date", "last_exchange_rate")
+
+
+def merge_prices(prices: DataFrame) -> DataFrame:
+    """The latest of all prices of each item, with the invoice that it stands on.
+
+    The result has the shape of what goes in, so that results over parts of the invoices can be merged
+    again: by date, then invoice, then price, in any order and grouping.
+    """
+    return latest(
+        prices,
+        ["item_code"],
+        ["last_invoice_date", "internal_id", "last_price"],
+        ["internal_id", *PRICE_FIELDS],
+    )
+
+
+def _dated(header: DataFrame) -> DataFrame:
+    return header.select(
         "internal_id",
         F.col("invoice_currency").alias("last_currency"),
         F.col("invoice_date").alias("last_invoice_date"),
         F.col("invoice_exchange_rate").alias("last_exchange_rate"),
     )
-    return latest(
-        header_lines(dated, prices),
-        ["item_code"],
-        ["last_invoice_date", "internal_id", "last_price"],
-        ["last_price", "last_currency", "last_invoice_date", "last_exchange_rate"],
-    )
 
 
 def item_stock(balance: DataFrame, items: DataFrame) -> DataFrame:

@@ -81,10 +81,12 @@ def columns(table: str) -> list[tuple[str, str]]:
     return _COLUMN.findall(SCHEMAS[table])
 
 
+#: Sales headers lie by the year of their date; the stored invoice year, which may differ, is a plain column.
+HEADER_YEAR = "header_year"
 # Partition column of each large fact, and how it is made where the fact has no such column.
 YEAR_PARTITIONS = {
     "journal_line": ("journal_year", "year(journal_date)"),
-    "sales_header": ("invoice_year", None),
+    "sales_header": ("header_year", "year(invoice_date)"),
     "sales_line": ("line_year", "year(invoice_date)"),
     "customer_monthly_summary": ("summary_year", None),
     "purchase_header": ("invoice_year", None),

@@ -7,19 +7,36 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizpanel.sources import closing, versions
 from bizpanel.sources.schema import SCHEMAS, YEAR_PARTITIONS
 
 Loader = Callable[[], DataFrame]
 
 
+class ClosedYear(ValueError):
+    """A report asks for the lines of a year of which the ledger holds balances only."""
+
+
 class Tables:
     """The business tables by name, each read when first used."""
 
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader]):
+    def __init__(
+        self, spark: SparkSession, loaders: Mapping[str, Loader], closed_before: int | None = None
+    ):
         self.spark = spark
+        #: The year before which the ledger holds balances only; None if it holds all lines.
+        self.closed_before = closed_before
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
 
+    def require_open(self, year: int) -> None:
+        """An error if a report of this year needs ledger lines that are closed."""
+        if self.closed_before is not None and year < self.closed_before:
+            raise ClosedYear(
+                f"the ledger is closed before {self.closed_before}; read the lines of {year} "
+                "with Tables.from_parquet(..., closed=False)"
+            )
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._loaders:
             raise AttributeError(f"no table {name!r}")
@@ -40,20 +57,23 @@ class Tables:
     def replace(self, **frames: DataFrame) -> Tables:
         """Same tables with some of them swapped, such as a compacted ledger."""
         loaders = {**self._loaders, **{n: (lambda f=f: f) for n, f in frames.items()}}
-        return Tables(self.spark, loaders)
+        return Tables(self.spark, loaders, self.closed_before)
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
-        """One Parquet folder per table under ``root``, read with the declared schema."""
-        return cls(
-            spark,
-            {
-                name: (
-                    lambda n=name: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}")
-                )
-                for name in SCHEMAS
-            },
-        )
+    def from_parquet(cls, spark: SparkSession, root: str, closed: bool = True) -> Tables:
+        """One Parquet folder per table under ``root``, read with the declared schema.
+
+        Of a table that is stored as snapshots the current one is read. Where years of the ledger have been closed
+        (``closing.close_years``), their balances stand in for their lines, and reports of these years raise;
+        with ``closed=False`` all lines are read.
+        """
+        loaders = {
+            name: (lambda n=name: versions.read(spark, f"{root}/{n}", SCHEMAS[n])) for name in SCHEMAS
+        }
+        before = closing.closed_before(spark, root) if closed else None
+        if before is not None:
+            loaders[closing.LEDGER] = lambda: closing.read_ledger(spark, root)
+        return cls(spark, loaders, before)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> Tables:
@@ -82,12 +102,22 @@ def write_fact(df: DataFrame, path: str, year: str, made_from: str | None = None
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Write a business table where ``Tables.from_parquet`` finds it, facts by year."""
+    """Write a business table where ``Tables.from_parquet`` finds it.
+
+    Facts are written by year. Any other table is published as a new snapshot, so that it may be made from itself.
+    """
     path = f"{root}/{name}"
     if name in YEAR_PARTITIONS:
         write_fact(df, path, *YEAR_PARTITIONS[name])
     else:
-        df.write.mode("overwrite").parquet(path)
+        versions.publish(df, path)
+
+
+def drop_partition(spark: SparkSession, root: str, name: str, column: str, year: int | None) -> None:
+    """Remove the partition of one year from a stored fact."""
+    value = "__HIVE_DEFAULT_PARTITION__" if year is None else year
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{column}={value}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
