@@ -1,7 +1,8 @@
 """Sharding by histogram sort: exact counts refine the splitters, then rows move once.
 
 Each row has one sortable key: the upper half of a hash of its text, so that equal texts stand
-together, and below it the lower half of a hash of its id, so that a hot text can still be divided.
+together, and below it the lower half of a hash of its id and its place in the input, so that a hot text, and rows that
+are repeated whole, can still be divided.
 Splitters are sought for equal bytes. In each round every task counts the bytes of its rows between
 the probes of all open splitters; the sums say between which two probes a splitter lies, and new
 probes go there, until the bytes below it are within tolerance or no key lies between its bounds.
@@ -12,8 +13,7 @@ Law: ``bytes``. Every shard's bytes differ from an equal share by at most twice
 the bytes of rows with equal keys that a splitter falls on.
 
 Defined results: a null text counts as empty; a null id is hashed like any other value. Rows that
-are repeated whole have one key and stay in one range. Extra columns are dropped. An empty table
-gives an empty table.
+are repeated whole are divided like others. Extra columns are dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def sort_key(id_column: str, text: Column) -> Column:
-    """Equal texts side by side, in the order of a hash of their ids."""
+    """Equal texts side by side, in the order of a hash of their ids and of their places; to be stored at once."""
     upper = F.shiftleft(F.shiftright(F.xxhash64(text), 32), 32)
-    return upper.bitwiseOR(F.xxhash64(F.col(id_column)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    own = F.xxhash64(F.col(id_column), F.monotonically_increasing_id())
+    return upper.bitwiseOR(own.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 @dataclass
