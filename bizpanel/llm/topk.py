@@ -9,15 +9,18 @@ score so far plus the remaining bounds still reaches the query's k-th best. Shar
 by score.
 
 Vectors are dealt to shards by a hash, queries go in blocks to every shard; a task holds one shard and
-one block. Arithmetic is in float64 over integers: exact below 2^53, which is checked.
+one block. Arithmetic is in float64 over integers, which is exact below 2^53; a shard and block that could exceed that
+are computed in whole numbers of any size.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id.
 Vectors of different length are kept apart by length. Of rows with the same id each takes part; none answers
-a query of its own id. Extra columns are dropped. Empty tables give an empty result.
+a query of its own id. Query rows with the same id each get a ranking of their own. Components beyond 64 bits and scores
+beyond them count as, and come out as, the nearest 64-bit number. Extra columns are dropped. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,8 @@ SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 #: Dimensions that are traversed or probed at once.
 STEP = 8
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, query_row long, vec_id long, score long"
+_LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -83,8 +87,26 @@ def maxscore(
     return found
 
 
-def _matrix(packed: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(packed, np.int64).reshape(-1, size).astype(np.float64)
+def large_scores(
+    queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+) -> list[tuple[int, np.ndarray, list[int]]]:
+    """As ``maxscore``, in whole numbers of any size, without bounds."""
+    wide = vectors.astype(object)
+    found = []
+    for number, q in enumerate(queries.astype(object)):
+        score = wide.dot(q)
+        alive = np.flatnonzero(ids != own[number]).tolist()
+        best = heapq.nsmallest(k, alive, key=lambda i: (-score[i], ids[i]))
+        found.append((number, np.array(best, np.int64), [score[i] for i in best]))
+    return found
+
+
+def _matrix(packed: bytes, rows: int, size: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(rows, size)
+
+
+def _most(matrix: np.ndarray) -> float:
+    return float(np.abs(matrix.astype(np.float64)).max(initial=0))
 
 
 def _pack(frame: DataFrame, key: str) -> DataFrame:
@@ -99,12 +121,13 @@ def _pack(frame: DataFrame, key: str) -> DataFrame:
                 key: table.column(key)[:1],
                 "size": table.column("size")[:1],
                 "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()),
+                "rows": pa.array([table.column("row").to_numpy().tobytes()], pa.binary()),
                 "data": pa.array([flat.tobytes()], pa.binary()),
             }
         )
 
     return frame.groupBy(key, "size").applyInArrow(
-        pack, f"{key} long, size int, ids binary, data binary"
+        pack, f"{key} long, size int, ids binary, rows binary, data binary"
     )
 
 
@@ -118,14 +141,14 @@ def exact_top_k(
 ) -> DataFrame:
     """The k highest inner products of each query with the other rows: query_id, rank, vec_id, score."""
     every = integer_vectors(vectors, id_column, vector_column, scale)
-    every = every.withColumn("size", F.size("vector"))
+    every = every.withColumn("size", F.size("vector")).withColumn("row", F.monotonically_increasing_id())
     total, asked = every.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, blocks = -(-total // SHARD_ROWS) or 1, -(-asked // BLOCK_ROWS) or 1
     spread = F.xxhash64("vec_id", "vector")
-    candidates = _pack(every.withColumn("shard", F.pmod(spread, F.lit(shards))), "shard")
+    candidates = _pack(every.withColumn("shard", F.pmod(spread, F.lit(shards))), "shard").drop("rows")
     block = _pack(
         every.where(is_query).withColumn("block", F.pmod(spread, F.lit(blocks))), "block"
-    ).toDF("block", "size", "query_ids", "query_data")
+    ).toDF("block", "size", "query_ids", "query_rows", "query_data")
     # every block goes to every shard
     every_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     asked_of = block.withColumn("shard", F.explode(every_shard))
@@ -136,25 +159,28 @@ def exact_top_k(
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 own = np.frombuffer(row["query_ids"], np.int64)
-                data = _matrix(row["data"], row["size"]) if row["size"] else np.zeros((len(ids), 0))
-                asks = _matrix(row["query_data"], row["size"]) if row["size"] else np.zeros((len(own), 0))
-                most = np.abs(data).max(initial=0) * np.abs(asks).max(initial=0) * max(row["size"], 1)
-                if most >= 2**53:
-                    raise ValueError("inner products exceed what float64 holds exactly")
-                for number, places, scores in maxscore(asks, own, data, ids, k):
+                rows = np.frombuffer(row["query_rows"], np.int64)
+                data = _matrix(row["data"], len(ids), row["size"])
+                asks = _matrix(row["query_data"], len(own), row["size"])
+                if _most(data) * _most(asks) * max(row["size"], 1) < 2**53:
+                    found = maxscore(asks.astype(np.float64), own, data.astype(np.float64), ids, k)
+                else:
+                    found = large_scores(asks, own, data, ids, k)
+                for number, places, scores in found:
                     yield pa.RecordBatch.from_pandas(
                         pd.DataFrame(
                             {
                                 "query_id": own[number],
+                                "query_row": rows[number],
                                 "vec_id": ids[places],
-                                "score": scores.astype(np.int64),
+                                "score": np.array([min(max(int(s), _LEAST), _GREATEST) for s in scores], np.int64),
                             }
                         ),
                         preserve_index=False,
                     )
 
-    hits = pairs.select("size", "ids", "data", "query_ids", "query_data").mapInArrow(search, _HITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = pairs.select("size", "ids", "data", "query_ids", "query_rows", "query_data").mapInArrow(search, _HITS)
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
