@@ -73,15 +73,18 @@ def descend(
 def labelled_sample(
     documents: DataFrame, ratings: DataFrame, id_column: str, text_column: str, most: int
 ) -> DataFrame:
-    """Texts and ratings of at most ``most`` rated ids, those of the smallest hashes.
+    """Texts and ratings of at most ``most`` rated ids, those of the smallest hashes: as many rows at most.
 
-    ``ratings`` has the id and ``rating``; of several ratings of an id the smallest holds.
+    ``ratings`` has the id and ``rating``; of several ratings of an id the smallest holds, and of several texts the
+    one with the smallest hash.
     """
     rated = ratings.where(F.col(id_column).isNotNull() & F.col("rating").isNotNull())
     rated = rated.groupBy(id_column).agg(F.min("rating").alias("rating"))
     chosen = rated.orderBy(F.xxhash64(id_column), id_column).limit(most)
     rows = documents.select(id_column, F.col(text_column).alias("text"))
-    return rows.join(small(chosen, 24, most), id_column).select("text", "rating")
+    found = rows.join(small(chosen, 24, most), id_column).where(F.col("text").isNotNull())
+    one = found.groupBy(id_column, "rating").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("text", "rating")
 
 
 def fit_in_one_task(
