@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, SECOND_QUARTER, WHOLE_YEAR, YEAR
+from bizpanel.checks.sources import STOCK
 from bizpanel.functions import classify, fixed_values as fixed, numbers
 from bizpanel.operators import aggregates as agg
 from bizpanel.operators import filters, hierarchy, joins
@@ -650,22 +651,19 @@ def _(t):
 
 @check(
     "a16_stock_kpis",
-    """SELECT count(*) AS items, count(*) FILTER (WHERE item_type = 'R') AS raw_count,
-         count(*) FILTER (WHERE item_type = 'P') AS pack_count,
-         count(*) FILTER (WHERE coalesce(item_type, '') NOT IN ('R', 'P')) AS others_count,
-         count(*) AS items_without_price,
-         sum(CASE WHEN item_balance > 0 THEN item_balance ELSE 0 END) AS positive_stock,
-         sum(CASE WHEN item_balance < 0 THEN item_balance ELSE 0 END) AS negative_stock,
-         0 AS raw_value, 0 AS pack_value, 0 AS others_value
-       FROM (SELECT a.item_code, b.item_type, sum(a.item_balance) AS item_balance FROM item_balance a
-          LEFT JOIN item_master b ON a.item_id = b.item_id GROUP BY 1, 2
-          HAVING sum(a.item_balance) <> 0 AND coalesce(b.item_type, '') NOT IN ('B', 'S', 'F'))""",
+    f"""SELECT count(*) AS items, sum(CASE item_type WHEN 'R' THEN 1 ELSE 0 END) AS raw_count,
+         sum(CASE item_type WHEN 'P' THEN 1 ELSE 0 END) AS pack_count,
+         sum(CASE WHEN item_type IN ('R', 'P') THEN 0 ELSE 1 END) AS others_count,
+         sum(CASE WHEN last_price = 0 THEN 1 ELSE 0 END) AS items_without_price,
+         sum(greatest(item_balance, 0)) AS positive_stock, sum(least(item_balance, 0)) AS negative_stock,
+         sum(CASE item_type WHEN 'R' THEN item_amount_base ELSE 0 END) AS raw_value,
+         sum(CASE item_type WHEN 'P' THEN item_amount_base ELSE 0 END) AS pack_value,
+         sum(CASE WHEN item_type IN ('R', 'P') THEN 0 ELSE item_amount_base END) AS others_value FROM ({STOCK})""",
     money="positive_stock negative_stock raw_value pack_value others_value",
+    longs="raw_count pack_count others_count items_without_price",
 )
 def _(t):
-    nothing_bought = stock.last_price(t.purchase_header, t.purchase_line).limit(0)
-    items = stock.with_last_price(stock.item_stock(t.item_balance, t.item_master), nothing_bought)
-    return stock.stock_kpis(items)
+    return stock.stock_kpis(stock.stock_valuation(t))
 
 
 SAFETY_KPIS = """SELECT count(*) AS records, sum(safety_stock) AS total_quantity,

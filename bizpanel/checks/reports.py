@@ -18,7 +18,19 @@ from bizpanel.operators.filters import search
 from bizpanel.operators.lineage import ensure_checkpoint_dir
 from bizpanel.operators.period import Period
 from bizpanel.operators.policy import ALLOW, DENY, EMPTY, MASK, Policy
-from bizpanel.plans import cash, control, expenses, hr, ledger, loyalty, purchasing, sales, stock, summary
+from bizpanel.plans import (
+    cash,
+    clients,
+    control,
+    expenses,
+    hr,
+    ledger,
+    loyalty,
+    purchasing,
+    sales,
+    stock,
+    summary,
+)
 from bizpanel.sources import closing, versions
 from bizpanel.sources.tables import Tables, write_table
 
@@ -522,13 +534,13 @@ def _(t):
     return loyalty.quarterly_trend(loyalty.trend(t, WHOLE_YEAR))
 
 
-@check(
-    "p13_distinct_clients_by_quarter",
-    """SELECT CAST(ceil(charging_month / 3.0) AS INT) AS quarter,
-         count(DISTINCT CASE WHEN charging_year = 2000 THEN client_id END) AS cy_active_clients,
-         count(DISTINCT CASE WHEN charging_year = 1999 THEN client_id END) AS py_active_clients
-       FROM charging WHERE charging_year IN (1999, 2000) GROUP BY 1""",
-)
+CLIENTS_OF_QUARTERS = """SELECT CAST(ceil(charging_month / 3.0) AS INT) AS quarter,
+      count(DISTINCT CASE WHEN charging_year = 2000 THEN client_id END) AS cy_active_clients,
+      count(DISTINCT CASE WHEN charging_year = 1999 THEN client_id END) AS py_active_clients
+    FROM charging WHERE charging_year IN (1999, 2000) GROUP BY 1"""
+
+
+@check("p13_distinct_clients_by_quarter", CLIENTS_OF_QUARTERS)
 def _(t):
     return loyalty.distinct_clients_by_quarter(t, YEAR)
 
@@ -1134,7 +1146,8 @@ def _(t):
 @check(
     "r33_kpis_from_list",
     f"""SELECT active_staff, terminations_this_year, joined_this_year,
-          CASE WHEN active_staff > 0 THEN round(CAST(terminations_this_year AS DOUBLE) / active_staff * 100, 1) ELSE 0.0 END AS turnover_rate FROM
+          CASE WHEN active_staff > 0 THEN round(CAST(terminations_this_year AS DOUBLE) / active_staff * 100, 1) ELSE 0.0 END AS turnover_rate,
+          0 AS total_salary, 0 AS leaves_today, 0 AS missions_today FROM
         (SELECT count(*) FILTER (WHERE current_status = 'Working' AND group_code IN ('Worker', 'Normal Employee')) AS active_staff,
            count(*) FILTER (WHERE year(leaving_date) = 2000) AS terminations_this_year,
            count(*) FILTER (WHERE year(joining_date) = 2000) AS joined_this_year FROM ({LISTED}))""",
@@ -1143,6 +1156,23 @@ def _(t):
     return hr.kpis_from_list(hr.employee_list(t, AS_OF), AS_OF)
 
 
+def _facet(name: str, others: str) -> str:
+    return f"""SELECT '{name}' AS facet, {name} AS value, count(*) AS rows, count(*) FILTER (WHERE {others}) AS shown
+        FROM listed WHERE coalesce({name}, '') <> '' GROUP BY {name}"""
+
+
+@check(
+    "f18_employee_facets",
+    f"""WITH listed AS ({LISTED}) {_facet("branch_name", "group_code = 'Worker' AND current_status = 'Working'")}
+        UNION ALL {_facet("department_name", "group_code = 'Worker' AND current_status = 'Working'")}
+        UNION ALL {_facet("current_status", "group_code = 'Worker'")}
+        UNION ALL {_facet("group_code", "current_status = 'Working'")}""",
+)
+def _(t):
+    choices = {"group_code": "Worker", "current_status": "Working", "branch_name": "All"}
+    return hr.employee_facets(hr.employee_list(t, AS_OF), choices=choices)
+
+
 @check(
     "r33_headline_counts",
     f"""SELECT count(*) AS employees, count(*) FILTER (WHERE current_status = 'Working') AS active,
@@ -1405,6 +1435,41 @@ def _(t):
     )
 
 
+def _stored_client_months(t):
+    root = _folder(t)
+    write_table(t.charging.filter("charging_year <> 1999 OR charging_month < 6"), root, "charging")
+    clients.refresh_client_months(t.spark, root)
+    write_table(t.charging.filter("charging_year = 1999"), root, "charging")
+    clients.refresh_client_months(t.spark, root)
+    return Tables.from_parquet(t.spark, root).client_months
+
+
+@check("a8_clients_of_stored_quarters", CLIENTS_OF_QUARTERS)
+def _(t):
+    return clients.active_clients_by_quarter(_stored_client_months(t), YEAR)
+
+
+@check(
+    "a8_clients_of_stored_months",
+    """SELECT count(DISTINCT CASE WHEN charging_year = 2000 THEN client_id END) AS cy_active_clients,
+         count(DISTINCT CASE WHEN charging_year = 1999 THEN client_id END) AS py_active_clients
+       FROM charging WHERE charging_month IN (1, 3)""",
+)
+def _(t):
+    return clients.active_clients(_stored_client_months(t), GAP)
+
+
+@check(
+    "r13_clients_to_date",
+    """SELECT CAST(m AS INT) AS month, count(DISTINCT CASE WHEN charging_year = 2000 THEN client_id END) AS cy_active_clients,
+         count(DISTINCT CASE WHEN charging_year = 1999 THEN client_id END) AS py_active_clients
+       FROM charging JOIN range(1, 13) AS months(m) ON charging_month <= m
+       WHERE charging_year IN (1999, 2000) GROUP BY m""",
+)
+def _(t):
+    return clients.active_clients_to_date(clients.client_months(t.charging), YEAR)
+
+
 @check("r2_cash_of_closed_ledger", CONTROL_CASH, money="opening_balance current_balance difference")
 def _(t):
     root = _folder(t)

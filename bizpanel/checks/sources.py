@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizpanel.checks.registry import check, count
 from bizpanel.checks.settings import AS_OF, GAP, SECOND_QUARTER, WHOLE_YEAR, YEAR
 from bizpanel.operators import period as pd
 from bizpanel.operators.joins import on_month_spine
+from bizpanel.operators.lineage import ensure_checkpoint_dir
 from bizpanel.operators.policy import EMPTY, Policy, Rule
 from bizpanel.plans import ledger, sales, stock
 from bizpanel.sources import profile, requests, sinks
-from bizpanel.sources.tables import Tables
+from bizpanel.sources.tables import Tables, write_table
 
 
 @check(
@@ -160,8 +165,17 @@ def _(t):
     money="balance",
 )
 def _(t):
-    t.journal_line.createOrReplaceTempView("ledger_of_another_database")
-    named = Tables.from_catalog(t.spark, {"journal_line": "ledger_of_another_database"})
+    # a view of another database, by catalog, database and name
+    spark = t.spark
+    spark.sql("CREATE DATABASE IF NOT EXISTS books_of_account")
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/check-{uuid.uuid4().hex}"
+    write_table(t.journal_line, root, "journal_line")
+    spark.sql(
+        "CREATE OR REPLACE VIEW spark_catalog.books_of_account.journal AS "
+        f"SELECT * FROM parquet.`{root}/journal_line`"
+    )
+    named = Tables.from_catalog(spark, {"journal_line": "spark_catalog.books_of_account.journal"})
     return named.journal_line.groupBy("line_currency").agg(
         count().alias("n"), F.sum(ledger.book_balance()).alias("balance")
     )
@@ -468,3 +482,31 @@ def _(t):
 def _(t):
     label = pd.month_label(F.year("invoice_date"), F.month("invoice_date"))
     return t.sales_header.groupBy(label.alias("label")).agg(count().alias("n"))
+
+
+def _labelled(label: str, where: str) -> str:
+    return f"SELECT '{label}' AS label, count(*) AS n FROM sales_header WHERE year(invoice_date) = 2000 AND {where}"
+
+
+@check(
+    "p14_period_names",
+    " UNION ALL ".join(
+        [
+            _labelled("June 2000", "month(invoice_date) = 6"),
+            _labelled("Jan, Mar 2000", "month(invoice_date) IN (1, 3)"),
+            _labelled("Q2 2000", "quarter(invoice_date) = 2"),
+            _labelled("Q1, Q3 2000", "quarter(invoice_date) IN (1, 3)"),
+            _labelled("Year 2000", "1 = 1"),
+        ]
+    ),
+)
+def _(t):
+    periods = [pd.Period.monthly(YEAR, [6]), GAP, SECOND_QUARTER, pd.Period.from_quarters(YEAR, [1, 3]), WHOLE_YEAR]
+    date = F.col("invoice_date")
+    counts = [
+        t.sales_header.filter(pd.in_year(date, YEAR) & period.month_filter(date)).agg(
+            F.lit(period.label).alias("label"), count().alias("n")
+        )
+        for period in periods
+    ]
+    return reduce(DataFrame.union, counts)

@@ -27,7 +27,7 @@ from bizpanel.functions.numbers import (
 )
 from bizpanel.functions.text import photo_url
 from bizpanel.operators.aggregates import count_share, latest_k, on_category_spine
-from bizpanel.operators.filters import facets, search, state_eq, trim_in
+from bizpanel.operators.filters import facet_counts, facets, search, state_eq, trim_in
 from bizpanel.operators.hierarchy import manager_order, org_tree
 from bizpanel.operators.joins import exists_flag, left_dim, lookup, one_row, with_scalar_sum
 from bizpanel.operators.lists import Lists
@@ -70,6 +70,10 @@ PROFILE_COLUMNS = (
 )
 
 
+#: Columns of the dashboard list that it can be narrowed by.
+FACETS = ("branch_name", "department_name", "current_status", "group_code")
+
+
 def is_working(state: Column) -> Column:
     return trim_in(state, [fixed.WORKING_STATE])
 
@@ -169,7 +173,10 @@ def hr_kpis(tables: Tables, today: dt.date) -> DataFrame:
 
 
 def kpis_from_list(employees: DataFrame, today: dt.date) -> DataFrame:
-    """Key figures from the dashboard list alone, when the figures are missing."""
+    """Key figures from the dashboard list alone, when the figures are missing.
+
+    The list tells neither the payroll nor who is away today: these figures are 0.
+    """
     staff = F.col("group_code").isin(*fixed.STAFF_GROUP_LABELS.values())
     active = (F.col("current_status") == fixed.WORKING_STATE) & staff
     counts = employees.agg(
@@ -177,8 +184,10 @@ def kpis_from_list(employees: DataFrame, today: dt.date) -> DataFrame:
         count_if(in_year(F.col("leaving_date"), today.year)).alias("terminations_this_year"),
         count_if(in_year(F.col("joining_date"), today.year)).alias("joined_this_year"),
     )
-    return counts.withColumn(
-        "turnover_rate", share_pct(F.col("terminations_this_year"), F.col("active_staff"))
+    return counts.select(
+        "*",
+        share_pct(F.col("terminations_this_year"), F.col("active_staff")).alias("turnover_rate"),
+        *[F.lit(0).alias(name) for name in ("total_salary", "leaves_today", "missions_today")],
     )
 
 
@@ -323,6 +332,13 @@ def filter_employees(
     return facets(search(employees, query, SEARCH_COLUMNS), choices or {})
 
 
+def employee_facets(
+    employees: DataFrame, query: str = "", choices: Mapping[str, str | None] | None = None
+) -> DataFrame:
+    """The choices of branch, department, status and type, each with the rows it would show."""
+    return facet_counts(search(employees, query, SEARCH_COLUMNS), FACETS, choices)
+
+
 def with_group(employees: DataFrame) -> DataFrame:
     return employees.withColumn("dept_group", dept_group(F.col("department_name")))
 

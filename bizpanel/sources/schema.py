@@ -36,6 +36,7 @@ SCHEMAS = {
         volume decimal(18,5)""",
     "charging": """client_id int, charging_year int, charging_month int,
         card_type string, total_cards int, total_points decimal(18,2)""",
+    "client_months": "charging_year int, charging_month int, bucket bigint, bitmap binary",
     "activation": """activation_year int, activation_month int, card_type string,
         total_cards int, total_points decimal(18,2)""",
     "redemption": """client_id int, redemption_year int, redemption_month int,
@@ -92,6 +93,7 @@ YEAR_PARTITIONS = {
     "purchase_header": ("invoice_year", None),
     "purchase_line": ("inv_year", None),
     "charging": ("charging_year", None),
+    "client_months": ("charging_year", None),
     "activation": ("activation_year", None),
     "redemption": ("redemption_year", None),
 }

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizpanel.functions import classify, fixed_values as fixed, numbers, text
+from bizpanel.operators import filters
 from bizpanel.sources.requests import is_valid_json, json_int
 
 A = B = None
@@ -214,3 +215,19 @@ def test_json_helpers(spark):
     assert apply(spark, rows, "a string", is_valid_json(A)) == valid
     numbers_found = [7, None, None, None, None, None]
     assert apply(spark, rows, "a string", json_int(A, "$.EmployeeID")) == numbers_found
+
+
+def test_blanks_behind_a_code_do_not_count(spark):
+    data = [("12",), ("12 ",), ("12   ",), ("12 3",), ("12!",), ("123",), (" 12",), ("",), ("  ",), (None,)]
+    codes = spark.createDataFrame(data, "code string")
+    code = F.col("code")
+
+    def kept(test):
+        return [r[0] for r in codes.filter(test).collect()]
+
+    assert kept(filters.in_list(code, ["12"])) == ["12", "12 ", "12   "]
+    assert kept(filters.in_list(code, [12, "99", "12 "])) == ["12", "12 ", "12   "]
+    assert kept(filters.not_in_list(code, ["12", ""])) == ["12 3", "12!", "123", " 12"]
+    assert kept(filters.in_list(code, [])) == []
+    assert kept(filters.non_empty(code)) == [c for c, in data[:7]]
+    assert kept(filters.in_list(F.length(code), [2])) == ["12", "  "]

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from bizpanel.operators.filters import facet_counts, facet_values
 from bizpanel.operators.hierarchy import manager_sort, org_tree
 from bizpanel.plans import hr
 
@@ -116,6 +117,29 @@ def test_kpis_from_the_list(staff, only):
     row = only(hr.kpis_from_list(hr.employee_list(staff, TODAY), TODAY))
     assert (row["active_staff"], row["terminations_this_year"], row["joined_this_year"]) == (1, 1, 1)
     assert row["turnover_rate"] == 100.0
+    assert (row["total_salary"], row["leaves_today"], row["missions_today"]) == (0, 0, 0)
+
+
+def test_facets_of_the_list_come_from_one_scan(spark):
+    data = [("a", "x", "1"), ("a", "y", "1"), ("b", "x", "2"), ("b", None, "1"), (None, " ", "2"), ("a", "x", None)]
+    df = spark.createDataFrame(data, "branch string, dept string, kind string")
+    choices = {"branch": "a", "kind": "1", "dept": "All"}
+    found = facet_counts(df, ["branch", "dept", "kind"], choices)
+    assert [tuple(r) for r in found.collect()] == [
+        ("branch", "a", 3, 2),
+        ("branch", "b", 2, 1),
+        ("dept", "x", 3, 1),
+        ("dept", "y", 1, 1),
+        ("kind", "1", 3, 2),
+        ("kind", "2", 2, 0),
+    ]
+    bare = {(r.facet, r.value): (r["rows"], r.shown) for r in facet_counts(df, ["branch", "dept"]).collect()}
+    assert bare == {("branch", "a"): (3, 3), ("branch", "b"): (2, 2), ("dept", "x"): (3, 3), ("dept", "y"): (1, 1)}
+    text = facet_counts(df, ["branch", "dept"], choices)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan") == 1 and "Expand" in text
+    for column in ("branch", "dept"):
+        values = [r[0] for r in facet_values(df, column).collect()]
+        assert values == [v for f, v in bare if f == column]
 
 
 def test_detail_of_one_and_of_all(staff, spark):

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from bizpanel import api
 from bizpanel.operators import maintain
+from bizpanel.operators.bitmaps import distinct_of
 from bizpanel.operators.hierarchy import org_tree
 from bizpanel.operators.numbering import number_rows
 from bizpanel.operators.period import Period
-from bizpanel.plans import cash, control, ledger, sales, stock, summary
+from bizpanel.plans import cash, clients, control, ledger, loyalty, sales, stock, summary
 from bizpanel.sources import changes, closing, versions
 from bizpanel.sources.standin import standin_tables
-from bizpanel.sources.tables import ClosedYear, Tables, write_table
+from bizpanel.sources.tables import ClosedYear, Tables, drop_partition, write_table
 from tests.conftest import SMALL
 
 ITEMS = "id long, item_code string, safety_stock double"
@@ -354,3 +355,49 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     assert tree[300].path == "/".join(str(i) for i in range(1, 301))
     assert len(rounds) <= 11
 
+
+
+# --- clients of stored months ------------------------------------------------
+
+CHARGES = "client_id int, charging_year int, charging_month int"
+
+
+def counted(months, year, chosen):
+    return tuple(clients.active_clients(months, Period.monthly(year, chosen)).first())
+
+
+def test_clients_of_any_months_count_once(spark):
+    # zero, negative and distant ids, a client in every month, repeated rows, a missing id
+    ids = [0, 1, -1, 32768, 32769, -32768, -32769, 2**31 - 1, -(2**31)]
+    data = [(c, year, m) for i, c in enumerate(ids) for year in (1999, 2000) for m in (1 + i % 12, 12 - i % 12, 7)]
+    data = data * 2 + [(None, 2000, 7), (5, 1999, 2), (6, 1998, 2)]
+    charging = spark.createDataFrame(data, CHARGES)
+    months = clients.client_months(charging)
+    for chosen in ((1, 3), (7,), (2,), (4, 5, 6), tuple(range(1, 13))):
+        want = tuple(
+            len({c for c, y, m in data if c is not None and y == year and m in chosen}) for year in (2000, 1999)
+        )
+        assert counted(months, 2000, chosen) == want
+    to_date = {r.month: tuple(r[1:]) for r in clients.active_clients_to_date(months, 2000).collect()}
+    assert to_date[12] == counted(months, 2000, range(1, 13)) and to_date[2] == counted(months, 2000, (1, 2))
+    assert rows(distinct_of(months, ["charging_year"], "n")) == [(1998, 1), (1999, 10), (2000, 9)]
+    assert counted(months.limit(0), 2000, (1,)) == (0, 0)
+
+
+def test_client_months_follow_the_history(spark, root, books):
+    write_table(books.charging, root, "charging")
+    every = clients.refresh_client_months(spark, root)
+    assert {1999, 2000} <= every
+    assert clients.refresh_client_months(spark, root) == set()
+    tables = Tables.from_parquet(spark, root)
+    changed = tables.charging.filter("charging_year = 1999 AND client_id % 2 = 0")
+    write_table(changed, root, "charging")
+    drop_partition(spark, root, "charging", "charging_year", 1998)
+    assert clients.refresh_client_months(spark, root) == {1998, 1999}
+    tables = Tables.from_parquet(spark, root)
+    assert tables.client_months.filter("charging_year = 1998").isEmpty()
+    stored = clients.active_clients_by_quarter(tables.client_months, 2000)
+    assert rows(stored) == rows(loyalty.distinct_clients_by_quarter(tables, 2000))
+    text = plan(clients.active_clients(tables.client_months, Period.monthly(2000, [1, 3])))
+    assert "charging_year" in re.search(r"PartitionFilters: \[([^\]]*)\]", text).group(1)
+    assert "In(charging_month" in text
