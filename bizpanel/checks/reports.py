@@ -1444,6 +1444,14 @@ def _stored_client_months(t):
     return Tables.from_parquet(t.spark, root).client_months
 
 
+@check("r4_purchasing_of_stored_books", PURCHASING_Q2, money=PURCHASING_KPIS)
+def _(t):
+    root = _folder(t)
+    for name in ("purchase_header", "purchase_line", "journal_line"):
+        write_table(t[name], root, name)
+    return purchasing.purchasing_period(Tables.from_parquet(t.spark, root), SECOND_QUARTER)["kpis"]
+
+
 @check("a8_clients_of_stored_quarters", CLIENTS_OF_QUARTERS)
 def _(t):
     return clients.active_clients_by_quarter(_stored_client_months(t), YEAR)

@@ -40,6 +40,20 @@ def header_lines(header: DataFrame, line: DataFrame) -> DataFrame:
     return header.join(line, header["internal_id"] == line["int_id"], "inner")
 
 
+def bounded_by(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key lies between the least and largest key of the other frame; none beyond finds a partner there.
+
+    The bounds are scalar subqueries, known before the scan starts: Parquet row groups outside them are not read, and
+    what is left is what is shuffled. It pays where keys run with time, as invoice ids do, and the other frame holds a few years
+    of a long history; it is right for any keys. Without rows on the other side nothing is left.
+    """
+    keys = other.select(other_key)
+    least = keys.agg(F.min(other_key)).scalar()
+    # not an aggregate too: Spark would merge both into one subquery of two fields, which does not reach the Parquet scan
+    most = keys.orderBy(F.col(other_key).desc_nulls_last()).limit(1).scalar()
+    return df.filter((F.col(key) >= least) & (F.col(key) <= most))
+
+
 def full_merge(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join of two aggregates with coalesced keys.
 

@@ -12,7 +12,7 @@ from bizpanel.functions.classify import payment_badge
 from bizpanel.functions.numbers import or_zero, ratio_pct
 from bizpanel.operators.aggregates import metrics, share_of_max, top_k
 from bizpanel.operators.filters import in_list, prefix
-from bizpanel.operators.joins import left_dim, one_row
+from bizpanel.operators.joins import bounded_by, left_dim, one_row
 from bizpanel.operators.lists import Lists
 from bizpanel.operators.period import Period
 from bizpanel.plans import ledger
@@ -54,22 +54,26 @@ def vendor_ledger(journal: DataFrame, period_rows: Column, balance_rows: Column)
     )
 
 
-def raw_purchasing(header: DataFrame, line: DataFrame, period: Period) -> DataFrame:
+def raw_purchasing(
+    header: DataFrame, line: DataFrame, period: Period, bounded: bool = False
+) -> DataFrame:
     """Raw and packing lines of the line year, at the header's rate and month.
 
+    Their headers may be dated in any year; ``bounded`` reads those only that the lines' ids leave possible.
+
     The rate is one per invoice, so lines are summed per invoice before the join.
     """
-    per_invoice = (
-        line.filter(
-            (F.col("inv_year") == period.year)
-            & in_list(F.col("item_type"), fixed.RAW_AND_PACKING_TYPES)
-        )
-        .groupBy(F.col("int_id").alias("internal_id"))
-        .agg(F.sum(F.col("line_amount") - F.col("line_discount")).alias("amount"))
+    bought = line.filter(
+        (F.col("inv_year") == period.year)
+        & in_list(F.col("item_type"), fixed.RAW_AND_PACKING_TYPES)
     )
-    dated = header.filter(period.month_filter(F.col("invoice_date"))).select(
-        "internal_id", "invoice_exchange_rate"
+    per_invoice = bought.groupBy(F.col("int_id").alias("internal_id")).agg(
+        F.sum(F.col("line_amount") - F.col("line_discount")).alias("amount")
     )
+    dated = header.filter(period.month_filter(F.col("invoice_date")))
+    if bounded:
+        dated = bounded_by(dated, "internal_id", bought, "int_id")
+    dated = dated.select("internal_id", "invoice_exchange_rate")
     return per_invoice.join(dated, "internal_id").agg(
         F.sum(F.col("amount") * F.col("invoice_exchange_rate")).alias("raw_purchasing")
     )
@@ -123,7 +127,7 @@ def purchasing_kpis(tables: Tables, period: Period) -> DataFrame:
     in_dates = period.date_filter(F.col("journal_date"))
     return one_row(
         header_totals(tables.purchase_header, period),
-        raw_purchasing(tables.purchase_header, tables.purchase_line, period),
+        raw_purchasing(tables.purchase_header, tables.purchase_line, period, tables.stored),
         vendor_ledger(tables.journal_line, in_dates, F.lit(True)),
     ).withColumns(
         {

@@ -26,7 +26,7 @@ from bizpanel.functions.numbers import (
     sum_where,
 )
 from bizpanel.operators.aggregates import metrics, top_k
-from bizpanel.operators.joins import left_dim, one_row, semi
+from bizpanel.operators.joins import bounded_by, left_dim, one_row, semi
 from bizpanel.operators.lineage import cut
 from bizpanel.operators.period import Period, in_years, prune_years, ytd, ytd_prior
 from bizpanel.plans import ledger
@@ -109,16 +109,20 @@ def customer_ledger(journal: DataFrame, in_period: Column, balance_rows: Column)
     )
 
 
+def _two_years_of_lines(tables: Tables, period: Period) -> DataFrame:
+    first, last = period.year - 1, period.year
+    return prune_years(tables.sales_line, "line_year", first, last).filter(
+        in_years(F.col("invoice_date"), first, last)
+    )
+
+
 def line_measures(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     """Weight and volume per invoice in each window.
 
     Lines are summed per invoice before they meet their headers: an invoice with very
     many lines reaches the join as one row, and the join reuses the shuffle.
     """
-    first, last = period.year - 1, period.year
-    lines = prune_years(tables.sales_line, "line_year", first, last).filter(
-        in_years(F.col("invoice_date"), first, last)
-    )
+    lines = _two_years_of_lines(tables, period)
     items = tables.item_master.select("item_id", "volume")
     windows = date_windows(F.col("invoice_date"), period, as_of)
     measures = {"weight": "line_weight", "volume": "invoiced_quantity * volume"}
@@ -137,7 +141,11 @@ def line_measures(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
 
 def line_metrics(tables: Tables, period: Period, as_of: dt.date) -> DataFrame:
     """Weights per window and channel, and color-center volumes, as one row."""
-    header = tables.sales_header.select(
+    header = tables.sales_header
+    if tables.stored:
+        # headers of any year may belong to these lines, but only those within their ids
+        header = bounded_by(header, "internal_id", _two_years_of_lines(tables, period), "int_id")
+    header = header.select(
         F.col("internal_id").alias("int_id"), "sales_person_number", "customer_number"
     )
     quantities = [f"{m}_{w}" for m in ("weight", "volume") for w in WINDOWS]

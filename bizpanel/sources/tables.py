@@ -21,9 +21,15 @@ class Tables:
     """The business tables by name, each read when first used."""
 
     def __init__(
-        self, spark: SparkSession, loaders: Mapping[str, Loader], closed_before: int | None = None
+        self,
+        spark: SparkSession,
+        loaders: Mapping[str, Loader],
+        closed_before: int | None = None,
+        stored: bool = False,
     ):
         self.spark = spark
+        #: Whether tables are read from their own files, so that a narrower read of a long history is a cheaper one.
+        self.stored = stored
         #: The year before which the ledger holds balances only; None if it holds all lines.
         self.closed_before = closed_before
         self._loaders = dict(loaders)
@@ -57,7 +63,7 @@ class Tables:
     def replace(self, **frames: DataFrame) -> Tables:
         """Same tables with some of them swapped, such as a compacted ledger."""
         loaders = {**self._loaders, **{n: (lambda f=f: f) for n, f in frames.items()}}
-        return Tables(self.spark, loaders, self.closed_before)
+        return Tables(self.spark, loaders, self.closed_before, self.stored)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, closed: bool = True) -> Tables:
@@ -73,7 +79,7 @@ class Tables:
         before = closing.closed_before(spark, root) if closed else None
         if before is not None:
             loaders[closing.LEDGER] = lambda: closing.read_ledger(spark, root)
-        return cls(spark, loaders, before)
+        return cls(spark, loaders, before, stored=True)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> Tables:

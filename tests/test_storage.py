@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pytest
@@ -11,9 +12,10 @@ from bizpanel import api
 from bizpanel.operators import maintain
 from bizpanel.operators.bitmaps import distinct_of
 from bizpanel.operators.hierarchy import org_tree
+from bizpanel.operators.joins import bounded_by
 from bizpanel.operators.numbering import number_rows
 from bizpanel.operators.period import Period
-from bizpanel.plans import cash, clients, control, ledger, loyalty, sales, stock, summary
+from bizpanel.plans import cash, clients, control, ledger, loyalty, purchasing, sales, stock, summary
 from bizpanel.sources import changes, closing, versions
 from bizpanel.sources.standin import standin_tables
 from bizpanel.sources.tables import ClosedYear, Tables, drop_partition, write_table
@@ -302,8 +304,6 @@ def test_signatures_read_no_columns(spark, stored):
 
 
 def test_channels_read_two_years_of_headers(spark, stored):
-    import datetime as dt
-
     tables = Tables.from_parquet(spark, stored)
     df = sales.sales_channels(tables.sales_header, Period.yearly(1997), dt.date(1997, 6, 1))
     assert "header_year" in re.search(r"PartitionFilters: \[([^\]]*)\]", plan(df)).group(1)
@@ -401,3 +401,52 @@ def test_client_months_follow_the_history(spark, root, books):
     text = plan(clients.active_clients(tables.client_months, Period.monthly(2000, [1, 3])))
     assert "charging_year" in re.search(r"PartitionFilters: \[([^\]]*)\]", text).group(1)
     assert "In(charging_month" in text
+
+
+# --- headers bounded by the ids of the lines ---------------------------------
+
+
+def scanned(df) -> list[int]:
+    """Rows that each scan of the executed plan gave."""
+    df.collect()
+    found = []
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            found.append(node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_headers_beyond_the_lines_are_not_read(spark, root):
+    """Of 100,000 headers in many row groups, those that lines of one year can belong to."""
+    header = spark.range(100_000).select(F.col("id").alias("internal_id"), (F.col("id") % 7).alias("rate"))
+    header.coalesce(1).write.option("parquet.block.size", 16_384).option("parquet.page.size", 4_096).parquet(f"{root}/h")
+    line = spark.createDataFrame([(50_000, 1), (50_010, 2), (50_003, 5), (50_003, 6), (None, 1)], "int_id long, n int")
+    left = bounded_by(spark.read.parquet(f"{root}/h"), "internal_id", line, "int_id")
+    assert [r[0] for r in left.orderBy("internal_id").select("internal_id").collect()] == list(range(50_000, 50_011))
+    assert max(scanned(left)) < 2_000
+    assert bounded_by(spark.read.parquet(f"{root}/h"), "internal_id", line.limit(0), "int_id").count() == 0
+
+
+def test_bounded_reports_equal_unbounded_ones(spark, stored, root, books):
+    day, period = dt.date(1997, 3, 5), Period.monthly(1997, [2, 3])
+    tables = Tables.from_parquet(spark, stored)
+    weights = sales.line_metrics(tables, period, day)
+    text = plan(weights)
+    assert len(re.findall(r"internal_id#\d+L? [<>]= Subquery", text)) >= 2
+    assert rows(weights) == rows(sales.line_metrics(books, period, day))
+    for name in ("purchase_header", "purchase_line"):
+        write_table(books[name], root, name)
+    bought = Tables.from_parquet(spark, root)
+    raw = purchasing.raw_purchasing(bought.purchase_header, bought.purchase_line, period, bounded=True)
+    assert rows(raw) == rows(purchasing.raw_purchasing(books.purchase_header, books.purchase_line, period))
