@@ -164,25 +164,24 @@ def score_quality(
     return rows.mapInArrow(_scorer(model, [id_column, "text"]), schema)
 
 
+def _selector(model: OrdinalModel, text_column: str, grade: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        wanted = table != 0
+        for chunk in text_chunks(batches, text_column):
+            found = extract(chunk.column(text_column), wanted=wanted)
+            score = np.bincount(found.row, table[found.feature], chunk.num_rows)
+            passes = sigmoid(score - model.thresholds[grade - 1]) >= least
+            yield chunk.filter(pa.array(passes))
+
+    return run
+
+
 def select_rows(
     documents: DataFrame, model: OrdinalModel, text_column: str = "text", grade: int = 1, least: float = 0.5
 ) -> DataFrame:
     """The rows, with all their columns, whose probability of at least this grade is high enough."""
-
-    @F.pandas_udf("boolean")
-    def passes(text):
-        import pandas as pd
-
-        table = model.table()
-        wanted, out = table != 0, []
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        for chunk in text_chunks(iter([batch]), "text"):
-            found = extract(chunk.column("text"), wanted=wanted)
-            score = np.bincount(found.row, table[found.feature], chunk.num_rows)
-            out.append(sigmoid(score - model.thresholds[grade - 1]) >= least)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
-
-    return documents.where(passes(F.col(text_column)))
+    return documents.mapInArrow(_selector(model, text_column, grade, least), documents.schema)
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
