@@ -36,6 +36,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,10 @@ def _scan(size: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for chunk in text_chunks(batches, "text"):
             values, first = shingle_sets(chunk.column("text"), size)
-            np.add.at(sketch, (values >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            np.add.at(sketch, (values >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             digests = [
                 hashlib.blake2b(values[a:b], digest_size=16).digest() if b > a else None
                 for a, b in zip(first[:-1], first[1:])
@@ -115,7 +116,7 @@ def _scan(size: int):
                 schema=schema,
             )
         if sketch.any():
-            last = [pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.astype("<u4").tobytes(), 1)], pa.binary())]
+            last = [pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.astype("<u4", copy=False), 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(last, schema=schema)
 
     return run
@@ -166,11 +167,16 @@ class _Layout:
         """What the sketch says of each column's documents, at least."""
         return self.sketch[(values >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
 
-    def ranks(self, values: np.ndarray) -> np.ndarray:
-        """0 for columns whose counter is as full as most, and more for frequent ones, up to 255."""
+    @cached_property
+    def counter_ranks(self) -> np.ndarray:
+        """The rank of each counter's columns, up to 255."""
         typical = max(float(np.median(self.sketch)), 1.0)
-        over = (self.counts(values) - typical) / math.sqrt(typical)
-        return np.where(over < FREQUENT, 0, 1 + np.round(4 * np.log2(np.maximum(over, 1)))).astype(np.int64)
+        over = (self.sketch - typical) / math.sqrt(typical)
+        return np.where(over < FREQUENT, 0, 1 + np.round(4 * np.log2(np.maximum(over, 1)))).astype(np.uint8)
+
+    def ranks(self, values: np.ndarray) -> np.ndarray:
+        """0 for columns whose counter is as full as most, and more for frequent ones."""
+        return self.counter_ranks[(values >> U64(64 - SKETCH_BITS)).astype(np.int64)]
 
     def demanded(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The least overlap of similar sets of these sizes."""
@@ -188,7 +194,7 @@ def _prefixes(values: np.ndarray, first: np.ndarray, layout: _Layout):
     order = np.lexsort((values, row * 256 + layout.ranks(values)))
     place = np.arange(len(values)) - first[row]
     keep = place < (n - -(-layout.percent * n // 100) + 1)[row]
-    return values[order][keep], row[keep], place[keep]
+    return values[order[keep]], row[keep], place[keep]
 
 
 def _send(layout: _Layout):
@@ -203,6 +209,7 @@ def _send(layout: _Layout):
                 parts.append(values)
                 firsts.append(first[1:] + firsts[-1][-1])
             values, first = np.concatenate(parts), np.concatenate(firsts)
+            parts.clear()
             ids = chunk.column("id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
@@ -214,6 +221,7 @@ def _send(layout: _Layout):
                 seen = set()
             n = np.diff(first)
             value, row, place = _prefixes(values, first, layout)
+            del values
             sent = known[row]
             value, row, place = value[sent], row[sent], place[sent]
             bucket = ((value >> U64(32)) * U64(layout.buckets) >> U64(32)).astype(np.int64)
@@ -405,6 +413,7 @@ def similar_links(
     sent = total * (100 - percent) // 100
     bits = min(64, max(SKETCH_BITS + 6, math.ceil(math.log2(max(sent, 2))) + 7))
     layout = _Layout(size, percent, max(least, sent // BLOCK_ENTRIES), bits, hot, _sum_sketches(scan))
+    layout.counter_ranks  # once here, not once in each task
     entries = rows.mapInArrow(_send(layout), _ENTRIES)
     members = store(entries.groupBy("bucket").applyInArrow(_block(layout), _MEMBERS))
     salted = members.where(F.col("hot") & F.col("hub").isNull())
