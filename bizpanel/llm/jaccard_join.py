@@ -13,8 +13,10 @@ that only this part of the incidence is dealt to blocks of columns. In a block:
 Each document first takes the hub that most of its columns name. For such a pair the shared columns of both
 first parts are counted; what their rests could add at most discards pairs below the size-derived bound.
 The others are counted exactly, in blocks of whole rows; what is linked so becomes components. Then the
-other hubs' pairs between different components follow, and last the columns that still hold several
-components, joined with themselves across components. That join gives a pair once for each run of columns that both
+other hubs' pairs between different components follow. In further rounds each component of a column sends one
+document, dealt anew by column and round, against one of the column's largest component, so that a document
+that only few of a group resemble soon meets one of them. A round that links hardly any pair ends them. Last come the
+columns that still hold several components, joined with themselves across components. That join gives a pair once for each run of columns that both
 rows share: where the column before is shared too, the pair comes from there. So no link is lost and no
 group's pairs are all made: pairs inside one component need no count. Columns that the sketch calls hot are
 salted over several blocks and their cuts' first documents are paired with each other.
@@ -59,6 +61,10 @@ FREQUENT = 3.0
 BLOCK_ENTRIES = 1 << 20
 #: Places in a cut, evenly spread, of which each column chooses one for its hub.
 HUBS = 8
+#: Rounds of representatives, at most, and the share of a round's pairs that must be links for another round to
+#: follow. What the rounds leave apart the last join decides.
+ROUNDS = 8
+WORTH = 0.02
 #: Documents of a column from which it is salted.
 HOT_DOCUMENTS = 50_000
 #: Text of a chunk that sends its entries together.
@@ -391,6 +397,38 @@ def _links(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     return store(whole.mapInArrow(_count_overlaps(percent), "a long, b long").distinct())
 
 
+def _representatives(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, n, b, m): of each component of a column one row, with one of the column's largest component.
+
+    Both are dealt by hash of the column and the turn. Columns whose components are single rows give none,
+    and neither do rows of sizes or places that cannot be similar.
+    """
+    dealt = F.xxhash64("id", "col", F.lit(turn)).alias("dealt")
+    parts = labelled.groupBy("col", "component").agg(
+        F.count("*").alias("k"), F.min(F.struct(dealt, "id", "n", "place")).alias("x")
+    )
+    parts = store(parts)
+    largest = parts.groupBy("col").agg(F.max(F.struct("k", "component", F.col("x").alias("y"))).alias("top"), F.count("*").alias("c"))
+    largest = largest.where("c > 1 AND top.k > 1").select("col", "top.component", "top.y").toDF("col", "other", "y")
+    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (
+        parts.join(largest, "col")
+        .where(F.col("component") != F.col("other"))
+        .where((100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n")))
+        .select(F.col("x.id").alias("a"), F.col("x.n"), F.col("y.id").alias("b"), F.col("y.n").alias("m"))
+        .distinct()
+    )
+
+
+def _relabel(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """The stored rows of columns under the components that the links make of theirs."""
+    of = labelled.select("id", "component").distinct()
+    ends = links.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
+    up = store(components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    moved = labelled.join(small(up.toDF("component", "top"), 16), "component", "left")
+    return store(moved.select("col", "id", "n", "place", F.coalesce("top", "component").alias("component")))
+
+
 def similar_links(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -443,7 +481,16 @@ def similar_links(
     labelled = open_columns.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    labelled = store(labelled)
+    labelled = store(labelled.select("col", "id", "n", "place", "component"))
+    for turn in range(ROUNDS):
+        met = store(_representatives(labelled, turn, percent))
+        links = _links(_promising(met, members, percent), rows, size, percent)
+        known = links.count()
+        if known:
+            linked = linked.union(links)
+            labelled = _relabel(labelled, links)
+        if known <= WORTH * met.count():
+            break
     mixed = (
         labelled.groupBy("col")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))

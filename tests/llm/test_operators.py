@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import duckdb
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bizpanel.llm import queries, sql
+from bizpanel.llm import jaccard_join, queries, sql
 from bizpanel.llm.bpe import encode_documents
 from bizpanel.llm.components import components
 from bizpanel.llm.decontamination import (
@@ -341,6 +342,35 @@ def test_jaccard_join(spark, odd_documents):
         assert got == components_by_force(rows)
 
 
+def test_jaccard_join_many_near_copies(spark, monkeypatch):
+    """A large group of near copies, many of which are similar to few others only: pairs grow with the rows."""
+    words, dice = [f"w{k}" for k in range(60)], random.Random(5)
+    rows = []
+    for i in range(1000):
+        own = list(words)
+        for place in dice.sample(range(60), dice.choice((1, 1, 2))):
+            own[place] = f"x{i}x{place}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"y{i}x{k}" for k in range(60))) for i in range(1000)]
+    sets = [{tuple(t.split()[s : s + 5]) for s in range(56)} for _, t in rows[:1000]]
+    columns = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    incidence = np.zeros((len(sets), len(columns)), np.float32)
+    for k, own in enumerate(sets):
+        incidence[k, [columns[g] for g in own]] = 1
+    shared = incidence @ incidence.T
+    links = 100 * shared >= 75 * (112 - shared)
+    lead = np.arange(len(sets))
+    while (lower := np.where(links, lead, len(lead)).min(axis=1)).tolist() != lead.tolist():
+        lead = lower
+    counted = []
+    plain = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *rest: counted.append(pairs.count()) or plain(pairs, *rest))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_components(frame).collect()}
+    assert got == {i: int(lead[i]) if i < 1000 else i for i, _ in rows}
+    assert sum(counted) < 40 * len(rows), counted
+
+
 def test_jaccard_join_null_id_before_its_copy(spark):
     words = [f"a{k}" for k in range(60)]
     text, near = " ".join(words), " ".join([*words[:-1], "b"])
