@@ -692,16 +692,20 @@ def _(t):
     return agg.footer_totals(rows, ["total_requests", "total_points", "total_amount"])
 
 
-LEADERS = """SELECT x.customer_no AS customer_number, coalesce(max(x.customer_name), 'Unknown Customer') AS customer_name,
-      sum(CASE WHEN summary_year = 2000 AND summary_month <= 6 THEN total_amount ELSE 0 END) AS amount_ytd,
-      sum(CASE WHEN summary_year = 1999 AND summary_month <= 6 THEN total_amount ELSE 0 END) AS amount_ytd_prior,
-      sum(CASE WHEN summary_year = 2000 AND summary_month <= 6 THEN total_weight ELSE 0 END) AS weight_ytd,
-      sum(CASE WHEN summary_year = 1999 AND summary_month <= 6 THEN total_weight ELSE 0 END) AS weight_ytd_prior,
-      sum(CASE WHEN summary_year = 2000 AND summary_month <= 6 THEN total_volume ELSE 0 END) AS volume_ytd,
-      sum(CASE WHEN summary_year = 1999 AND summary_month <= 6 THEN total_volume ELSE 0 END) AS volume_ytd_prior
-    FROM customer_monthly_summary x LEFT JOIN customer_master b ON x.customer_no = b.customer_no
-    WHERE (summary_year = 2000 OR summary_year = 1999) AND b.customer_sales_person LIKE '1%' AND b.customer_no NOT LIKE '6%'
-    GROUP BY x.customer_no ORDER BY amount_ytd DESC, customer_number LIMIT 25"""
+def leaders(who: str) -> str:
+    """The 25 customers of a kind with the highest amounts from January to June 2000, beside 1999."""
+    sums = ", ".join(
+        f"coalesce(sum(total_{what}) FILTER (summary_year = {year} AND summary_month <= 6), 0) AS {what}_ytd{suffix}"
+        for what in ("amount", "weight", "volume")
+        for year, suffix in ((2000, ""), (1999, "_prior"))
+    )
+    return f"""SELECT customer_no AS customer_number, coalesce(max(customer_name), 'Unknown Customer') AS customer_name, {sums}
+      FROM customer_monthly_summary
+      WHERE summary_year IN (1999, 2000) AND customer_no IN (SELECT customer_no FROM customer_master WHERE {who})
+      GROUP BY customer_no ORDER BY amount_ytd DESC, customer_number LIMIT 25"""
+
+
+LEADERS = leaders("starts_with(customer_sales_person, '1') AND NOT starts_with(customer_no, '6')")
 
 
 @check(

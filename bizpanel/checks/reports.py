@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bizpanel.checks.registry import CHECKS, check
-from bizpanel.checks.relational import DETAIL, EVALUATIONS, LEADERS, SAFETY_KPIS
+from bizpanel.checks.relational import DETAIL, EVALUATIONS, LEADERS, SAFETY_KPIS, leaders
 from bizpanel.checks.scalars import BANK_CURRENCY
 from bizpanel.checks.settings import AS_OF, CUSTOMER_TYPE, GAP, SECOND_QUARTER, WHOLE_YEAR, YEAR
 from bizpanel.checks.sources import STOCK
@@ -270,19 +270,18 @@ OPENING, IN_RANGE, UNTIL_END = (
 )
 
 
-def _summary_sql(until: str) -> str:
-    def side(where: str, native: str, book: str) -> str:
-        return f"""(SELECT left(account, 3) AS account_group, line_currency, sum({NATIVE}) AS {native},
-            sum(debit_book - credit_book) AS {book} FROM journal_line WHERE {CASH_ROWS} AND {where} GROUP BY 1, 2)"""
+GROUP_NAMES = "coalesce(MAP {{'126': 'Treasury', '127': 'Bank'}}[{}], 'Other')"
+
 
-    return f"""SELECT coalesce(c.account_group, o.account_group) AS account_group,
-        CASE coalesce(c.account_group, o.account_group) WHEN '126' THEN 'Treasury' WHEN '127' THEN 'Bank' ELSE 'Other' END AS group_name,
-        coalesce(c.line_currency, o.line_currency) AS line_currency, coalesce(c.balance, 0) AS balance,
-        coalesce(o.opening_balance, 0) AS opening_balance, coalesce(c.balance_book, 0) AS balance_book,
-        coalesce(o.opening_balance_book, 0) AS opening_balance_book
-      FROM {side(until, "balance", "balance_book")} c
-      FULL JOIN {side(OPENING, "opening_balance", "opening_balance_book")} o
-        ON c.account_group = o.account_group AND c.line_currency = o.line_currency"""
+def _summary_sql(until: str) -> str:
+    """Each cash line counts once for each of the two dates it lies before; an unknown currency keeps them apart."""
+    return f"""SELECT account_group, {GROUP_NAMES.format("account_group")} AS group_name, line_currency,
+        coalesce(sum(native) FILTER (side = 'now'), 0) AS balance, coalesce(sum(native) FILTER (side = 'then'), 0) AS opening_balance,
+        coalesce(sum(book) FILTER (side = 'now'), 0) AS balance_book, coalesce(sum(book) FILTER (side = 'then'), 0) AS opening_balance_book
+      FROM (SELECT left(account, 3) AS account_group, line_currency, {NATIVE} AS native, debit_book - credit_book AS book,
+              journal_date, unnest(['now', 'then']) AS side FROM journal_line WHERE {CASH_ROWS})
+      WHERE CASE side WHEN 'now' THEN {until} ELSE {OPENING} END
+      GROUP BY account_group, line_currency, CASE WHEN line_currency IS NULL THEN side END"""
 
 
 SUMMARY_MONEY = "balance opening_balance balance_book opening_balance_book"
@@ -293,18 +292,23 @@ def _(t):
     return cash.cash_period(t, GAP)["summary"]
 
 
-def _accounts_sql(on: str) -> str:
-    return f"""SELECT m.account, m.account_description, left(m.account, 3) AS account_group,
-        CASE left(m.account, 3) WHEN '126' THEN 'Treasury' WHEN '127' THEN 'Bank' ELSE 'Other' END AS group_name,
-        m.line_currency, coalesce(o.opening, 0) AS opening_balance, m.total_debit, m.total_credit, m.movement,
-        coalesce(o.opening, 0) + m.movement AS closing_balance,
-        CASE WHEN m.total_credit > m.total_debit THEN 'Inflow' WHEN m.total_debit > m.total_credit THEN 'Outflow' ELSE 'Neutral' END AS cash_state
-      FROM (SELECT a.account, b.account_description, a.line_currency, sum({NATIVE_DEBIT}) AS total_debit,
-              sum({NATIVE_CREDIT}) AS total_credit, sum({NATIVE}) AS movement
-            FROM journal_line a LEFT JOIN accounts_master b ON a.account = b.account_number
-            WHERE {CASH_ROWS} AND journal_date >= DATE '2000-03-01' AND journal_date <= DATE '2000-03-31' GROUP BY 1, 2, 3) m
-      LEFT JOIN (SELECT account, line_currency, sum({NATIVE}) AS opening FROM journal_line
-            WHERE {CASH_ROWS} AND journal_date < DATE '2000-03-01' GROUP BY 1, 2) o ON {on}"""
+STATE = "CASE sign(total_credit - total_debit) WHEN 1 THEN 'Inflow' WHEN -1 THEN 'Outflow' ELSE 'Neutral' END"
+
+
+def _accounts_sql(openings: str) -> str:
+    """Accounts with lines in March 2000. ``openings``: the list of openings that a row p of the totals stands beside."""
+    return f"""WITH totals AS (SELECT account, line_currency, sum({NATIVE}) FILTER (NOT in_march) AS opening,
+          bool_or(NOT in_march) AS opened, bool_or(in_march) AS moved, sum({NATIVE_DEBIT}) FILTER (in_march) AS total_debit,
+          sum({NATIVE_CREDIT}) FILTER (in_march) AS total_credit, sum({NATIVE}) FILTER (in_march) AS movement
+        FROM (SELECT *, journal_date >= DATE '2000-03-01' AS in_march FROM journal_line
+              WHERE {CASH_ROWS} AND journal_date <= DATE '2000-03-31')
+        GROUP BY account, line_currency),
+      opened AS (SELECT account, list(opening) AS all_openings FROM totals WHERE opened GROUP BY account),
+      rows AS (SELECT p.*, unnest({openings}) AS beside FROM totals p LEFT JOIN opened USING (account) WHERE moved)
+      SELECT account, (SELECT any_value(account_description) FROM accounts_master WHERE account_number = account) AS account_description,
+        left(account, 3) AS account_group, {GROUP_NAMES.format("left(account, 3)")} AS group_name, line_currency,
+        coalesce(beside, 0) AS opening_balance, total_debit, total_credit, movement,
+        coalesce(beside, 0) + movement AS closing_balance, {STATE} AS cash_state FROM rows"""
 
 
 ACCOUNT_MONEY = "opening_balance total_debit total_credit movement closing_balance"
@@ -313,7 +317,7 @@ MARCH = Period.monthly(YEAR, [3])
 
 @check(
     "r7_cash_accounts",
-    _accounts_sql("m.account = o.account AND m.line_currency = o.line_currency"),
+    _accounts_sql("[CASE WHEN p.line_currency IS NOT NULL THEN p.opening END]"),
     money=ACCOUNT_MONEY,
 )
 def _(t):
@@ -322,7 +326,7 @@ def _(t):
 
 @check(
     "j6_cash_accounts_strict_parity",
-    _accounts_sql("m.account = o.account AND m.line_currency = m.line_currency"),
+    _accounts_sql("CASE WHEN p.line_currency IS NULL OR all_openings IS NULL THEN [NULL] ELSE all_openings END"),
     money=ACCOUNT_MONEY,
 )
 def _(t):
@@ -330,19 +334,16 @@ def _(t):
 
 
 def _banks_sql(opening: str, in_range: str) -> str:
-    rows = "account LIKE '127%' AND bank <> ''"
-    return f"""SELECT bl.bank, bl.bank_account_name, bl.line_currency, coalesce(o.opening, 0) AS opening_balance,
-        coalesce(m.debit, 0) AS total_debit, coalesce(m.credit, 0) AS total_credit, coalesce(m.balance, 0) AS movement,
-        coalesce(o.opening, 0) + coalesce(m.balance, 0) AS closing_balance,
-        CASE WHEN coalesce(m.credit, 0) > coalesce(m.debit, 0) THEN 'Inflow'
-          WHEN coalesce(m.debit, 0) > coalesce(m.credit, 0) THEN 'Outflow' ELSE 'Neutral' END AS cash_state
-      FROM (SELECT DISTINCT a.bank, b.bank_account_name, a.line_currency FROM journal_line a
-            LEFT JOIN bank_accounts_master b ON a.bank = b.bank_account_number WHERE {rows}) bl
-      LEFT JOIN (SELECT bank, line_currency, sum({NATIVE}) AS opening FROM journal_line WHERE {rows} AND {opening} GROUP BY 1, 2) o
-        ON bl.bank = o.bank AND bl.line_currency = o.line_currency
-      LEFT JOIN (SELECT bank, line_currency, sum({NATIVE_DEBIT}) AS debit, sum({NATIVE_CREDIT}) AS credit, sum({NATIVE}) AS balance
-            FROM journal_line WHERE {rows} AND {in_range} GROUP BY 1, 2) m
-        ON bl.bank = m.bank AND bl.line_currency = m.line_currency"""
+    """Every bank and currency of the ledger; figures of an unknown currency stay 0."""
+    def total(what: str, when: str) -> str:
+        return f"coalesce(sum(CASE WHEN line_currency IS NOT NULL THEN {what} END) FILTER ({when}), 0)"
+
+    return f"""SELECT bank, bank_account_name, line_currency, opening_balance, total_debit, total_credit, movement,
+        opening_balance + movement AS closing_balance, {STATE} AS cash_state
+      FROM (SELECT bank, line_currency, {total(NATIVE, opening)} AS opening_balance, {total(NATIVE_DEBIT, in_range)} AS total_debit,
+              {total(NATIVE_CREDIT, in_range)} AS total_credit, {total(NATIVE, in_range)} AS movement
+            FROM journal_line WHERE starts_with(account, '127') AND bank <> '' GROUP BY ALL)
+      LEFT JOIN bank_accounts_master ON bank_account_number = bank"""
 
 
 BANKS = _banks_sql(OPENING, IN_RANGE)
@@ -392,11 +393,7 @@ LEADER_MONEY = "amount_ytd amount_ytd_prior weight_ytd weight_ytd_prior volume_y
 
 @check(
     "r9_customer_breakdown_other",
-    LEADERS.replace(
-        "b.customer_sales_person LIKE '1%'",
-        "b.customer_sales_person NOT LIKE '1%' AND b.customer_sales_person NOT LIKE '2%' "
-        "AND b.customer_sales_person NOT LIKE '3%'",
-    ),
+    leaders("left(customer_sales_person, 1) NOT IN ('1', '2', '3') AND NOT starts_with(customer_no, '6')"),
     money=LEADER_MONEY,
 )
 def _(t):
@@ -405,9 +402,7 @@ def _(t):
 
 @check(
     "r9_customer_breakdown_export",
-    LEADERS.replace(
-        "b.customer_sales_person LIKE '1%' AND b.customer_no NOT LIKE '6%'", "b.customer_no LIKE '6%'"
-    ),
+    leaders("starts_with(customer_no, '6')"),
     money=LEADER_MONEY,
 )
 def _(t):
@@ -580,15 +575,14 @@ CLIENT_LIST = """SELECT client_id FROM charging WHERE charging_year = 2000 AND c
 
 @check(
     "r16_client_leaderboard",
-    f"""SELECT cl.client_id, coalesce(m.name, 'Client #' || cl.client_id) AS client_name,
-          coalesce(chg.points, 0) AS total_charged_points, coalesce(chg.cards, 0) AS total_charged_cards,
-          coalesce(red.points, 0) AS total_redeemed_points, coalesce(red.n, 0) AS total_redeem_requests
-        FROM ({CLIENT_LIST}) cl LEFT JOIN client_master m ON m.glcid = cl.client_id
-        LEFT JOIN (SELECT client_id, sum(total_points) AS points, sum(total_cards) AS cards FROM charging
-          WHERE charging_year = 2000 AND charging_month IN (4, 5, 6) GROUP BY 1) chg ON cl.client_id = chg.client_id
-        LEFT JOIN (SELECT client_id, sum(gift_point) AS points, count(*) AS n FROM redemption
-          WHERE redemption_year = 2000 AND redemption_month IN (4, 5, 6) GROUP BY 1) red ON cl.client_id = red.client_id
-        ORDER BY total_charged_points DESC, cl.client_id, client_name LIMIT 25""",
+    """WITH acts AS (SELECT client_id, charging_year AS y, charging_month AS m, coalesce(total_points, 0) AS charged,
+            coalesce(total_cards, 0) AS cards, 0 AS redeemed, 0 AS requests FROM charging
+          UNION ALL SELECT client_id, redemption_year, redemption_month, 0, 0, coalesce(gift_point, 0), 1 FROM redemption),
+        active AS (SELECT client_id, sum(charged) AS total_charged_points, sum(cards) AS total_charged_cards,
+            sum(redeemed) AS total_redeemed_points, sum(requests) AS total_redeem_requests
+          FROM acts WHERE y = 2000 AND m BETWEEN 4 AND 6 GROUP BY client_id)
+        SELECT active.*, coalesce(name, 'Client #' || client_id) AS client_name FROM active LEFT JOIN client_master ON glcid = client_id
+        ORDER BY total_charged_points DESC, client_id, client_name LIMIT 25""",
     money="total_charged_points total_redeemed_points",
     longs="total_charged_cards total_redeem_requests",
 )
@@ -596,11 +590,10 @@ def _(t):
     return loyalty.clients(t, SECOND_QUARTER)
 
 
-GOVERNORATES = f"""SELECT coalesce(gov.name, 'Other') AS governorate, count(DISTINCT cl.client_id) AS total_clients,
-      sum(CASE WHEN m.is_painter = 1 THEN 1 ELSE 0 END) AS total_painters,
-      sum(CASE WHEN m.is_painter = 0 THEN 1 ELSE 0 END) AS total_non_painters
-    FROM ({CLIENT_LIST}) cl LEFT JOIN client_master m ON m.glcid = cl.client_id
-    LEFT JOIN governorate gov ON m.governorate_id = gov.governorate_id GROUP BY gov.name"""
+GOVERNORATES = f"""WITH homes AS (SELECT glcid AS client_id, is_painter, g.name FROM client_master LEFT JOIN governorate g USING (governorate_id))
+    SELECT coalesce(name, 'Other') AS governorate, count(DISTINCT client_id) AS total_clients, count(*) FILTER (is_painter = 1) AS total_painters,
+      count(*) FILTER (is_painter = 0) AS total_non_painters
+    FROM ({CLIENT_LIST}) LEFT JOIN homes USING (client_id) GROUP BY name"""
 
 
 @check("r17_governorates", GOVERNORATES, longs="total_painters total_non_painters")

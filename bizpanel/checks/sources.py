@@ -281,21 +281,18 @@ def _(t):
     return profile.schema_profile(t.client_master).drop("is_nullable")
 
 
-STOCK = """SELECT g.item_code, g.item_type, g.item_extra_description, g.item_balance,
-      coalesce(p.price, 0) AS last_price, coalesce(p.invoice_currency, '') AS last_currency,
-      coalesce(p.price, 0) * g.item_balance AS item_amount, p.invoice_date AS last_invoice_date,
-      coalesce(p.invoice_exchange_rate, 1) AS last_exchange_rate,
-      coalesce(p.price, 0) * coalesce(p.invoice_exchange_rate, 1) * g.item_balance AS item_amount_base
-    FROM (SELECT a.item_code, coalesce(b.item_type, 'N/A') AS item_type,
-            coalesce(b.item_extra_description, '') AS item_extra_description, sum(a.item_balance) AS item_balance
-          FROM item_balance a LEFT JOIN item_master b ON a.item_id = b.item_id
-          GROUP BY a.item_code, b.item_type, b.item_extra_description
-          HAVING sum(a.item_balance) <> 0 AND coalesce(b.item_type, '') NOT IN ('B', 'S', 'F')) g
-    LEFT JOIN (SELECT l.item_code, l.price, h.invoice_currency, h.invoice_date, h.invoice_exchange_rate,
-            row_number() OVER (PARTITION BY l.item_code
-              ORDER BY h.invoice_date DESC, h.internal_id DESC, l.price DESC) AS rn
-          FROM purchase_header h JOIN purchase_line l ON h.internal_id = l.int_id
-          WHERE coalesce(l.item_code, '') <> '') p ON g.item_code = p.item_code AND p.rn = 1"""
+STOCK = """WITH items AS (SELECT item_id, item_type AS kind, item_extra_description AS extra FROM item_master),
+    held AS (SELECT item_code, kind, extra, sum(item_balance) AS item_balance
+      FROM item_balance LEFT JOIN items USING (item_id)
+      WHERE kind IS NULL OR kind NOT IN ('B', 'S', 'F') GROUP BY ALL HAVING sum(item_balance) <> 0),
+    bought AS (SELECT item_code, max({'day': invoice_date, 'invoice': internal_id, 'price': price,
+        'currency': invoice_currency, 'rate': invoice_exchange_rate}) AS latest
+      FROM purchase_line JOIN purchase_header ON internal_id = int_id WHERE item_code <> '' GROUP BY item_code),
+    priced AS (SELECT held.*, coalesce(latest.price, 0) AS last_price, coalesce(latest.rate, 1) AS last_exchange_rate, latest
+      FROM held LEFT JOIN bought USING (item_code))
+    SELECT item_code, coalesce(kind, 'N/A') AS item_type, coalesce(extra, '') AS item_extra_description, item_balance, last_price,
+      coalesce(latest.currency, '') AS last_currency, last_price * item_balance AS item_amount, latest.day AS last_invoice_date,
+      last_exchange_rate, last_price * last_exchange_rate * item_balance AS item_amount_base FROM priced"""
 
 
 @check(
