@@ -209,27 +209,28 @@ def _send(layout: _Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for chunk in text_chunks(batches, "text", _CHUNK):
-            parts, firsts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
-            for piece in text_chunks(iter([chunk]), "text"):
-                values, first = shingle_sets(piece.column("text"), layout.size)
-                parts.append(values)
-                firsts.append(first[1:] + firsts[-1][-1])
-            values, first = np.concatenate(parts), np.concatenate(firsts)
-            parts.clear()
             ids = chunk.column("id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for t in np.flatnonzero(known):
-                digest = hashlib.blake2b(values[first[t] : first[t + 1]], digest_size=16).digest()
-                known[t] &= digest not in seen
-                seen.add(digest)
+            n, parts, before = np.zeros(len(ids), np.int64), [], 0
+            for piece in text_chunks(iter([chunk]), "text"):
+                values, first = shingle_sets(piece.column("text"), layout.size)
+                after = before + piece.num_rows
+                n[before:after] = np.diff(first)
+                own = known[before:after]
+                for t in np.flatnonzero(own):
+                    digest = hashlib.blake2b(values[first[t] : first[t + 1]], digest_size=16).digest()
+                    own[t] = digest not in seen
+                    seen.add(digest)
+                value, row, place = _prefixes(values, first, layout)
+                del values
+                sent = own[row]
+                parts.append((value[sent], row[sent] + before, place[sent]))
+                before = after
             if len(seen) > _REMEMBERED:
                 seen = set()
-            n = np.diff(first)
-            value, row, place = _prefixes(values, first, layout)
-            del values
-            sent = known[row]
-            value, row, place = value[sent], row[sent], place[sent]
+            value, row, place = map(np.concatenate, zip(*parts))
+            parts.clear()
             bucket = ((value >> U64(32)) * U64(layout.buckets) >> U64(32)).astype(np.int64)
             salts = np.maximum(layout.counts(value) // layout.hot, 1)
             salt = (mix(ids[row].astype(U64)) % salts.astype(U64)).astype(np.int64)
