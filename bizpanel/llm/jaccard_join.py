@@ -402,20 +402,19 @@ def _representatives(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, n, b, m): of each component of a column one row, with one of the column's largest component.
 
     Both are dealt by hash of the column and the turn. Columns whose components are single rows give none,
-    and neither do rows of sizes or places that cannot be similar.
+    and neither do rows of sizes that cannot be similar. Any column will do here, not the first shared one alone.
     """
     dealt = F.xxhash64("id", "col", F.lit(turn)).alias("dealt")
     parts = labelled.groupBy("col", "component").agg(
-        F.count("*").alias("k"), F.min(F.struct(dealt, "id", "n", "place")).alias("x")
+        F.count("*").alias("k"), F.min(F.struct(dealt, "id", "n")).alias("x")
     )
     parts = store(parts)
     largest = parts.groupBy("col").agg(F.max(F.struct("k", "component", F.col("x").alias("y"))).alias("top"), F.count("*").alias("c"))
     largest = largest.where("c > 1 AND top.k > 1").select("col", "top.component", "top.y").toDF("col", "other", "y")
-    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     return (
         parts.join(largest, "col")
         .where(F.col("component") != F.col("other"))
-        .where((100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n")))
+        .where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         .select(F.col("x.id").alias("a"), F.col("x.n"), F.col("y.id").alias("b"), F.col("y.n").alias("m"))
         .distinct()
     )
@@ -478,7 +477,13 @@ def similar_links(
     linked = linked.union(_links(_promising(apart, members, percent), rows, size, percent))
     so_far = store(components(linked))
 
-    open_columns = members.where((F.col("members") > 2) | F.col("hot")).select("col", "id", "n", "place")
+    # each task sends one row of a class of equal sets; from here on one of them stands for all
+    classes = members.select("id").distinct().join(exact.select(F.col("b").alias("id"), "a"), "id", "left")
+    kept = classes.groupBy(F.coalesce("a", "id").alias("lead")).agg(F.min("id").alias("first"))
+    spare = classes.join(kept, F.coalesce("a", "id") == F.col("lead")).where(F.col("id") != F.col("first"))
+    spare = store(spare.select("id"))
+    single = members.join(small(spare, 8), "id", "left_anti")
+    open_columns = single.where((F.col("members") > 2) | F.col("hot")).select("col", "id", "n", "place")
     labelled = open_columns.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
