@@ -71,6 +71,10 @@ HOT_DOCUMENTS = 50_000
 _CHUNK = 8 << 20
 #: Digests of sets that a task remembers to send a class once.
 _REMEMBERED = 200_000
+#: Bytes of an Arrow batch that goes to Python: rows that carry whole sets would otherwise fill 10,000-row batches
+#: of any size, off the executor's heap.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SCAN = "id long, n long, digest binary, sketch binary"
 _ENTRIES = "bucket long, columns binary, rows binary, places binary, ids binary, sizes binary"
@@ -440,7 +444,20 @@ def similar_links(
     """Sizes and digests of all sets (id, n, digest), and links (a, b) that join all similar documents.
 
     Any two similar documents are connected by the links, though not always by a link of their own.
+    Meanwhile Arrow batches hold at most BATCH_BYTES; all that is made here is stored before it ends.
     """
+    spark = documents.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return _similar_links(documents, id_column, text_column, size, percent, hot)
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def _similar_links(
+    documents: DataFrame, id_column: str, text_column: str, size: int, percent: int, hot: int
+) -> tuple[DataFrame, DataFrame]:
     rows = documents.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )

@@ -534,3 +534,17 @@ def test_pipeline_by_force(spark, tmp_path):
         tokens.append((i, len(ids), tuple(ids), hashlib.sha256(decoded.encode()).hexdigest()))
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in coded), key=str) == sorted(tokens, key=str)
+
+
+def test_jaccard_join_bounds_arrow_batches_while_it_counts(spark, monkeypatch):
+    """Rows that carry whole sets go to Python in batches of bounded bytes; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    outside, seen = spark.conf.get(key), []
+    plain = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda *args: seen.append(spark.conf.get(key)) or plain(*args))
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words[: 39 + i % 2])) for i in range(6)] + [(6, "other words here"), (7, None)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 7}
+    assert seen and all(int(v) == jaccard_join.BATCH_BYTES for v in seen), seen
+    assert spark.conf.get(key) == outside
