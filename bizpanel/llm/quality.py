@@ -164,24 +164,33 @@ def score_quality(
     return rows.mapInArrow(_scorer(model, [id_column, "text"]), schema)
 
 
-def _selector(model: OrdinalModel, text_column: str, grade: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
+def _passing(model: OrdinalModel, grade: int, least: float):
+    held: list[np.ndarray] = []
+
+    def passes(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(model.table())
+        table = held[0]
         wanted = table != 0
-        for chunk in text_chunks(batches, text_column):
-            found = extract(chunk.column(text_column), wanted=wanted)
+        out = [np.zeros(0, bool)]
+        for chunk in text_chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text"):
+            found = extract(chunk.column("text"), wanted=wanted)
             score = np.bincount(found.row, table[found.feature], chunk.num_rows)
-            passes = sigmoid(score - model.thresholds[grade - 1]) >= least
-            yield chunk.filter(pa.array(passes))
+            out.append(sigmoid(score - model.thresholds[grade - 1]) >= least)
+        return pa.array(np.concatenate(out))
 
-    return run
+    return passes
 
 
 def select_rows(
     documents: DataFrame, model: OrdinalModel, text_column: str = "text", grade: int = 1, least: float = 0.5
 ) -> DataFrame:
-    """The rows, with all their columns, whose probability of at least this grade is high enough."""
-    return documents.mapInArrow(_selector(model, text_column, grade, least), documents.schema)
+    """The rows, with all their columns, whose probability of at least this grade is high enough.
+
+    Only the texts go to Python and only a flag per row comes back; the rows stay in Spark.
+    """
+    passes = F.arrow_udf(_passing(model, grade, least), "boolean")
+    return documents.where(passes(F.col(text_column)))
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:

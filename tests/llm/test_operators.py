@@ -548,3 +548,19 @@ def test_jaccard_join_bounds_arrow_batches_while_it_counts(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 7}
     assert seen and all(int(v) == jaccard_join.BATCH_BYTES for v in seen), seen
     assert spark.conf.get(key) == outside
+
+
+def test_select_rows_sends_only_texts_to_python(spark):
+    rows = [(i, f"good words {i}" if i % 3 else "bad bad bad", "x" * 50) for i in range(300)] + [(None, None, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ratings = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, rating long")
+    model = fit_quality(documents, ratings, 2)
+    chosen = select_rows(documents, model)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert chosen.columns == documents.columns
+    scored = {r.doc_id: r.tails[0] >= 0.5 for r in score_quality(documents, model).collect()}
+    assert sorted(r.doc_id for r in chosen.collect() if r.doc_id is not None) == sorted(
+        k for k, v in scored.items() if v and k is not None
+    )
+    assert chosen.where("doc_id is null").count() == int(scored[None])
