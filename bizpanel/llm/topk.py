@@ -8,9 +8,11 @@ columns are traversed for all vectors of the shard; further ones are probed only
 score so far plus the remaining bounds still reaches the query's k-th best. Shards' results merge
 by score.
 
-Vectors are dealt to shards by a hash, queries go in blocks to every shard; a task holds one shard and
-one block. Arithmetic is in float64 over integers, which is exact below 2^53; a shard and block that could exceed that
-are computed in whole numbers of any size.
+Vectors are dealt to shards by a hash. Queries are packed in blocks, and blocks make lanes; every block goes to every
+shard by shuffle, and a task takes one shard and one lane at a time. No side is broadcast: what all shards together
+read of the queries is many times what Spark measures before the blocks are repeated. Shards grow with the table up to
+GROUP_BYTES, so that the repeated blocks grow in proportion to it until then. Arithmetic is in float64 over integers, which
+is exact below 2^53; a shard and block that could exceed that are computed in whole numbers of any size.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id.
 Vectors of different length are kept apart by length. Of rows with the same id each takes part; none answers
@@ -21,21 +23,23 @@ beyond them count as, and come out as, the nearest 64-bit number. Extra columns
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard and queries of a block.
+#: Vectors of a shard, at least where there are so many, and queries of a block.
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
+#: Shards of a table, as long as their vectors and the queries of a lane stay below so many bytes in 64-bit numbers.
+SHARDS = 128
+GROUP_BYTES = 16 << 20
 #: Dimensions that are traversed or probed at once.
 STEP = 8
-_HITS = "query_id long, query_row long, vec_id long, score long"
+_NAMES = ("query_id", "query_row", "vec_id", "score")
+_HITS = ", ".join(f"{name} long" for name in _NAMES)
 _LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -101,8 +105,16 @@ def large_scores(
     return found
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes that hold all of them."""
+    low, high = numbers.min(initial=0), numbers.max(initial=0)
+    kinds = (np.dtype(f"i{n}") for n in (1, 2, 4, 8))
+    return numbers.astype(next(k for k in kinds if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
 def _matrix(packed: bytes, rows: int, size: int) -> np.ndarray:
-    return np.frombuffer(packed, np.int64).reshape(rows, size)
+    width = len(packed) // (rows * size) if rows * size else 8
+    return np.frombuffer(packed, f"i{width}").reshape(rows, size).astype(np.int64)
 
 
 def _most(matrix: np.ndarray) -> float:
@@ -110,11 +122,9 @@ def _most(matrix: np.ndarray) -> float:
 
 
 def _pack(frame: DataFrame, key: str) -> DataFrame:
-    """Vectors of one key in one row, by id."""
+    """Vectors of one key in one row."""
 
     def pack(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
         flat = pc.list_flatten(table.column("vector")).to_numpy()
         return pa.table(
             {
@@ -122,7 +132,7 @@ def _pack(frame: DataFrame, key: str) -> DataFrame:
                 "size": table.column("size")[:1],
                 "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()),
                 "rows": pa.array([table.column("row").to_numpy().tobytes()], pa.binary()),
-                "data": pa.array([flat.tobytes()], pa.binary()),
+                "data": pa.array([_narrow(flat).tobytes()], pa.binary()),
             }
         )
 
@@ -131,6 +141,38 @@ def _pack(frame: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _search(vectors: pa.Table, blocks: pa.Table, k: int) -> pa.Table:
+    """The k best of a shard's vectors for each query of the blocks."""
+    columns: dict[str, list[np.ndarray]] = {name: [np.zeros(0, np.int64)] for name in _NAMES}
+    if len(vectors):
+        ids = vectors.column("vec_id").to_numpy()
+        data = pc.list_flatten(vectors.column("vector")).to_numpy().reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        ids, data = ids[order], data[order]
+        most, real = _most(data), data.astype(np.float64)
+        for block in blocks.select(("ids", "rows", "data")).to_batches(1):
+            packed = block.to_pylist()[0]
+            own, rows = np.frombuffer(packed["ids"], np.int64), np.frombuffer(packed["rows"], np.int64)
+            asks = _matrix(packed["data"], len(own), data.shape[1])
+            if most * _most(asks) * max(data.shape[1], 1) < 2**53:
+                found = maxscore(asks.astype(np.float64), own, real, ids, k)
+            else:
+                found = large_scores(asks, own, data, ids, k)
+            for number, places, scores in found:
+                whole = np.array([min(max(int(s), _LEAST), _GREATEST) for s in scores], np.int64)
+                row = (np.full(len(whole), own[number]), np.full(len(whole), rows[number]), ids[places], whole)
+                for name, values in zip(_NAMES, row, strict=True):
+                    columns[name].append(values)
+    return pa.table({name: np.concatenate(parts) for name, parts in columns.items()})
+
+
+def _each(count: int) -> Column:
+    """One row for each number below the count."""
+    if count == 1:
+        return F.lit(0).cast("long")
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -142,44 +184,23 @@ def exact_top_k(
     """The k highest inner products of each query with the other rows: query_id, rank, vec_id, score."""
     every = integer_vectors(vectors, id_column, vector_column, scale)
     every = every.withColumn("size", F.size("vector")).withColumn("row", F.monotonically_increasing_id())
-    total, asked = every.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, blocks = -(-total // SHARD_ROWS) or 1, -(-asked // BLOCK_ROWS) or 1
+    total, asked, widest = every.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max("size")).first()
+    largest = max(SHARD_ROWS, GROUP_BYTES // (8 * (widest or 1)))
+    shards = -(-total // min(largest, max(SHARD_ROWS, total // SHARDS))) or 1
+    blocks, lanes = -(-asked // BLOCK_ROWS) or 1, -(-asked // largest) or 1
     spread = F.xxhash64("vec_id", "vector")
-    candidates = _pack(every.withColumn("shard", F.pmod(spread, F.lit(shards))), "shard").drop("rows")
-    block = _pack(
-        every.where(is_query).withColumn("block", F.pmod(spread, F.lit(blocks))), "block"
-    ).toDF("block", "size", "query_ids", "query_rows", "query_data")
+    candidates = every.select(
+        F.pmod(spread, F.lit(shards)).alias("shard"), _each(lanes).alias("lane"), "size", "vec_id", "vector"
+    )
+    block = _pack(every.where(is_query).withColumn("block", F.pmod(spread, F.lit(blocks))), "block")
     # every block goes to every shard
-    every_shard = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    asked_of = block.withColumn("shard", F.explode(every_shard))
-    pairs = candidates.join(asked_of, ["shard", "size"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                own = np.frombuffer(row["query_ids"], np.int64)
-                rows = np.frombuffer(row["query_rows"], np.int64)
-                data = _matrix(row["data"], len(ids), row["size"])
-                asks = _matrix(row["query_data"], len(own), row["size"])
-                if _most(data) * _most(asks) * max(row["size"], 1) < 2**53:
-                    found = maxscore(asks.astype(np.float64), own, data.astype(np.float64), ids, k)
-                else:
-                    found = large_scores(asks, own, data, ids, k)
-                for number, places, scores in found:
-                    yield pa.RecordBatch.from_pandas(
-                        pd.DataFrame(
-                            {
-                                "query_id": own[number],
-                                "query_row": rows[number],
-                                "vec_id": ids[places],
-                                "score": np.array([min(max(int(s), _LEAST), _GREATEST) for s in scores], np.int64),
-                            }
-                        ),
-                        preserve_index=False,
-                    )
-
-    hits = pairs.select("size", "ids", "data", "query_ids", "query_rows", "query_data").mapInArrow(search, _HITS)
+    asked_of = block.select(
+        _each(shards).alias("shard"), F.pmod("block", F.lit(lanes)).alias("lane"), "size", "ids", "rows", "data"
+    )
+    group = ("shard", "lane", "size")
+    hits = candidates.groupBy(*group).cogroup(asked_of.groupBy(*group)).applyInArrow(
+        lambda vectors, blocks: _search(vectors, blocks, k), _HITS
+    )
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(best))

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from bizpanel.llm import topk
 from bizpanel.llm.linear import labelled_sample
 from bizpanel.llm.sharding import shard_rows
 from bizpanel.llm.topk import exact_top_k, large_scores, maxscore
@@ -58,3 +59,28 @@ def test_the_sample_is_bounded_by_rows(spark):
     sample = labelled_sample(documents, ratings, "doc_id", "text", 10).collect()
     assert len(sample) == 3
     assert sum(r["text"].startswith("hot") for r in sample) == 1
+
+
+def test_neighbours_over_many_shards_and_lanes(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 8), ("BLOCK_ROWS", 2), ("SHARDS", 4), ("GROUP_BYTES", 1)):
+        monkeypatch.setattr(topk, name, value)
+    pick = np.random.default_rng(7)
+    rows = [(i % 70, pick.normal(0, 4, 3 if i % 9 else 5).round(2).tolist()) for i in range(90)] + [(3, []), (4, [])]
+    found = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0, 4)
+    # the queries reach every shard by shuffle: Spark measures them before they are repeated
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    expected = []
+    for own, q in ints:
+        if own % 3 == 0:
+            others = [(-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in ints if i != own and len(v) == len(q)]
+            expected += [(own, rank, i, -s) for rank, (s, i) in enumerate(sorted(others)[:4], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_packed_numbers_keep_their_value():
+    for ends in ((-128, 127), (-129, 5), (0, 1 << 20), (-(1 << 63), (1 << 63) - 1)):
+        numbers = np.array([*ends, 0, 1], np.int64)
+        packed = topk._narrow(numbers).tobytes()
+        assert topk._matrix(packed, 2, 2).ravel().tolist() == numbers.tolist()
+    assert len(topk._narrow(np.array([300, -4], np.int64)).tobytes()) == 4
