@@ -225,7 +225,7 @@ def customers_of(per_invoice: DataFrame, header: DataFrame, years: Collection[in
     """Invoices (``internal_id``) with their customer, inner.
 
     Invoices of some years are first sought among the headers of these years and of those next to them. Only if
-    some are not there are the other partitions read for them.
+    some are not there are the other partitions read for them. Of the invoices their ids alone are kept meanwhile.
     """
     named = header.withColumnRenamed("customer_number", "customer_no")
     if years is None or HEADER_YEAR not in header.columns:
@@ -233,22 +233,27 @@ def customers_of(per_invoice: DataFrame, header: DataFrame, years: Collection[in
     near = {y + d for y in years if y is not None for d in (-1, 0, 1)}
     here = F.coalesce(F.col(HEADER_YEAR).isin(sorted(near)), F.lit(False))
     wanted = named.select("internal_id", "customer_no", HEADER_YEAR)
-    stored = cut(per_invoice)
-    found = stored.join(wanted.filter(here).drop(HEADER_YEAR), "internal_id")
-    missing = cut(stored.join(wanted.filter(here), "internal_id", "left_anti"))
-    if missing.isEmpty():
-        return found
-    return found.unionByName(missing.join(wanted.filter(~here).drop(HEADER_YEAR), "internal_id"))
+    first, others = (wanted.filter(test).drop(HEADER_YEAR) for test in (here, ~here))
+    if not others.isEmpty():
+        ids = per_invoice.select("internal_id").filter("internal_id IS NOT NULL").distinct()
+        missing = cut(ids.join(first, "internal_id", "left_anti"))
+        if not missing.isEmpty():
+            first = first.unionByName(semi(others, missing, "internal_id"))
+    return per_invoice.join(first, "internal_id")
 
 
 def customer_monthly_summary(
-    tables: Tables, names: DataFrame | None = None, years: Collection[int | None] | None = None
+    tables: Tables,
+    names: DataFrame | None = None,
+    years: Collection[int | None] | None = None,
+    among: Collection[int | None] | None = None,
 ) -> DataFrame:
     """Amount, weight and volume per customer and month, rebuilt from the invoices.
 
     Amounts go by the invoice date, weights and volumes by the line date. ``names``
     (customer_no, customer_name) supplies the names; without it they are NULL. With ``years`` the
-    summary of these years alone is built, from the lines and headers of their partitions.
+    summary of these years alone is built, from the lines and headers of their partitions. ``among`` names all years of
+    which they are a part: customers are sought as for all of them.
     """
     header = tables.sales_header
     amounts = of_years(header, HEADER_YEAR, years).select(
@@ -273,7 +278,7 @@ def customer_monthly_summary(
             F.sum(F.col("invoiced_quantity") * F.col("volume")).alias("total_volume"),
         )
     )
-    quantities = customers_of(per_invoice, header, years).drop("internal_id")
+    quantities = customers_of(per_invoice, header, years if among is None else among).drop("internal_id")
     summary = (
         amounts.unionByName(quantities, allowMissingColumns=True)
         .groupBy("customer_no", "summary_year", "summary_month")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizpanel.operators.lineage import releasing
 from bizpanel.sources import closing, versions
 from bizpanel.sources.schema import SCHEMAS, YEAR_PARTITIONS
 
@@ -95,16 +97,17 @@ def write_fact(df: DataFrame, path: str, year: str, made_from: str | None = None
 
     ``made_from`` is the expression of the partition column where the fact lacks it.
     Rows are rebalanced by year: adaptive execution joins small years and splits large ones
-    by size, so that a year that holds most rows is not one task.
+    by size, so that a year that holds most rows is not one task. The files of that shuffle go with the write.
     """
     dated = df.withColumn(year, F.expr(made_from)) if made_from else df
-    (
-        dated.hint("rebalance", year)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(year)
-        .parquet(path)
-    )
+    with releasing(df.sparkSession):
+        (
+            dated.hint("rebalance", year)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(year)
+            .parquet(path)
+        )
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
@@ -119,11 +122,24 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
         versions.publish(df, path)
 
 
-def drop_partition(spark: SparkSession, root: str, name: str, column: str, year: int | None) -> None:
-    """Remove the partition of one year from a stored fact."""
+def _partition(spark: SparkSession, root: str, name: str, column: str, year: int | None) -> tuple[JavaObject, JavaObject]:
+    """The file system and the folder of one year of a stored fact."""
     value = "__HIVE_DEFAULT_PARTITION__" if year is None else year
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{column}={value}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def partition_files(spark: SparkSession, root: str, name: str, column: str, year: int | None) -> dict[str, int]:
+    """Names and bytes of the files of one year of a stored fact; a year that is written anew has other names."""
+    files, path = _partition(spark, root, name, column, year)
+    found = files.listStatus(path) if files.exists(path) else ()
+    return {status.getPath().getName(): status.getLen() for status in found}
+
+
+def drop_partition(spark: SparkSession, root: str, name: str, column: str, year: int | None) -> None:
+    """Remove the partition of one year from a stored fact."""
+    files, path = _partition(spark, root, name, column, year)
+    files.delete(path, True)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from bizpanel.operators import maintain
 from bizpanel.operators.bitmaps import distinct_of
 from bizpanel.operators.hierarchy import org_tree
 from bizpanel.operators.joins import bounded_by
+from bizpanel.operators.lineage import ensure_checkpoint_dir
 from bizpanel.operators.numbering import number_rows
 from bizpanel.operators.period import Period
 from bizpanel.plans import cash, clients, control, ledger, loyalty, purchasing, sales, stock, summary
@@ -265,6 +268,63 @@ def test_refresh_rebuilds_what_changed(spark, stored):
     assert ours == whole
 
 
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def test_a_refresh_leaves_no_sums_behind(spark, stored, monkeypatch):
+    monkeypatch.setattr(summary, "TURN_BYTES", 0)
+    held = []
+    rebuild = summary._rebuild
+
+    def one_turn(tables, root, names, turn, years):
+        held.append(set(turn))
+        rebuild(tables, root, names, turn, years)
+
+    monkeypatch.setattr(summary, "_rebuild", one_turn)
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    sums, files = set(folder.glob("rdd-*")), shuffle_files(spark)
+    years = summary.refresh_summary(spark, stored)
+    assert set(folder.glob("rdd-*")) <= sums
+    until = time.time() + 20
+    while shuffle_files(spark) - files and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - files
+    # one year at a time, each year once
+    assert sorted(map(len, held)) == [1] * len(years) and set().union(*held) == years
+    ours, whole = built(spark, stored)
+    assert ours == whole
+
+
+def test_turns_hold_a_share_of_the_bytes(monkeypatch):
+    monkeypatch.setattr(summary, "TURN_BYTES", 10)
+    assert summary._turns({2001: 4, None: 3, 1999: 3, 2000: 4}) == [{None, 1999, 2000}, {2001}]
+    assert summary._turns({1999: 0, 2000: 50, 2001: 1}) == [{1999}, {2000}, {2001}]
+    assert summary._turns({y: 80 for y in range(2000, 2016)}) == [{y, y + 1} for y in range(2000, 2016, 2)]
+    assert summary._turns({}) == []
+
+
+def test_repeated_ids_far_apart_count_in_every_turn(spark, make_tables, root, monkeypatch):
+    monkeypatch.setattr(summary, "TURN_BYTES", 0)
+    header = {"total_taxable_amount": 5, "exchange_rate": 1}
+    dated = ((1, "1990-02-03", "7"), (1, "2000-02-03", "8"), (2, "2000-02-03", None), (3, None, "9"), (None, "1990-01-01", "6"))
+    tables = make_tables(
+        sales_header=[{"internal_id": i, "invoice_date": d, "customer_number": c, **header} for i, d, c in dated],
+        sales_line=[
+            {"int_id": i, "item_id": i, "invoice_date": d, "line_weight": 3, "invoiced_quantity": 2}
+            for i, d in ((1, "2000-03-01"), (1, "1990-03-01"), (2, None), (3, "1995-01-01"), (None, "1990-01-01"), (4, "2000-01-01"))
+        ],
+        item_master=[{"item_id": 1, "volume": 4}, {"item_id": 1, "volume": 5}],
+    )
+    for name in ("sales_header", "sales_line", "item_master"):
+        write_table(tables[name], root, name)
+    assert summary.refresh_summary(spark, root) == {None, 1990, 1995, 2000}
+    ours, whole = built(spark, root)
+    assert ours == whole and len(ours) == 11
+
+
 def test_a_year_that_goes_leaves_the_summary(spark, stored):
     summary.refresh_summary(spark, stored)
     from bizpanel.sources.tables import drop_partition
